@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, neardup, packing, repeats
+from . import decontam, langid, licenses, neardup, packing, repeats
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark, sf_dir):
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark, sf_dir):
     return repeats.digest(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op7_license_scan(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_best_fit_packing, op5_decontamination, op6_minhash_neardup, op7_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_suffix_dedup, op4_best_fit_packing, op5_decontamination, op6_minhash_neardup, op7_license_scan)}
 
 _OP5 = rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
