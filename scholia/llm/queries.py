@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, neardup, packing, repeats
+from . import decontam, langid, licenses, neardup, packing, repeats, tokencounts, vptree, warc
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -18,6 +18,10 @@ def op1_language_id(spark, sf_dir):
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_vantage_point_search(spark, sf_dir):
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, factor=1.0)
+
+
 def op3_suffix_dedup(spark, sf_dir):
     return repeats.digest(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,15 @@ def op7_license_scan(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_suffix_dedup, op4_best_fit_packing, op5_decontamination, op6_minhash_neardup, op7_license_scan)}
+def op8_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_token_counts(spark, sf_dir):
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_vantage_point_search, op3_suffix_dedup, op4_best_fit_packing, op5_decontamination, op6_minhash_neardup, op7_license_scan, op8_warc, op10_token_counts)}
 
 _OP5 = rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -79,4 +91,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({count(base)} AS BIGINT)
 """
 
 
-SQL = {"op5_decontamination": _OP5, "op6_minhash_neardup": _OP6, "op7_license_scan": _op7_sql()}
+_OP8 = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+_OP2 = r"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+SQL = {"op2_vantage_point_search": _OP2, "op8_warc": _OP8, "op5_decontamination": _OP5, "op6_minhash_neardup": _OP6, "op7_license_scan": _op7_sql()}
