@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, neardup, packing, repeats, tokencounts, vptree, warc
+from . import decontam, langid, licenses, lmscore, neardup, packing, repeats, tokencounts, vptree, warc
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -46,11 +46,15 @@ def op8_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return lmscore.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     return tokencounts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_vantage_point_search, op3_suffix_dedup, op4_best_fit_packing, op5_decontamination, op6_minhash_neardup, op7_license_scan, op8_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_vantage_point_search, op3_suffix_dedup, op4_best_fit_packing, op5_decontamination, op6_minhash_neardup, op7_license_scan, op8_warc, op9_lm_scoring, op10_token_counts)}
 
 _OP5 = rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
