@@ -77,7 +77,7 @@ def circulant_signatures(sets: np.ndarray, first: np.ndarray, coordinates: int,
     return out
 
 
-def _sketch(batches, k: int, bands: int, rows: int, block: int = 2 << 20):
+def _sketch(batches, k: int, bands: int, rows: int, block: int = 1 << 19):
     for batch in batches:
         buf, offsets = utf8(batch.column(1))
         for i, j in pieces(offsets, block):
@@ -122,7 +122,7 @@ def _verify(batches, percent: int):
 def _sets(batches, k: int):
     for batch in batches:
         buf, offsets = utf8(batch.column(1))
-        for i, j in pieces(offsets, 2 << 20):
+        for i, j in pieces(offsets, 1 << 19):
             sets, first = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([sets[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "set"])
 

@@ -143,7 +143,7 @@ def _tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def _cut(batches, path: str, size: int, end: int, block: int = 2 << 20):
+def _cut(batches, path: str, size: int, end: int, block: int = 1 << 19):
     tok = _tokenizer(path)
     stop = np.array([end], "<u4")
     for batch in batches:
