@@ -5,18 +5,22 @@ doc_id, or earlier in the same document. Matches never cross documents; strings
 
 How it scales. Every string of ``length`` bytes holds ``length - q + 1`` q-grams; the one with the least hash is its
 anchor, and equal strings have equal anchors. The strings of a text that share an anchor start one after the other, so
-a text falls into runs, one an anchor; a run travels once, as the bytes its strings cover, to the bucket of its anchor.
-Runs that are byte for byte the same are settled where they are met, before the shuffle: all but the earliest are
-repeats, so a passage that a third of all texts share crosses the shuffle once a map batch. In a bucket, runs are
-refined by what follows and precedes the anchor, and what is left goes through bucket-pointer refinement: the first
-buckets are 8-grams; the suffixes of a bucket are split by the bucket numbers of later offsets, and the numbers that
-this gives are the keys of the next refinement (8, 16, 32, 64, ``length`` bytes). Suffixes alone in their bucket drop out.
-Nothing is hashed in that step, so matches are exact.
+a text falls into runs, one an anchor. Texts are dealt to blocks by hash of the id, once; the rest works on these blocks:
+1. 40 bits of each run's anchor hash go to the part of that hash, where anchors met twice are told from the others.
+   A block sends an anchor once, however often it has it.
+2. Runs whose anchor is met twice go, as the bytes their strings cover, to the part of the anchor. Runs that are byte for
+   byte the same are settled before that: all but the earliest are repeats, so a passage that a third of all texts share
+   crosses the shuffle once a block.
+3. In a part, runs are told apart by what follows and precedes the anchor, and what is left goes through bucket-pointer
+   refinement: the first buckets are 8-grams; the suffixes of a bucket are split by the bucket numbers of later offsets,
+   and the numbers that this gives are the keys of the next refinement (8, 16, 32, 64, ``length`` bytes). Suffixes alone in
+   their bucket drop out. Nothing is hashed in that step, so matches are exact.
+4. Spans go back to the blocks of their texts.
 
 Cases. Null or empty text: no bytes, nothing removed. Texts shorter than ``length``: kept whole. Rows that are repeated
 with one doc_id are equally early, so neither removes the other; spans found for an id hold for all its rows, cut to
 their length. Null doc_id: such rows take no part and come back whole. Other columns are carried by ``dedup`` and
-ignored by ``removed_spans``.
+ignored by ``digest``.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, merge_spans, mix, pieces, ragged, shuffle_parts, utf8
 
-_ROWS = "part int, owner long, data binary"
-_SPANS = "owner long, data binary"
+_ROWS = "part int, kind int, data binary"  # kind 0: for the part to work on; 1: passed on to the block "part"
+_BLOCK = "block int, data binary"
 
 
 def _eights(buf: np.ndarray) -> np.ndarray:
@@ -82,9 +86,9 @@ def _runs(buf: np.ndarray, offsets: np.ndarray, length: int, q: int):
     return text[first], at[first], count, a[first], h[a[first]]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     head = np.array([len(arrays), *(x.nbytes for x in arrays)], np.int64).tobytes()
-    return zstandard.compress(head + b"".join(x.tobytes() for x in arrays), 1)
+    return zstandard.compress(head + b"".join(x.tobytes() for x in arrays), level)
 
 
 def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
@@ -101,14 +105,7 @@ def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
 _KINDS = (np.int64, np.int32, np.uint16, np.uint16, np.uint8)  # owner, start, strings, anchor - start, bytes
 
 
-def _span_rows(owner, start, end) -> tuple[list, list]:
-    owner, start, end = merge_spans(owner, start, end)
-    cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else []
-    both = np.stack([start, end], 1).astype(np.int64)
-    return [int(owner[i]) for i in cut], [both[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(owner)], strict=True)] if len(owner) else []
-
-
-def _same_runs(owner, start, order_key, texts) -> np.ndarray:
+def _same_runs(owner, start, texts) -> np.ndarray:
     """Whether the same bytes came earlier, for runs given in order of owner and start; equally early ones aren't earlier."""
     seen: dict[bytes, tuple] = {}
     late = np.zeros(len(texts), bool)
@@ -118,37 +115,115 @@ def _same_runs(owner, start, order_key, texts) -> np.ndarray:
     return late
 
 
-def _emit(batches, length: int, q: int, parts: int, block: int):
+def _rows(parts: list, kinds: list, data: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
+
+
+def _dealt(part: np.ndarray, at: np.ndarray):
+    """(part, rows) for each part that rows ``at`` have."""
+    if not len(at):
+        return
+    order = at[np.argsort(part[at], kind="stable")]
+    p = part[order]
+    cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    for x, y in zip(cuts, [*cuts[1:], len(p)], strict=True):
+        yield int(p[x]), order[x:y]
+
+
+_PRIME, _FACTOR = (1 << 31) - 1, 1103515245
+
+
+def _block_of(owner: np.ndarray, parts: int) -> np.ndarray:
+    """The block of each id; _block_column is the same in Spark."""
+    return owner.astype(np.int64) % _PRIME * _FACTOR % _PRIME % parts
+
+
+def _block_column(owner: Column, parts: int) -> Column:
+    of_id = F.pmod(F.pmod(owner, F.lit(_PRIME).cast("long")) * F.lit(_FACTOR).cast("long"), F.lit(_PRIME).cast("long"))
+    return F.pmod(F.coalesce(of_id, F.xxhash64("text")), F.lit(parts)).cast("int")
+
+
+def _numbered(b: np.ndarray, o: np.ndarray, owners: np.ndarray, length: int, q: int):
+    """The runs of some texts, with their owner and number in their text."""
+    text, at, count, anchor, key = _runs(b, o, length, q)
+    first = np.searchsorted(text, text)
+    return text, at, count, anchor, key, owners[text].astype(np.int64), np.arange(len(text)) - first
+
+
+def _anchors(batches, length: int, q: int, parts: int, block: int):
+    """Step 1, where texts are: 40 bits of each anchor's hash to its part; runs whose anchor is met twice here are known."""
     for batch in batches:
         owners = batch.column(0).to_numpy(zero_copy_only=False)
         buf, offsets = utf8(batch.column(1))
         for i, j in pieces(offsets, block):
-            o = offsets[i : j + 1] - offsets[i]
-            b = buf[offsets[i] : offsets[j]]
-            text, at, count, anchor, key = _runs(b, o, length, q)
-            if not len(text):
+            _, _, _, _, key, owner, number = _numbered(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], owners[i:j], length, q)
+            if not len(key):
                 continue
-            owner, start = owners[i:j][text].astype(np.int64), at - o[text]
+            _, at, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            out, kinds, data = [], [], []
+            known = np.flatnonzero(times[inverse] > 1)
+            for p, w in _dealt(_block_of(owner, parts), known):
+                out.append(p), kinds.append(1), data.append(_pack(owner[w], number[w].astype(np.uint32)))
+            for p, w in _dealt(((key >> U64(44)) % U64(parts)).astype(np.int64), at):
+                w = np.sort(w)
+                out.append(p), kinds.append(0), data.append(_pack(owner[w], number[w].astype(np.uint32), key[w].astype(np.uint32), (key[w] >> U64(32)).astype(np.uint8)))
+            yield _rows(out, kinds, data)
+
+
+def _met_twice(table: pa.Table, parts: int) -> pa.Table:
+    """Step 1, in a part: runs whose anchor another block has too, by the block of their owner; what is known is passed on."""
+    out, data, own = [], [], []
+    for p, kind, d in zip(*(table.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
+        if kind:
+            out.append(p), data.append(d)
+        else:
+            own.append(_unpack(d, (np.int64, np.uint32, np.uint32, np.uint8)))
+    if own:
+        owner, number, low, high = (np.concatenate([x[k] for x in own]) for k in range(4))
+        key = low.astype(np.int64) | high.astype(np.int64) << 32
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        at = order[np.r_[False, same] | np.r_[same, False]]
+        for p, w in _dealt(_block_of(owner, parts), at):
+            out.append(p), data.append(_pack(owner[w], number[w]))
+    return pa.table([pa.array(out, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+
+
+def _emit(docs: pa.Table, flags: pa.Table, length: int, q: int, parts: int, block: int) -> pa.Table:
+    """Step 2: of one block's texts, the runs whose anchor is met twice; all but the earliest of equal ones are repeats already."""
+    found = [_unpack(x, (np.int64, np.uint32)) for x in flags.column("data").to_pylist()]
+    out, kinds, data = [], [], []
+    if docs.num_rows and found:
+        flag_owner, flag_number = (np.concatenate([x[k] for x in found]) for k in range(2))
+        order = np.lexsort((flag_number, flag_owner))
+        flag_owner, flag_number = flag_owner[order], flag_number[order].astype(np.int64)
+        docs = docs.sort_by("_owner")
+        owners = docs.column("_owner").to_numpy()
+        has = np.isin(owners, flag_owner)
+        docs, owners = docs.filter(pa.array(has)), owners[has]
+        buf, offsets = utf8(docs.column("text"))
+        for i, j in pieces(offsets, block):
+            o, b = offsets[i : j + 1] - offsets[i], buf[offsets[i] : offsets[j]]
+            text, at, count, anchor, key, owner, number = _numbered(b, o, owners[i:j], length, q)
+            lo, hi = np.searchsorted(flag_owner, owners[i], "left"), np.searchsorted(flag_owner, owners[j - 1], "right")
+            wide = np.int64(max(int(number.max(initial=0)), int(flag_number[lo:hi].max(initial=0))) + 1)
+            rank = np.searchsorted(np.unique(owners[i:j]), owner)
+            flag = np.isin(rank * wide + number, np.searchsorted(np.unique(owners[i:j]), flag_owner[lo:hi]) * wide + flag_number[lo:hi])
+            text, at, count, anchor, key, owner = (x[flag] for x in (text, at, count, anchor, key, owner))
+            start = at - o[text]
             _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
             twice = np.flatnonzero(times[inverse] > 1)
             late = np.zeros(len(text), bool)
             if len(twice):
                 twice = twice[np.lexsort((start[twice], owner[twice]))]
                 raw = b.tobytes()
-                late[twice] = _same_runs(owner[twice].tolist(), start[twice].tolist(), None, [raw[x : x + y] for x, y in zip(at[twice].tolist(), (count[twice] + length - 1).tolist(), strict=True)])
-                ids, spans = _span_rows(owner[late], start[late], start[late] + count[late] + length - 1)
-                if ids:
-                    yield pa.record_batch([pa.array([x % parts for x in ids], pa.int32()), pa.array(ids, pa.int64()), pa.array(spans, pa.binary())], ["part", "owner", "data"])
-            part = np.where(late, -1, (key >> U64(20)) % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            order = order[int(late.sum()) :]
-            cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else []
-            out_part, out = [], []
-            for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                w = order[x:y]
-                out_part.append(int(part[w[0]]))
-                out.append(_pack(owner[w], start[w].astype(np.int32), count[w].astype(np.uint16), (anchor[w] - at[w]).astype(np.uint16), b[ragged(at[w], count[w] + length - 1)]))
-            yield pa.record_batch([pa.array(out_part, pa.int32()), pa.array([None] * len(out), pa.int64()), pa.array(out, pa.binary())], ["part", "owner", "data"])
+                late[twice] = _same_runs(owner[twice].tolist(), start[twice].tolist(), [raw[x : x + y] for x, y in zip(at[twice].tolist(), (count[twice] + length - 1).tolist(), strict=True)])
+                span = merge_spans(owner[late], start[late], start[late] + count[late] + length - 1)
+                for p, w in _dealt(_block_of(span[0], parts), np.arange(len(span[0]))):
+                    out.append(p), kinds.append(1), data.append(_pack(*(x[w] for x in span)))
+            for p, w in _dealt(((key >> U64(20)) % U64(2 * parts)).astype(np.int64), np.flatnonzero(~late)):
+                out.append(p), kinds.append(0), data.append(_pack(owner[w], start[w].astype(np.int32), count[w].astype(np.uint16), (anchor[w] - at[w]).astype(np.uint16), b[ragged(at[w], count[w] + length - 1)], level=3))
+    return pa.table([pa.array(out, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
 
 def refine(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -184,18 +259,15 @@ def refine(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         depth += step
 
 
-def _settle(table: pa.Table, length: int, q: int) -> pa.Table:
-    """The spans that runs of one partition show to be repeats, and those that came with them."""
+def _settle(table: pa.Table, length: int, q: int, parts: int) -> pa.Table:
+    """Step 3: the spans that the runs of one part show to be repeats, and those that are passed on, by block."""
     owners, starts, ends = [], [], []
-    blobs = []
-    for owner, data in zip(table.column("owner").to_pylist(), table.column("data").to_pylist(), strict=True):
-        if owner is None:
-            blobs.append(_unpack(data, _KINDS))
+    blobs, out, data = [], [], []
+    for p, kind, d in zip(*(table.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
+        if kind:
+            out.append(p), data.append(d)
         else:
-            both = np.frombuffer(data, np.int64).reshape(-1, 2)
-            owners.append(np.full(len(both), owner, np.int64))
-            starts.append(both[:, 0])
-            ends.append(both[:, 1])
+            blobs.append(_unpack(d, _KINDS))
     if blobs:
         owner, start, count, rel, buf = (np.concatenate([x[k] for x in blobs]) for k in range(5))
         del blobs
@@ -220,7 +292,7 @@ def _settle(table: pa.Table, length: int, q: int) -> pa.Table:
         w = shared(key)
         w = w[np.lexsort((start[w], owner[w]))]
         raw = buf.tobytes()
-        late = _same_runs(owner[w].tolist(), start[w].tolist(), None, [raw[i : i + n] for i, n in zip(at[w].tolist(), size[w].tolist(), strict=True)])
+        late = _same_runs(owner[w].tolist(), start[w].tolist(), [raw[i : i + n] for i, n in zip(at[w].tolist(), size[w].tolist(), strict=True)])
         del raw
         v = w[late]
         owners.append(owner[v]), starts.append(start[v]), ends.append(start[v] + size[v])
@@ -250,59 +322,50 @@ def _settle(table: pa.Table, length: int, q: int) -> pa.Table:
             later = (who != who[group]) | (begin != begin[group])
             owners.append(who[later]), starts.append(begin[later]), ends.append(begin[later] + length)
     if owners:
-        ids, spans = _span_rows(np.concatenate(owners), np.concatenate(starts), np.concatenate(ends))
-    else:
-        ids, spans = [], []
-    return pa.table([pa.array(ids, pa.int64()), pa.array(spans, pa.binary())], ["owner", "data"])
+        span = merge_spans(np.concatenate(owners), np.concatenate(starts), np.concatenate(ends))
+        for p, w in _dealt(_block_of(span[0], parts), np.arange(len(span[0]))):
+            out.append(p), data.append(_pack(*(x[w] for x in span)))
+    return pa.table([pa.array(out, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+
+
+def _apply(docs: pa.Table, spans: pa.Table, names: list[str], digests: bool) -> pa.Table:
+    """Step 4: one block's rows, with what their spans leave."""
+    found = [_unpack(x, (np.int64,) * 3) for x in spans.column("data").to_pylist()]
+    owner, start, end = merge_spans(*(np.concatenate([x[k] for x in found]) for k in range(3))) if found else (np.zeros(0, np.int64),) * 3
+    ids = docs.column("_owner").to_pylist()
+    buf, offsets = utf8(docs.column("text"))
+    n_removed, n_spans, kept = [], [], []
+    for i, own in enumerate(ids):
+        raw = buf[offsets[i] : offsets[i + 1]]
+        lo, hi = np.searchsorted(owner, [own, own + 1]) if own is not None else (0, 0)
+        s, e = np.minimum(start[lo:hi], len(raw)), np.minimum(end[lo:hi], len(raw))
+        s, e = s[e > s], e[e > s]
+        if len(s):
+            stay = np.ones(len(raw), bool)
+            stay[ragged(s, e - s)] = False
+            raw = raw[stay]
+        n_removed.append(int((e - s).sum())), n_spans.append(len(s))
+        kept.append(hashlib.sha256(raw).hexdigest() if digests else raw.tobytes().decode("utf-8", "ignore"))
+    out = docs.select(names)
+    for name, values in (("_n_bytes", pa.array(np.diff(offsets), pa.int64())), ("_n_removed", pa.array(n_removed, pa.int64())), ("_n_spans", pa.array(n_spans, pa.int64())), ("_kept", pa.array(kept, pa.string()))):
+        out = out.append_column(name, values)
+    return out
 
 
-def removed_spans(docs: DataFrame, text: str | Column = "text", doc_id: str | Column = "doc_id", length: int = 100, q: int = 24, block: int = 4 << 20) -> DataFrame:
-    """(owner, spans array<binary>): the byte spans that ``docs`` repeat; each binary holds pairs of 64-bit start and end."""
-    if length < q + 8 or q % 8 or q < 8:
-        raise ValueError("q must be a multiple of 8, and length at least q + 8")
+def _joined(docs: DataFrame, names: list[str], digests: bool, length: int = 100, q: int = 24, block: int = 1 << 20) -> DataFrame:
+    if length < q + 16 or q % 8 or q < 8:
+        raise ValueError("q must be a multiple of 8, and length at least q + 16")
     parts = max(1, shuffle_parts(docs.sparkSession))
-    rows = docs.select(F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id, F.col(text) if isinstance(text, str) else text).toDF("owner", "text").filter("owner is not null and octet_length(text) >= %d" % length)
-    runs = rows.mapInArrow(lambda it: _emit(it, length, q, parts, block), _ROWS)
-    found = runs.groupBy("part").applyInArrow(lambda t: _settle(t, length, q), _SPANS)
-    return found.groupBy("owner").agg(F.collect_list("data").alias("spans"))
-
-
-def _apply(batches, digest: bool):
-    for batch in batches:
-        buf, offsets = utf8(batch.column("_text"))
-        spans = batch.column("_spans").to_pylist()
-        n_removed, n_spans, kept = [], [], []
-        for i, found in enumerate(spans):
-            raw = buf[offsets[i] : offsets[i + 1]]
-            if found:
-                both = np.concatenate([np.frombuffer(x, np.int64) for x in found]).reshape(-1, 2)
-                both = np.minimum(both, len(raw))
-                _, s, e = merge_spans(np.zeros(len(both), np.int64), both[:, 0], both[:, 1])
-                stay = np.ones(len(raw), bool)
-                stay[ragged(s, e - s)] = False
-                n_removed.append(int((e - s).sum()))
-                n_spans.append(len(s))
-                raw = raw[stay]
-            else:
-                n_removed.append(0)
-                n_spans.append(0)
-            kept.append(raw.tobytes())
-        out = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] not in ("_text", "_spans")]
-        names = [x for x in batch.schema.names if x not in ("_text", "_spans")]
-        out += [pa.array(np.diff(offsets), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())]
-        if digest:
-            out.append(pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
-        else:
-            out.append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
-        yield pa.record_batch(out, [*names, "_n_bytes", "_n_removed", "_n_spans", "_kept"])
-
-
-def _joined(docs: DataFrame, columns: list[str], digest: bool, **kw) -> DataFrame:
-    spans = removed_spans(docs, **kw).withColumnsRenamed({"owner": "_owner", "spans": "_spans"})
-    rows = docs.select(*columns, F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_id"))
-    both = rows.join(spans.hint("shuffle_hash"), F.col("_id") == F.col("_owner"), "left").drop("_owner", "_id")
-    kind = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
-    return both.mapInArrow(lambda it: _apply(it, digest), f"{kind}, _n_bytes long, _n_removed long, _n_spans long, _kept string")
+    owner = F.col("doc_id").cast("long")
+    dealt = docs.select(*names, "text", owner.alias("_owner")).withColumn("_block", _block_column(F.col("_owner"), parts)).groupBy("_block")
+    rows = docs.select(owner.alias("_owner"), "text").filter(f"_owner is not null and octet_length(text) >= {length}")
+    anchors = rows.mapInArrow(lambda it: _anchors(it, length, q, parts, block), _ROWS)
+    flags = anchors.groupBy("part").applyInArrow(lambda t: _met_twice(t, parts), _BLOCK)
+    runs = dealt.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: _emit(d, f, length, q, parts, block), _ROWS)
+    spans = runs.groupBy("part").applyInArrow(lambda t: _settle(t, length, q, parts), _BLOCK)
+    kind = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
+    schema = f"{kind}, _n_bytes long, _n_removed long, _n_spans long, _kept string"
+    return dealt.cogroup(spans.groupBy("block")).applyInArrow(lambda d, f: _apply(d, f, names, digests), schema)
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:
