@@ -9,10 +9,11 @@ them, miss a pair at 0.85 with probability 7e-6 (0.8: 1.2e-4 with 16, so lower t
 
 How it scales. Documents with the same set are one class at once: their sets are told apart by a 128-bit sum, and only the
 smallest doc_id goes on, so a group of copies, however large, is one member. A bucket never lists its pairs. First, each member
-is compared with its bucket's smallest, which joins most of what belongs together. What stays apart in a bucket is compared in
-tiles of at most 256 by 256 members, by signature first (pairs of the same component, and pairs whose signatures agree in so few
-coordinates that the threshold is out of reach but for one in 1e9, are left out), and whatever remains is verified on full sets.
-Components come from large-star/small-star rounds of joins; nothing of the corpus goes to the driver but counts.
+is compared with its bucket's centre (the member with most company over all bands: the original of a group of copies, as a rule), which
+joins most of what belongs together. Buckets that still hold several components are gathered by centre and cut into tiles of bounded size;
+a tile looks for links between components by prefix filter (two sets that reach the threshold share one of their rarest shingles), verifies
+them on full sets in place, and gives at most a spanning forest. Components come from large-star/small-star rounds of joins; nothing of the
+corpus goes to the driver but counts.
 
 Cases. Null or empty text, or no words: empty set, n_shingles 0, alone. Fewer words than a shingle: the whole sequence is the
 one shingle. Repeated rows: same set, same class; rows that share a doc_id and differ share the class of that id. Null
@@ -21,8 +22,6 @@ doc_id: alone, component null, kept. Empty table: no rows. Other columns are car
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -127,21 +126,52 @@ def _sets(batches, k: int):
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([sets[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "set"])
 
 
-def _tile_pairs(table: pa.Table, least: int) -> pa.Table:
-    """Pairs of one tile (members of block x, and of block y where it differs) in different components whose signatures agree enough."""
-    ids = table.column("id").to_numpy()
-    comp = table.column("component").to_numpy()
-    side = table.column("side").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-    x = np.flatnonzero(side != 2)
-    y = np.flatnonzero(side == 2) if (side == 2).any() else x
+def _tile_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links between members of different components in a tile (within block x, or between x and y where they differ), without those that follow from others."""
+    ids, comp, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
+    sets = [np.frombuffer(x.as_py(), U64) for x in table.column("set")]
+    n = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
+    # a shared shingle must be among the rarest n - ceil(n * percent / 100) + 1 of both; those in one set alone can't be shared
+    order = np.lexsort((token, times[token], owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    first = order[(place < (n - (n * percent + 99) // 100 + 1)[owner[order]]) & (times[token[order]] > 1)]
+    first = first[np.argsort(token[first], kind="stable")]
+    who, key = owner[first], token[first]
+    cuts = np.searchsorted(key, np.arange(len(times) + 1))
+    mine = [[] for _ in sets]
+    for i, k in zip(who.tolist(), key.tolist(), strict=True):
+        mine[i].append(k)
+    parent = {c: c for c in comp.tolist()}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
     a, b = [], []
-    for i in x:
-        other = y[(comp[y] != comp[i]) & ((ids[y] > ids[i]) if y is x else True)]
-        other = other[(sig[other] == sig[i]).sum(1) >= least] if len(other) else other
-        a.append(np.minimum(ids[other], ids[i]))
-        b.append(np.maximum(ids[other], ids[i]))
-    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+    two = (side == 2).any()
+    for i in np.argsort(-n, kind="stable").tolist():
+        if not mine[i]:
+            continue
+        other = np.unique(np.concatenate([who[cuts[k] : cuts[k + 1]] for k in mine[i]]))
+        other = other[(100 * n[other] >= percent * n[i]) & ((n[other] < n[i]) | ((n[other] == n[i]) & (ids[other] > ids[i])))]
+        if two:
+            other = other[(side[other] == 2) != (side[i] == 2)]
+        at = root(int(comp[i]))
+        for j in other.tolist():
+            if root(int(comp[j])) == at:
+                continue
+            z = np.concatenate([sets[i], sets[j]])
+            z.sort()
+            both = int((z[1:] == z[:-1]).sum())
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                a.append(int(ids[i])), b.append(int(ids[j]))
+                parent[at] = root(int(comp[j]))
+                at = root(at)
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -162,51 +192,38 @@ def components(links: DataFrame, tag: str = "links") -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def least_agreement(coordinates: int, percent: int, miss: float = 1e-9) -> int:
-    """The most coordinates such that a pair at the threshold agrees in fewer with probability at most miss."""
-    p, total = percent / 100, 0.0
-    for x in range(coordinates + 1):
-        total += math.comb(coordinates, x) * p**x * (1 - p) ** (coordinates - x)
-        if total > miss:
-            return x
-    return coordinates
-
-
-def classes(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 16, rows: int = 4, tile: int = 256) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text). Links: 100 * intersection >= percent * union."""
+def classes(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 16, rows: int = 4, tile: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text). Links: 100 * intersection >= percent * union; tile: shingles in a block."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(lambda it: _sketch(it, k, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
     full = sketch.filter("n_shingles > 0 and doc_id is not null")
     same = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"))
     members = materialize(same, "members")
     buckets = members.select("id", "sig").mapInArrow(lambda it: _band_rows(it, bands, rows), "id long, band long")
-    counted = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
-    shared = materialize(buckets.join(counted.select("band", "low"), "band"), "buckets")
-    text = docs.filter("doc_id is not null")
-
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        """Those of pairs(a, b) that are linked, by the full sets of just the documents that pairs name."""
-        pairs = materialize(pairs.distinct(), tag)
-        named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = materialize(text.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "id long, set binary"), tag)
-        wide = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return materialize(wide.mapInArrow(lambda it: _verify(it, percent), "a long, b long"), tag)
-
-    links = verified(shared.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")), "star")
+    counted = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(buckets.join(counted, "band"), "buckets")
+    # each bucket's centre is the member with most company over all bands: the original of a group of copies, as a rule
+    company = shared.groupBy("id").agg(F.sum("n").alias("company"))
+    centres = shared.join(company, "id").groupBy("band").agg(F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("c")).select("band", (-F.col("c.id")).alias("centre"))
+    shared = materialize(shared.select("id", "band").join(centres, "band"), "buckets")
+    named = shared.select(F.col("id").alias("doc_id")).distinct()
+    text = docs.filter("doc_id is not null").join(named.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(text.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "id long, set binary"), "sets")
+    pairs = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    wide = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    links = materialize(wide.mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "star")
     found = components(links)
-    least = least_agreement(bands * rows, percent)
-    apart = shared.join(found, "id", "left").select("id", "band", F.coalesce("component", "id").alias("component"))
-    mixed = apart.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1 and n > 2").select("band", "n")
-    left = apart.join(mixed, "band").join(members.select("id", "sig"), "id")
-    # a bucket of n members falls into blocks of about tile members; block x meets blocks x, x + 1, ...
-    blocks = F.ceil(F.col("n") / tile).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    ways = F.expr("""flatten(array(
+    apart = shared.join(found, "id", "left").select("id", "band", "centre", F.coalesce("component", "id").alias("component"))
+    mixed = apart.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1 and n > 2").select("band")
+    left = materialize(apart.join(mixed, "band").select("centre", "id", "component").distinct().join(members.select("id", "n_shingles"), "id"), "left")
+    # what is left around a centre falls into blocks of about tile shingles; block x meets blocks x, x + 1, ...
+    sizes = left.groupBy("centre").agg(F.ceil(F.sum("n_shingles") / tile).cast("int").alias("blocks"))
+    left = left.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    ways = F.expr("""concat(
         transform(sequence(block, blocks - 1), y -> named_struct('x', block, 'y', y, 'side', if(y = block, 0, 1))),
-        if(block > 0, transform(sequence(0, block - 1), x -> named_struct('x', x, 'y', block, 'side', 2)), array())))""")
-    tiles = left.select("id", "band", "component", "sig", F.explode(ways).alias("w")).select("id", "band", "component", "sig", "w.x", "w.y", "w.side")
-    more = tiles.groupBy("band", "x", "y").applyInArrow(lambda t: _tile_pairs(t, least), "a long, b long")
-    again = verified(more, "tiles")
+        if(block > 0, transform(sequence(0, block - 1), x -> named_struct('x', x, 'y', block, 'side', 2)), cast(array() as array<struct<x:int,y:int,side:int>>)))""")
+    tiles = left.join(sets, "id").select("id", "centre", "component", "set", F.explode(ways).alias("w")).select("id", "centre", "component", "set", "w.x", "w.y", "w.side")
+    again = materialize(tiles.groupBy("centre", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long"), "tiles")
     if again.take(1):
         found = components(links.unionByName(again))
     found = found.select(F.col("id"), "component")
