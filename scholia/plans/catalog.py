@@ -1,6 +1,285 @@
-"""Named queries over the driver's tables, with the SQL that gives the same rows."""
+"""Named queries over the driver's tables, with the SQL that gives the same rows.
+
+Views: a ``source`` of documents is a document and its rows are pages, in order of doc_id; vectors are chunks and labels pages; suppliers are pages and the parts
+they ship are entities; vectors' similarity gives the graph's edges.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import evaluate, graph, references, restructure, retrieve, vector
+from ..sources import readers
+from ..streaming import upsert
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages(spark, sf_dir) -> DataFrame:
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return table(spark, sf_dir, "documents").select("source", F.row_number().over(w).alias("number"), "text")
+
+
+_DP = "dp AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS number, text FROM documents)"
+
+
+def outline(spark, sf_dir) -> DataFrame:
+    n = F.col("number")
+    return pages(spark, sf_dir).filter(n % 3 != 0).select("source", n.alias("ord"), (1 + (n * 7) % 3).alias("level"), F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(60)).alias("title"), (n - n % 2).alias("page"))
+
+
+_OL = "ol AS (SELECT source, number AS ord, 1 + (number * 7) % 3 AS level, left(split_part(text, chr(10), 1), 60) AS title, number - number % 2 AS page FROM dp WHERE number % 3 <> 0)"
+_CUTS = f"""{_DP}, {_OL}, top AS (SELECT source, max(number) AS last FROM dp GROUP BY 1),
+c0 AS (SELECT ol.*, last FROM ol JOIN top USING (source) WHERE level <= 2 AND page BETWEEN 1 AND last),
+c1 AS (SELECT *, lag(page) OVER (PARTITION BY source ORDER BY ord) AS b FROM c0),
+c2 AS (SELECT source, ord, page, title, level, last FROM c1 WHERE b IS NULL OR b <> page),
+ff AS (SELECT source, arg_min(page, ord) AS f FROM c2 GROUP BY 1),
+c3 AS (SELECT * FROM c2 UNION ALL SELECT top.source, -1, 1, 'Front Matter', 1, last FROM top LEFT JOIN ff USING (source) WHERE last >= 1 AND (f IS NULL OR f > 1)),
+cut AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS i, page, title, level, ord, last, coalesce(lead(page) OVER (PARTITION BY source ORDER BY ord), last + 1) AS next_page FROM c3)"""
+
+
+def cuts(spark, sf_dir):
+    return restructure.cuts(outline(spark, sf_dir), pages(spark, sf_dir))
+
+
+def chunk_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("page"), F.col("embedding").alias("emb"))
+
+
+def mention_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("entity")).distinct()
+
+
+def first_vector(spark, sf_dir) -> list[float]:
+    return [float(x) for x in table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()[0]]
+
+
+def edge_rows(spark, sf_dir) -> DataFrame:
+    """A graph over suppliers: parent s // 10, next s + 1, references by customers' nations, similar by shared remainders."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"))
+    last = s.agg(F.max("s").alias("m"))
+    none = F.lit(None).cast("double")
+    child = s.filter("s >= 10").select(F.col("s").alias("src"), F.expr("s div 10").alias("dst"), F.lit("CHILD_OF").alias("rel"), none.alias("score"))
+    nxt = s.crossJoin(F.broadcast(last)).filter("s < m").select(F.col("s").alias("src"), (F.col("s") + 1).alias("dst"), F.lit("NEXT").alias("rel"), none.alias("score"))
+    ref = s.crossJoin(F.broadcast(last)).select(F.col("s").alias("src"), (F.col("s") * 7 % F.col("m") + 1).alias("dst"), F.lit("REFERENCES").alias("rel"), none.alias("score")).filter("src <> dst and src % 3 = 0")
+    sim = s.crossJoin(F.broadcast(last)).select(F.col("s").alias("src"), (F.col("s") * 11 % F.col("m") + 1).alias("dst"), F.lit("SIMILAR_TO").alias("rel"), (1.0 / (1 + F.col("s") % 5)).alias("score")).filter("src <> dst and src % 2 = 0")
+    return child.unionByName(nxt).unionByName(ref).unionByName(sim)
+
+
+_EDGES = """s AS (SELECT CAST(s_suppkey AS BIGINT) AS s FROM supplier), m AS (SELECT max(s) AS m FROM s),
+edges AS (SELECT s AS src, s // 10 AS dst, 'CHILD_OF' AS rel, CAST(NULL AS DOUBLE) AS score FROM s WHERE s >= 10
+UNION ALL SELECT s, s + 1, 'NEXT', NULL FROM s, m WHERE s < m
+UNION ALL SELECT s, s * 7 % m + 1, 'REFERENCES', NULL FROM s, m WHERE s <> s * 7 % m + 1 AND s % 3 = 0
+UNION ALL SELECT s, s * 11 % m + 1, 'SIMILAR_TO', 1.0 / (1 + s % 5) FROM s, m WHERE s <> s * 11 % m + 1 AND s % 2 = 0)"""
+_MENTIONS = "me AS (SELECT DISTINCT l_suppkey AS page, l_partkey AS entity FROM lineitem)"
+_UNIT = "SELECT vec_id AS id, label AS page, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings"
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+@query(f"WITH u AS ({_UNIT}), q AS (SELECT v AS q FROM u ORDER BY id LIMIT 1) SELECT id, round(list_dot_product(v, q), 6) AS score FROM u, q ORDER BY round(list_dot_product(v, q), 12) DESC, id LIMIT 5")
+def vec_topk(spark, sf_dir):
+    return vector.search(chunk_rows(spark, sf_dir), first_vector(spark, sf_dir), 5).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH u AS ({_UNIT}), p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 12) AS s FROM u a JOIN u b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM p WHERE s > 0) SELECT a, b, CAST(r AS INT) AS rank, round(s, 6) AS score FROM r WHERE r <= 6")
+def vec_similar_topk(spark, sf_dir):
+    return vector.similar(chunk_rows(spark, sf_dir)).select("a", "b", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH u AS ({_UNIT}), f AS (SELECT page, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM u), a AS (SELECT page, p, avg(x) AS x FROM f GROUP BY 1, 2), n AS (SELECT page, sqrt(sum(x * x)) AS n FROM a GROUP BY 1) SELECT page, CAST(p - 1 AS INT) AS p, round(x / n, 6) AS x FROM a JOIN n USING (page)")
+def page_centroid(spark, sf_dir):
+    return vector.centroids(chunk_rows(spark, sf_dir)).select("page", F.posexplode("emb").alias("p", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH u AS ({_UNIT}), q AS (SELECT v AS q FROM u ORDER BY id LIMIT 1), s AS (SELECT page, id, round(list_dot_product(v, q), 12) AS s FROM u, q), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY s DESC, id) AS r FROM s) SELECT page, id, round(s, 6) AS score FROM r WHERE r = 1")
+def best_chunk_per_page(spark, sf_dir):
+    return vector.best_chunk_per_page(chunk_rows(spark, sf_dir), first_vector(spark, sf_dir)).select("page", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH u AS ({_UNIT}), q AS (SELECT id AS qid, v AS q FROM u WHERE id < 20), s AS (SELECT qid, id, page, round(list_dot_product(v, q), 12) AS s FROM u, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS r FROM s) SELECT qid, id, page, CAST(r AS INT) AS marker, round(1 - s, 6) AS distance FROM r WHERE r <= 5")
+def hybrid_search(spark, sf_dir):
+    c = chunk_rows(spark, sf_dir)
+    return retrieve.seeds(retrieve.scored(c.filter("id < 20").select(F.col("id").alias("qid"), "emb"), c), 5).select("qid", "id", "page", "marker", F.round(1 - F.col("score"), 6).alias("distance"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT *, len(w) AS n, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 180 THEN 1 ELSE CAST(ceil((len(w) - 180) / 150.0) AS INT) + 1 END AS k FROM w),
+e AS (SELECT *, unnest(range(k)) AS i FROM k) SELECT doc_id, CAST(i AS INT) AS chunk_index, array_to_string(list_slice(w, i * 150 + 1, i * 150 + 180), ' ') AS text FROM e""")
+def chunk_windows(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.windows(F.col("text"))).alias("chunk_index", "text"))
+
+
+@query(f"WITH {_CUTS} SELECT source, i, page AS page_start, greatest(next_page - 1, page) AS page_end, title, level, (SELECT count(*) FROM dp WHERE dp.source = cut.source AND number >= page AND number < next_page AND trim(text) <> '') AS n_pages, coalesce((SELECT string_agg(trim(text), chr(10) || chr(10) ORDER BY number) FROM dp WHERE dp.source = cut.source AND number >= page AND number < next_page), '') AS text FROM cut")
+def wiki_cuts_assembly(spark, sf_dir):
+    return restructure.assemble(cuts(spark, sf_dir), pages(spark, sf_dir)).select("source", "i", "page_start", "page_end", "title", "level", "n_pages", "text")
+
+
+@query(f"WITH {_CUTS} SELECT c.source, c.i, max(p.i) AS parent FROM cut c LEFT JOIN cut p ON p.source = c.source AND p.i < c.i AND p.level < c.level GROUP BY 1, 2")
+def wiki_parent(spark, sf_dir):
+    return restructure.parents(cuts(spark, sf_dir)).select("source", "i", "parent")
+
+
+@query(f"WITH {_CUTS} SELECT c.source, i, o.ord AS sub_ord, o.title AS sub_title, o.level AS sub_level FROM cut c JOIN ol o ON o.source = c.source AND o.page >= c.page AND o.page < c.next_page AND o.ord <> c.ord")
+def subsections(spark, sf_dir):
+    return restructure.subsections(cuts(spark, sf_dir), outline(spark, sf_dir))
+
+
+@query(f"WITH {_CUTS} SELECT source, i, lag(i) OVER (PARTITION BY source ORDER BY i) AS prev, lead(i) OVER (PARTITION BY source ORDER BY i) AS next FROM cut")
+def page_neighbours(spark, sf_dir):
+    return restructure.neighbours(cuts(spark, sf_dir)).select("source", "i", "prev", "next")
+
+
+@query("WITH n AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY 1) SELECT source, n_pages, CAST(coalesce(sum(n_pages) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM n")
+def merge_offsets(spark, sf_dir):
+    return restructure.merge_offsets(table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_pages")))
+
+
+def numbered(spark, sf_dir) -> DataFrame:
+    """Pages that print a number two below their own, and refer to page number * 3 % 40 + 1."""
+    p = pages(spark, sf_dir)
+    return p.withColumn("text", F.concat(F.lit("p "), F.when(F.col("number") > 2, (F.col("number") - 2).cast("string")).otherwise(""), F.lit(" siehe Seite "), (F.col("number") * 3 % 40 + 1).cast("string"), F.lit(" .")))
+
+
+_NUM = f"{_DP}, np AS (SELECT source, number, 'p ' || CASE WHEN number > 2 THEN CAST(number - 2 AS VARCHAR) ELSE '' END || ' siehe Seite ' || CAST(number * 3 % 40 + 1 AS VARCHAR) || ' .' AS text FROM dp)"
+_OFFSET = """v AS (SELECT source, number, unnest(t) AS p, generate_subscripts(t, 1) AS pos FROM (SELECT source, number, regexp_extract_all(text, '\\b(\\d{1,3})\\b', 1) AS t FROM np)),
+k AS (SELECT v.source, number - CAST(p AS INT) AS k, number, pos FROM v JOIN (SELECT source, max(number) AS n FROM np GROUP BY 1) USING (source) WHERE CAST(p AS INT) BETWEEN 1 AND n AND number - CAST(p AS INT) BETWEEN 0 AND 40),
+t AS (SELECT source, k, count(*) AS c, min(number * 100000 + pos) AS f FROM k GROUP BY 1, 2), o AS (SELECT source, k AS "offset", row_number() OVER (PARTITION BY source ORDER BY c DESC, f) AS r FROM t)"""
+
+
+@query(f"WITH {_NUM}, {_OFFSET} SELECT source, CAST(\"offset\" AS INT) AS \"offset\" FROM o WHERE r = 1")
+def offset_mode(spark, sf_dir):
+    return references.page_offsets(numbered(spark, sf_dir))
+
+
+@query(f"""WITH {_NUM}, {_OFFSET}, sp AS (SELECT source, number, source || '-' || CAST((number - 1) // 4 AS VARCHAR) AS slug FROM dp)
+SELECT DISTINCT a.slug AS src, b.slug AS dst FROM np JOIN o ON o.source = np.source AND r = 1 JOIN sp a ON a.source = np.source AND a.number = np.number
+JOIN sp b ON b.source = np.source AND b.number = CAST(regexp_extract(text, 'Seite (\\d+)', 1) AS INT) + o."offset" WHERE a.slug <> b.slug""")
+def page_refs(spark, sf_dir):
+    p = numbered(spark, sf_dir)
+    spans = p.groupBy("source", F.expr("(number - 1) div 4").alias("g")).agg(F.min("number").alias("page_start"), F.max("number").alias("page_end")).select("source", F.concat_ws("-", "source", "g").alias("slug"), "page_start", "page_end")
+    return references.page_reference_edges(p, spans, references.page_offsets(p))
+
+
+@query(f"WITH {_MENTIONS}, n AS (SELECT a.page AS a, b.page AS b, count(*) AS n FROM me a JOIN me b ON a.entity = b.entity AND a.page <> b.page GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM n) SELECT a, b, n FROM r WHERE r <= 6")
+def shared_entity_topk(spark, sf_dir):
+    w = Window.partitionBy("a").orderBy(F.desc("n"), "b")
+    return graph.shared_entities(mention_rows(spark, sf_dir)).withColumn("r", F.row_number().over(w)).filter("r <= 6").drop("r")
+
+
+@query(f"WITH {_MENTIONS}, n AS (SELECT entity, count(*) AS n FROM me GROUP BY 1) SELECT count(*) AS entities, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n > 1) AS cross_page FROM n")
+def entity_singletons(spark, sf_dir):
+    return graph.singletons(mention_rows(spark, sf_dir))
+
+
+@query(f"WITH {_MENTIONS} SELECT entity, count(*) AS n FROM me GROUP BY 1 ORDER BY n DESC, entity LIMIT 12")
+def entity_hubs(spark, sf_dir):
+    return graph.entity_hubs(mention_rows(spark, sf_dir))
+
+
+@query(f"WITH {_MENTIONS}, n AS (SELECT entity, count(*) AS n FROM me GROUP BY 1), r AS (SELECT page, entity, n, row_number() OVER (PARTITION BY page ORDER BY n DESC, entity) AS r FROM me JOIN n USING (entity)) SELECT page, entity, n, CAST(r AS INT) AS rank FROM r WHERE r <= 8")
+def page_entities(spark, sf_dir):
+    return graph.page_entities(mention_rows(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT rel, count(*) AS n FROM edges GROUP BY 1")
+def graph_stats(spark, sf_dir):
+    return graph.stats(edge_rows(spark, sf_dir))
+
+
+_DEG = "d AS (SELECT p, count(*) AS d FROM (SELECT src AS p FROM edges WHERE rel IN ('SIMILAR_TO', 'REFERENCES') UNION ALL SELECT dst FROM edges WHERE rel IN ('SIMILAR_TO', 'REFERENCES')) GROUP BY 1)"
+
+
+@query(f"WITH {_EDGES}, {_DEG} SELECT s AS page, coalesce(d, 0) AS degree FROM s LEFT JOIN d ON p = s")
+def graph_degrees(spark, sf_dir):
+    return graph.degrees(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("page")), edge_rows(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES}, {_DEG}, {_MENTIONS}, f AS (SELECT s, coalesce(d, 0) AS d, s IN (SELECT src FROM edges WHERE rel = 'SIMILAR_TO') AS sim, s IN (SELECT page FROM me) AS ent, d IS NOT NULL AS e FROM s LEFT JOIN d ON p = s) SELECT count(*) AS pages, count(*) FILTER (NOT sim) AS no_similar, count(*) FILTER (NOT ent) AS no_entities, count(*) FILTER (NOT ent AND NOT e) AS orphans, round(avg(d), 2) AS avg_degree FROM f")
+def graph_health(spark, sf_dir):
+    return graph.health(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("page")), edge_rows(spark, sf_dir), mention_rows(spark, sf_dir))
+
+
+@query(f"""WITH {_EDGES}, {_MENTIONS}, sh AS (SELECT a.page AS a, b.page AS b, count(*) AS n FROM me a JOIN me b ON a.entity = b.entity AND a.page <> b.page GROUP BY 1, 2),
+r AS (SELECT src, dst AS node, 0 AS g, 0.0 AS o FROM edges WHERE rel = 'CHILD_OF' UNION ALL SELECT dst, src, 1, 0 FROM edges WHERE rel = 'CHILD_OF' UNION ALL SELECT dst, src, 2, 0 FROM edges WHERE rel = 'NEXT' UNION ALL SELECT src, dst, 3, 0 FROM edges WHERE rel = 'NEXT'
+UNION ALL SELECT src, dst, 4, 0 FROM edges WHERE rel = 'REFERENCES' UNION ALL SELECT dst, src, 5, 0 FROM edges WHERE rel = 'REFERENCES' UNION ALL SELECT a, b, 6, -n FROM sh UNION ALL SELECT src, dst, 7, -score FROM edges WHERE rel = 'SIMILAR_TO'),
+k AS (SELECT *, row_number() OVER (PARTITION BY src, g ORDER BY o, node) AS k FROM r)
+SELECT src, node, (['parent', 'child', 'prev', 'next', 'references', 'referenced_by', 'shared_entity', 'similar'])[min(g) + 1] AS rel FROM k WHERE k <= CASE g WHEN 4 THEN 8 WHEN 5 THEN 6 WHEN 6 THEN 6 WHEN 7 THEN 6 ELSE 1000000000 END GROUP BY 1, 2""")
+def neighborhood(spark, sf_dir):
+    return graph.neighborhood(edge_rows(spark, sf_dir), mention_rows(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h(node, hops) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT b.dst, hops + 1 FROM h JOIN b ON b.src = h.node WHERE hops < 3) SELECT node, CAST(min(hops) AS INT) AS hops FROM h GROUP BY 1""")
+def path_hops(spark, sf_dir):
+    return graph.hops(edge_rows(spark, sf_dir), 1, 3)
+
+
+@query("""WITH r AS (SELECT doc_id % 50 AS qid, list(doc_id ORDER BY n_chars DESC, doc_id) AS ranked, list_filter(list(doc_id ORDER BY doc_id), lambda x: x % 7 = 0) AS expected FROM documents GROUP BY 1),
+m AS (SELECT coalesce(1.0 / list_min(list_filter(list_transform(ranked, lambda x, i: CASE WHEN list_contains(expected, x) THEN i END), lambda i: i IS NOT NULL)), 0) AS rr, CAST(list_has_any(list_slice(ranked, 1, 8), expected) AS INT) AS hit, CASE WHEN len(expected) > 0 THEN len(list_intersect(list_slice(ranked, 1, 8), expected)) / len(expected) ELSE 0 END AS rec FROM r)
+SELECT count(*) AS n, round(avg(rr), 6) AS mrr, round(avg(hit), 6) AS hit_rate, round(avg(rec), 6) AS recall, count(*) FILTER (hit = 0) AS misses FROM m""")
+def eval_mrr_hit_recall(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 50).alias("qid")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("o"), "doc_id"))).alias("r"))
+    ranked = F.transform("r", lambda x: x["doc_id"])
+    d = d.select("qid", ranked.alias("ranked"), F.filter(ranked, lambda x: x % 7 == 0).alias("expected"))
+    return evaluate.report(d, 8).select("n", *[F.round(c, 6).alias(c) for c in ("mrr", "hit_rate", "recall")], "misses")
+
+
+_NAME = "array_to_string(list_filter(string_split_regex(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '' AND x NOT IN ('der', 'die', 'das', 'den', 'dem', 'des', 'ein', 'eine', 'einer', 'eines', 'einem', 'the', 'a', 'an')), ' ')"
+
+
+@query(f"WITH n AS (SELECT p_partkey, {_NAME} AS x FROM part) SELECT p_partkey, CASE WHEN x LIKE '%en' AND length(x) >= 6 THEN left(x, length(x) - 2) WHEN x LIKE '%n' AND length(x) >= 5 THEN left(x, length(x) - 1) WHEN x LIKE '%e' AND length(x) >= 5 THEN left(x, length(x) - 1) ELSE x END AS key FROM n")
+def entity_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.entity_key_name(F.col("p_name")).alias("key"))
+
+
+@query("SELECT doc_id, CASE WHEN length(x) > 160 THEN rtrim(left(x, 160)) || '…' ELSE x END AS snippet FROM (SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ') AS x FROM documents)")
+def snippets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(rtrim(left(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-'), ''), 'section') AS slug FROM part")
+def slug_ascii(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.slug_ascii(F.col("p_name")).alias("slug"))
+
+
+@query("SELECT doc_id, trim(regexp_replace('<think>' || left(text, 40) || '</think> ' || source, '(?s)<think>.*?</think>', '', 'g')) AS answer, [CAST(doc_id % 5 AS INT), CAST(7 AS INT)] AS cited FROM documents")
+def citations(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    reply = F.concat(F.lit("<think>"), F.left("text", F.lit(40)), F.lit("</think> "), "source")
+    marks = F.concat(F.lit("see ["), (F.col("doc_id") % 5).cast("string"), F.lit("] and [7], ["), (F.col("doc_id") % 5).cast("string"), F.lit("]"))
+    return d.select("doc_id", T.strip_think(reply).alias("answer"), T.citations(marks).alias("cited"))
+
+
+@query("SELECT user_id, arg_max(value, {'t': ts, 'e': event_id}) AS value, count(*) AS revisions FROM events GROUP BY 1")
+def latest_edits(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    last = upsert.latest(e.select("user_id", "value", F.struct("ts", "event_id").alias("version")), "user_id", "version")
+    return last.select("user_id", "value").join(e.groupBy("user_id").agg(F.count("*").alias("revisions")), "user_id")
+
+
+@query()
+def html_sections(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.inline(readers.html_sections()(F.col("html"))))
+
+
+@query()
+def graph_rag(spark, sf_dir):
+    c = chunk_rows(spark, sf_dir)
+    edges = vector.similar(vector.centroids(c).withColumnRenamed("page", "id")).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), F.lit("SIMILAR_TO").alias("rel"), "score")
+    c = c.withColumn("page", F.col("page").cast("long"))
+    return retrieve.graph_rag(c.filter("id < 20").select(F.col("id").alias("qid"), "emb"), c, edges, mention_rows(spark, sf_dir).limit(0))
