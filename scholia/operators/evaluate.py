@@ -37,3 +37,12 @@ def grounding(answers: DataFrame, sources: DataFrame) -> DataFrame:
     n = F.size(F.array_distinct("expected"))
     both = F.size(F.array_intersect("pages", "expected"))
     return g.select("qid", (both > 0).alias("cite_hit"), F.when(n > 0, both / n).otherwise(0.0).alias("expected_recall"))
+
+
+def judge_tally(replies: DataFrame) -> DataFrame:
+    """questions, first, second, tie of replies(ord, reply). On odd questions the judge saw the second system's answer as A, so its verdict turns."""
+    from ..functions.text import verdict
+
+    said = replies.select("ord", verdict(F.col("reply")).alias("v"))
+    won = F.when(F.col("v") == "tie", "tie").when((F.col("v") == "a") == (F.col("ord") % 2 == 0), "first").otherwise("second")
+    return said.select(won.alias("w")).agg(F.count("*").alias("questions"), *[F.count_if(F.col("w") == c).alias(c) for c in ("first", "second", "tie")])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, graph, references, restructure, retrieve, vector
+from ..operators import edit, evaluate, graph, references, restructure, retrieve, sample, vector
 from ..sources import readers
 from ..streaming import upsert
 
@@ -283,3 +283,28 @@ def graph_rag(spark, sf_dir):
     edges = vector.similar(vector.centroids(c).withColumnRenamed("page", "id")).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), F.lit("SIMILAR_TO").alias("rel"), "score")
     c = c.withColumn("page", F.col("page").cast("long"))
     return retrieve.graph_rag(c.filter("id < 20").select(F.col("id").alias("qid"), "emb"), c, edges, mention_rows(spark, sf_dir).limit(0))
+
+
+@query(r"""WITH u AS (SELECT source, doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE regexp_matches(text, '\S')),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM u),
+c AS (SELECT *, count(*) OVER (PARTITION BY source) AS m FROM r WHERE k % greatest(1, n // 40) = 0 AND k < 40 * greatest(1, n // 40))
+SELECT source, left(string_agg(left(t, CAST(greatest(120, 6000 // m) AS INT)), chr(10) || '---' || chr(10) ORDER BY doc_id), 6000) AS sample FROM c GROUP BY 1""")
+def corpus_sample(spark, sf_dir):
+    return sample.sample_corpus(table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ord"), "text"))
+
+
+@query("""WITH v AS (SELECT doc_id, ['a', 'b', 'tie'][1 + doc_id % 3] AS v FROM documents), w AS (SELECT CASE WHEN v = 'tie' THEN 'tie' WHEN (v = 'a') = (doc_id % 2 = 0) THEN 'first' ELSE 'second' END AS w FROM v)
+SELECT count(*) AS questions, count(*) FILTER (w = 'first') AS "first", count(*) FILTER (w = 'second') AS "second", count(*) FILTER (w = 'tie') AS tie FROM w""")
+def judge_tally(spark, sf_dir):
+    reply = F.concat(F.lit("<think>B?</think> Verdict: "), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("tie")), (1 + F.col("doc_id") % 3).cast("int")), F.lit("."))
+    return evaluate.judge_tally(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), reply.alias("reply")))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, p_partkey % 4 AS k, split_part(p_name, ' ', 1) AS w FROM part), o AS (SELECT *, (length(p_name) - length(replace(p_name, w, ''))) // length(w) AS n FROM p)
+SELECT 'p' || p_partkey AS slug, CASE WHEN k = 2 THEN 'exists' WHEN k = 3 THEN 'missing' WHEN k = 0 AND n > 1 THEN 'not unique' ELSE 'ok' END AS status,
+CASE WHEN k = 0 AND n = 1 THEN replace(p_name, w, 'new') WHEN k = 1 THEN p_name || chr(10) || chr(10) || '## ' || w || chr(10) || chr(10) || 'new' || chr(10) WHEN k <> 3 THEN p_name END AS text FROM o""")
+def page_edits(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("slug", F.concat(F.lit("p"), "p_partkey")).withColumn("k", F.col("p_partkey") % 4)
+    kind = F.element_at(F.array(F.lit("edit"), F.lit("append"), F.lit("create"), F.lit("append")), (F.col("k") + 1).cast("int"))
+    edits = p.select("slug", kind.alias("kind"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("old"), F.lit("new").alias("new"))
+    return edit.apply_edits(p.filter("k <> 3").select("slug", F.col("p_name").alias("text")), edits)

@@ -1,7 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
 from scholia.functions import text as T
-from scholia.operators import evaluate, graph, references, restructure, vector
+from scholia.operators import edit, evaluate, graph, references, render, restructure, sample, vector
+from scholia.plans import build
 from scholia.sources import readers
 from scholia.streaming import upsert
 
@@ -93,3 +96,31 @@ def test_upsert_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     upsert.stream_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v=0")).collect()) == [("a", 2, "y"), ("b", 1, "z")]
+
+
+def test_render(spark):
+    rows = [("s", 0, "000-a", "A", 1, 1, 2, "text a", None), ("s", 1, "001-b", "B", 2, 3, 3, "", 0), ("s", 2, "002-c", "C", 1, 4, 4, None, None)]
+    pages = spark.createDataFrame(rows, "source string, i int, slug string, title string, level int, page_start int, page_end int, text string, parent int")
+    subs = spark.createDataFrame([("s", 0, 5, "Sub", 3)], "source string, i int, sub_ord int, sub_title string, sub_level int")
+    assert [r.line for r in render.index_lines(pages).orderBy("i").collect()] == ["- [A](pages/000-a.md)", "  - [B](pages/001-b.md)", "- [C](pages/002-c.md)"]
+    a, b, c = (r.markdown for r in render.page_markdown(pages, subs).orderBy("i").collect())
+    assert a == "# A\n\n[🏠 Home](../index.md) › A\n\n*PDF pages 1–2*\n\n**Subpages**\n\n- [B](001-b.md)\n\n**Contents**\n\n  - Sub\n\n---\n\ntext a\n\n\n---\n\n[B](001-b.md) →\n"
+    assert "[🏠 Home](../index.md) › [A](000-a.md) › B" in b and b.endswith("← [A](000-a.md) · ↑ [A](000-a.md) · [C](002-c.md) →\n") and c.endswith("---\n\n\n---\n\n← [B](001-b.md)\n")
+    got = [json.loads(r.entry) for r in render.manifest(pages, subs).orderBy("i").collect()]
+    assert got[0]["children"] == ["001-b"] and got[1]["parent"] == "000-a" and got[2]["parent"] is None and got[0]["subsections"] == [{"title": "Sub", "level": 3}]
+
+
+def test_edits_samples_and_builds(spark):
+    pages = spark.createDataFrame([("a", "x y x"), ("b", "one\n---\nfoot")], "slug string, text string")
+    rows = [("a", "edit", "x", "z"), ("b", "append", "H", "body"), ("c", "create", "T", " body "), ("d", "edit", "x", "y"), ("e/", "create", "T", "b")]
+    got = {r.slug: (r.status, r.text) for r in edit.apply_edits(pages, spark.createDataFrame(rows, "slug string, kind string, old string, new string")).collect()}
+    assert got == {"a": ("not unique", "x y x"), "b": ("ok", "one\n\n## H\n\nbody\n\n---\nfoot"), "c": ("ok", "# T\n\nbody\n"), "d": ("missing", None), "e/": ("invalid slug", None)}
+    texts = spark.createDataFrame([("s", i, f"t{i}" if i % 2 else " ") for i in range(20)], "source string, ord int, text string")
+    assert sample.sample_corpus(texts, n=3).first().sample == "t1\n---\nt7\n---\nt13"
+    kinds = spark.createDataFrame([(0, " Tool", None), (1, "tool", "x"), (2, "", "y"), (3, "Part", "z")], "ord int, name string, description string")
+    assert [tuple(r) for r in sample.distinct_types(kinds).collect()] == [(0, "Tool", ""), (3, "Part", "z")]
+    now = build.fingerprints([["a.md", 3, 1]], {})
+    there = dict.fromkeys(build.STAGES, True)
+    assert build.stale(now, now, there) == [] and build.stale(now, now, there, force=True) == list(build.STAGES)
+    assert build.stale(now, build.fingerprints([["a.md", 3, 1]], {"similar_k": 9}), there) == ["graph"]
+    assert build.status(now, now, there | {"wiki": False})["wiki"] == "missing" and build.stale({}, now, there, only={"index"}) == ["index"]
