@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -43,6 +44,43 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_kept: dict[tuple[str, str], object] = {}
+
+
+def kept(kind: str, path: str, make):
+    """make(path), kept for this worker's next tasks. A worker keeps one such object at most."""
+    if (kind, path) not in _kept:
+        _kept.clear()
+        _kept[kind, path] = make(path)
+    return _kept[kind, path]
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, beside tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(batches):
+    """The batches of a task that needs no kept object; its memory is given back when it ends."""
+    _kept.clear()
+    try:
+        yield from batches
+    finally:
+        release()
+
+
+def lean_call(f, *args):
+    """f(*args) of one group, with memory given back after it."""
+    _kept.clear()
+    try:
+        return f(*args)
+    finally:
+        release()
+
+
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow string column, and n + 1 offsets into them; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

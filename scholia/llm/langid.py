@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import lean, pieces, utf8
 
 BITS = 14
 _LETTER = regex.compile(r"\p{L}")
@@ -129,7 +129,7 @@ def train(rows: DataFrame, per_language: int = 400, epochs: int = 12, seed: int
     part = rows.filter("lang is not null and text is not null").withColumn("_h", F.xxhash64(F.col("doc_id").cast("string")))
     part = part.filter(F.pmod("_h", F.lit(1 << 20)) < limit * (1 << 20))
     part = part.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).filter(F.col("_n") <= per_language)
-    got = part.select("lang", "text").mapInArrow(_counts, "lang string, slots binary, shares binary").collect()
+    got = part.select("lang", "text").mapInArrow(lambda it: lean(_counts(it)), "lang string, slots binary, shares binary").collect()
     got = sorted(got, key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["shares"])))
     langs = sorted({r["lang"] for r in got})
     code = codewords(len(langs))
@@ -157,10 +157,9 @@ def train(rows: DataFrame, per_language: int = 400, epochs: int = 12, seed: int
     return Model(langs, code, w.astype(np.float32), bias, trust / trust.mean())
 
 
-def _predict(batches, model: Model, block: int = 1 << 20):
+def _predict(batches, model: Model, names: list[str], block: int = 1 << 18):
     for batch in batches:
-        names = batch.schema.names
-        buf, offsets = utf8(batch.column(names.index("_text")))
+        buf, offsets = utf8(batch.column("text"))
         lang, score, close = [], [], []
         for i, j in pieces(offsets, block):
             o = offsets[i : j + 1] - offsets[i]
@@ -170,14 +169,14 @@ def _predict(batches, model: Model, block: int = 1 << 20):
             for k in range(j - i):
                 letters = bool(model.langs) and _LETTER.search(raw[o[k] : o[k + 1]].decode("utf-8", "replace")) is not None
                 lang.append(model.langs[top[k]] if letters else "und"), score.append(float(p[k]) if letters else 0.0), close.append(bool(near[k]) or not letters)
-        keep = [k for k, n in enumerate(names) if n != "_text"]
-        yield pa.record_batch([batch.column(k) for k in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], [names[k] for k in keep] + ["_lang", "_score", "_ambiguous"])
+        yield pa.record_batch([*(batch.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], [*names, "_lang", "_score", "_ambiguous"])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _lang, _score, _ambiguous."""
-    kind = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.withColumn("_text", F.col("text")).mapInArrow(lambda it: _predict(it, model), f"{kind}, _lang string, _score double, _ambiguous boolean")
+def identify(docs: DataFrame, model: Model, names: list[str] | None = None) -> DataFrame:
+    """docs (or its columns ``names``) with _lang, _score, _ambiguous."""
+    names = docs.columns if names is None else names
+    kind = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names)
+    return docs.mapInArrow(lambda it: lean(_predict(it, model, names)), f"{kind}, _lang string, _score double, _ambiguous boolean")
 
 
 def held_out() -> Column:
@@ -189,7 +188,7 @@ def digest(docs: DataFrame, **kw) -> DataFrame:
     part = docs.withColumn("_held", F.coalesce(held_out(), F.lit(False)))
     model = train(part.filter("not _held"), **kw)
     rows = part.select("doc_id", F.col("_held").alias("held_out"), "text")
-    return identify(rows, model).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_ambiguous").alias("ambiguous"))
+    return identify(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_ambiguous").alias("ambiguous"))
 
 
 def keep_identified(docs: DataFrame, **kw) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix, pieces, utf8, words
+from .common import U64, lean, lean_call, materialize, mix, pieces, utf8, words
 
 _SHIFTS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
@@ -195,11 +195,11 @@ def components(links: DataFrame, tag: str = "links") -> DataFrame:
 def classes(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 16, rows: int = 4, tile: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text). Links: 100 * intersection >= percent * union; tile: shingles in a block."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialize(docs.mapInArrow(lambda it: _sketch(it, k, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
+    sketch = materialize(docs.mapInArrow(lambda it: lean(_sketch(it, k, bands, rows)), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
     full = sketch.filter("n_shingles > 0 and doc_id is not null")
     same = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"))
     members = materialize(same, "members")
-    buckets = members.select("id", "sig").mapInArrow(lambda it: _band_rows(it, bands, rows), "id long, band long")
+    buckets = members.select("id", "sig").mapInArrow(lambda it: lean(_band_rows(it, bands, rows)), "id long, band long")
     counted = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialize(buckets.join(counted, "band"), "buckets")
     # each bucket's centre is the member with most company over all bands: the original of a group of copies, as a rule
@@ -208,10 +208,10 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 16, row
     shared = materialize(shared.select("id", "band").join(centres, "band"), "buckets")
     named = shared.select(F.col("id").alias("doc_id")).distinct()
     text = docs.filter("doc_id is not null").join(named.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(text.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "id long, set binary"), "sets")
+    sets = materialize(text.select("doc_id", "text").mapInArrow(lambda it: lean(_sets(it, k)), "id long, set binary"), "sets")
     pairs = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     wide = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    links = materialize(wide.mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "star")
+    links = materialize(wide.mapInArrow(lambda it: lean(_verify(it, percent)), "a long, b long"), "star")
     found = components(links)
     apart = shared.join(found, "id", "left").select("id", "band", "centre", F.coalesce("component", "id").alias("component"))
     mixed = apart.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1 and n > 2").select("band")
@@ -223,7 +223,7 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 16, row
         transform(sequence(block, blocks - 1), y -> named_struct('x', block, 'y', y, 'side', if(y = block, 0, 1))),
         if(block > 0, transform(sequence(0, block - 1), x -> named_struct('x', x, 'y', block, 'side', 2)), cast(array() as array<struct<x:int,y:int,side:int>>)))""")
     tiles = left.join(sets, "id").select("id", "centre", "component", "set", F.explode(ways).alias("w")).select("id", "centre", "component", "set", "w.x", "w.y", "w.side")
-    again = materialize(tiles.groupBy("centre", "x", "y").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long"), "tiles")
+    again = materialize(tiles.groupBy("centre", "x", "y").applyInArrow(lambda t: lean_call(_tile_links, t, percent), "a long, b long"), "tiles")
     if again.take(1):
         found = components(links.unionByName(again))
     found = found.select(F.col("id"), "component")

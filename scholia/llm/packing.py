@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, pieces, ragged, utf8, words
+from .common import U64, kept, lean, materialize, pieces, ragged, utf8, words
 
 
 class WordBpe:
@@ -134,17 +134,8 @@ class WordBpe:
         return pool[ragged(at, n)], ends[first]
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
-def _tokenizer(path: str) -> WordBpe:
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
-
-
 def _cut(batches, path: str, size: int, end: int, block: int = 1 << 19):
-    tok = _tokenizer(path)
+    tok = kept("word_bpe", path, WordBpe)
     stop = np.array([end], "<u4")
     for batch in batches:
         buf, offsets = utf8(batch.column("text"))
@@ -304,7 +295,7 @@ def pack(parts: DataFrame, size: int = 2048, rounds: int = 300, salts: int = 64)
             yield b.set_column(b.schema.get_field_index("_rank"), "_rank", pa.array(r, pa.int64()))
 
     kind = ", ".join(f"`{c}` {t}" for c, t in parts.dtypes)
-    return ranked.mapInArrow(lambda it: _place(shifted(it), table, ["_rank", "_salt"]), f"{kind}, sequence_id long, offset long")
+    return ranked.mapInArrow(lambda it: lean(_place(shifted(it), table, ["_rank", "_salt"])), f"{kind}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, end_id: int = 0, rounds: int = 300) -> DataFrame:

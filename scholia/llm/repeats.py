@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, merge_spans, mix, pieces, ragged, shuffle_parts, utf8
+from .common import U64, lean, lean_call, merge_spans, mix, pieces, ragged, shuffle_parts, utf8
 
 _ROWS = "part int, kind int, data binary"  # kind 0: for the part to work on; 1: passed on to the block "part"
 _BLOCK = "block int, data binary"
@@ -359,13 +359,13 @@ def _joined(docs: DataFrame, names: list[str], digests: bool, length: int = 100,
     owner = F.col("doc_id").cast("long")
     dealt = docs.select(*names, "text", owner.alias("_owner")).withColumn("_block", _block_column(F.col("_owner"), parts)).groupBy("_block")
     rows = docs.select(owner.alias("_owner"), "text").filter(f"_owner is not null and octet_length(text) >= {length}")
-    anchors = rows.mapInArrow(lambda it: _anchors(it, length, q, parts, block), _ROWS)
-    flags = anchors.groupBy("part").applyInArrow(lambda t: _met_twice(t, parts), _BLOCK)
-    runs = dealt.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: _emit(d, f, length, q, parts, block), _ROWS)
-    spans = runs.groupBy("part").applyInArrow(lambda t: _settle(t, length, q, parts), _BLOCK)
+    anchors = rows.mapInArrow(lambda it: lean(_anchors(it, length, q, parts, block)), _ROWS)
+    flags = anchors.groupBy("part").applyInArrow(lambda t: lean_call(_met_twice, t, parts), _BLOCK)
+    runs = dealt.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: lean_call(_emit, d, f, length, q, parts, block), _ROWS)
+    spans = runs.groupBy("part").applyInArrow(lambda t: lean_call(_settle, t, length, q, parts), _BLOCK)
     kind = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
     schema = f"{kind}, _n_bytes long, _n_removed long, _n_spans long, _kept string"
-    return dealt.cogroup(spans.groupBy("block")).applyInArrow(lambda d, f: _apply(d, f, names, digests), schema)
+    return dealt.cogroup(spans.groupBy("block")).applyInArrow(lambda d, f: lean_call(_apply, d, f, names, digests), schema)
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, pieces, utf8, words
+from .common import U64, kept, pieces, utf8, words
 
 MARK = "▁".encode()
 
@@ -91,12 +91,8 @@ class Unigram:
         return out
 
 
-_loaded: dict[str, Unigram] = {}
-
-
 def _count(batches, path: str, most: int, block: int = 4 << 20):
-    model = _loaded.setdefault(path, None) or Unigram(path)
-    _loaded[path] = model
+    model = kept("unigram", path, Unigram)
     keys, counts, scores = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0)
     for batch in batches:
         buf, offsets = utf8(batch.column("text"))
