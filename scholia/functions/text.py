@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: White space as Unicode has it; Java's \s is ASCII only.
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 #: Articles that entity names lose.
-ARTICLES = ("der", "die", "das", "den", "dem", "des", "ein", "eine", "einer", "eines", "einem", "the", "a", "an")
+ARTICLES = ("der", "die", "das", "den", "dem", "des", "ein", "eine", "einer", "einen", "einem", "the", "a", "an")
 #: Letters that slugs spell out.
 DIGRAPHS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 

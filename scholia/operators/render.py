@@ -87,3 +87,42 @@ def manifest(pages: DataFrame, subs: DataFrame) -> DataFrame:
         F.coalesce(F.transform("_subs", lambda s: F.struct(s["title"].alias("title"), s["level"].alias("level"))), F.array().cast("array<struct<title:string,level:int>>")).alias("subsections"),
     )
     return out.select("source", "i", F.to_json(entry, {"ignoreNullFields": "false"}).alias("entry"))
+
+
+def summary(pages: DataFrame, most: int = 12) -> DataFrame:
+    """source, summary: the source and the titles of its first root pages. Roots are ranked before any are gathered, so a group holds at most ``most``."""
+    w = Window.partitionBy("source")
+    top = pages.filter("parent is null").select("source", "i", "title").withColumn("_k", F.row_number().over(w.orderBy("i"))).withColumn("_n", F.count("*").over(w)).filter(F.col("_k") <= most)
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("i", "title"))), lambda x: x["title"])
+    more = F.when(F.max("_n") > most, "; …").otherwise("")
+    return top.groupBy("source").agg(F.array_join(titles, "; ").alias("t"), more.alias("m")).select("source", F.concat("source", F.lit(": "), "t", "m").alias("summary"))
+
+
+#: What the bullets of a document's metadata are called, by column.
+LABELS = {"source_path": "Source", "page_count": "Pages", "author": "Author", "producer": "Producer"}
+
+
+def document_markdown(meta: DataFrame, outline: DataFrame, pages: DataFrame) -> DataFrame:
+    """source, ord, markdown: a document's head (ord 0) and pages. Joined by line ends in this order they are the document; none has to fit into a row.
+
+    meta(source, title, and those of LABELS that there are), outline(source, ord, level, title, page), pages(source, number, text[, tables][, images]).
+    Bullets without a value, and a list of contents without entries, are left out; null text is empty.
+    """
+    value = lambda c: F.nullif(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("0"))
+    bullets = [F.concat(F.lit(f"- **{label}:** "), value(c)) for c, label in LABELS.items() if c in meta.columns]
+    entry = F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("level") - 1)), F.lit("- "), "title", F.lit(" (p. "), F.col("page").cast("string"), F.lit(")"))
+    toc = outline.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", entry.alias("line")))).alias("_toc"))
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("Untitled Document"))
+    none = F.array().cast("array<string>")
+    head = [F.array(F.concat(F.lit("# "), title, F.lit("\n")), F.lit("## Document metadata\n")), F.array_compact(F.array(*bullets)) if bullets else none, F.array(F.lit(""))]
+    head.append(_some(F.col("_toc").isNotNull(), "## Table of contents\n", F.transform("_toc", lambda x: x["line"]), ""))
+    first = meta.join(toc, "source", "left").select("source", F.lit(0).alias("ord"), F.array_join(F.concat(*head), "\n").alias("markdown"))
+    number, text = F.col("number").cast("string"), F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    body = [F.array(F.concat(F.lit("\n---\n\n## Page "), number, F.lit("\n"))), _some(text != "", F.array(text), "")]
+    if "tables" in pages.columns:
+        table = lambda t, k: F.array(F.concat(F.lit("\n**Table "), number, F.lit("."), (k + 1).cast("string"), F.lit("**\n")), markdown_table(t["rows"]), F.lit(""))
+        body.append(F.coalesce(F.flatten(F.transform("tables", table)), none))
+    if "images" in pages.columns:
+        image = lambda m: F.concat(F.lit("\n![image p"), m["page_number"].cast("string"), F.lit(" #"), m["xref"].cast("string"), F.lit("]("), m["path"], F.lit(")"))
+        body.append(F.coalesce(F.transform("images", image), none))
+    return first.unionByName(pages.select("source", F.col("number").alias("ord"), F.array_join(F.concat(*body), "\n").alias("markdown")))

@@ -13,14 +13,15 @@ def cuts(outline: DataFrame, pages: DataFrame, split_level: int = 2) -> DataFram
     """source, i, page, next_page, title, level, ord: where pages begin. Entries of one page in a row are one cut; a Front Matter page goes first where needed."""
     if split_level < 1:
         raise ValueError("split_level must be at least 1")
-    top = pages.groupBy("source").agg(F.max("number").alias("last"))
-    o = outline.join(top, "source").filter((F.col("level") <= split_level) & F.col("page").between(1, F.col("last")))
+    top = pages.groupBy("source").agg(F.max("number").alias("last")).filter("last >= 1")
+    o = outline.select(F.col("source").alias("_of"), "ord", "page", "title", "level")
+    o = top.join(o, (F.col("source") == F.col("_of")) & (F.col("level") <= split_level) & F.col("page").between(1, F.col("last")), "left")
     w = Window.partitionBy("source").orderBy("ord")
-    o = o.withColumn("before", F.lag("page").over(w)).filter("before is null or before <> page").select("source", "ord", "page", "title", "level", "last")
-    first = o.groupBy("source").agg(F.min_by("page", "ord").alias("first"))
-    front = top.join(first, "source", "left").filter("last >= 1 and (first is null or first > 1)")
-    front = front.select("source", F.lit(-1).alias("ord"), F.lit(1).alias("page"), F.lit("Front Matter").alias("title"), F.lit(1).alias("level"), "last")
-    every = o.unionByName(front)
+    o = o.withColumn("before", F.lag("page").over(w)).filter("before is null or before <> page")
+    # the front matter comes out of its source's first row, not of a union: after one, Spark 4.1 may take a source's rows for being in one partition where they are not
+    own, front = F.struct("ord", "page", "title", "level"), F.struct(F.lit(-1).alias("ord"), F.lit(1).alias("page"), F.lit("Front Matter").alias("title"), F.lit(1).alias("level"))
+    first = F.col("before").isNull() & (F.col("page").isNull() | (F.col("page") > 1))
+    every = o.select("source", "last", F.explode(F.array_compact(F.array(F.when(first, front), F.when(F.col("page").isNotNull(), own)))).alias("c")).select("source", "last", "c.*")
     return every.select("source", (F.row_number().over(w) - 1).alias("i"), "page", F.lead("page", 1).over(w).alias("n"), "title", "level", "ord", "last").withColumn("next_page", F.coalesce("n", F.col("last") + 1)).drop("n")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import edit, evaluate, graph, references, restructure, retrieve, sample, vector
+from ..operators import edit, evaluate, graph, references, render, restructure, retrieve, sample, vector
 from ..sources import readers
 from ..streaming import upsert
 
@@ -239,7 +239,7 @@ def eval_mrr_hit_recall(spark, sf_dir):
     return evaluate.report(d, 8).select("n", *[F.round(c, 6).alias(c) for c in ("mrr", "hit_rate", "recall")], "misses")
 
 
-_NAME = "array_to_string(list_filter(string_split_regex(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '' AND x NOT IN ('der', 'die', 'das', 'den', 'dem', 'des', 'ein', 'eine', 'einer', 'eines', 'einem', 'the', 'a', 'an')), ' ')"
+_NAME = "array_to_string(list_filter(string_split_regex(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '' AND x NOT IN ('der', 'die', 'das', 'den', 'dem', 'des', 'ein', 'eine', 'einer', 'einen', 'einem', 'the', 'a', 'an')), ' ')"
 
 
 @query(f"WITH n AS (SELECT p_partkey, {_NAME} AS x FROM part) SELECT p_partkey, CASE WHEN x LIKE '%en' AND length(x) >= 6 THEN left(x, length(x) - 2) WHEN x LIKE '%n' AND length(x) >= 5 THEN left(x, length(x) - 1) WHEN x LIKE '%e' AND length(x) >= 5 THEN left(x, length(x) - 1) ELSE x END AS key FROM n")
@@ -308,3 +308,35 @@ def page_edits(spark, sf_dir):
     kind = F.element_at(F.array(F.lit("edit"), F.lit("append"), F.lit("create"), F.lit("append")), (F.col("k") + 1).cast("int"))
     edits = p.select("slug", kind.alias("kind"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("old"), F.lit("new").alias("new"))
     return edit.apply_edits(p.filter("k <> 3").select("slug", F.col("p_name").alias("text")), edits)
+
+
+def page_tree(spark, sf_dir) -> DataFrame:
+    cut = cuts(spark, sf_dir)
+    above = restructure.parents(cut).select("source", "i", "parent")
+    return restructure.slugged(restructure.assemble(cut, pages(spark, sf_dir)).join(above, ["source", "i"]))
+
+
+_TREE = f"""{_CUTS}, tr AS (SELECT c.source, c.i, c.page AS page_start, greatest(c.next_page - 1, c.page) AS page_end, c.title, c.level, max(p.i) AS parent,
+printf('%03d', c.i) || '-' || coalesce(nullif(rtrim(left(trim(regexp_replace(regexp_replace(translate(replace(replace(replace(replace(lower(trim(c.title)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'),
+'àáâãåçèéêëìíîïñòóôõùúûýÿ', 'aaaaaceeeeiiiinoooouuuyy'), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-'), ''), 'section') AS slug
+FROM cut c LEFT JOIN cut p ON p.source = c.source AND p.i < c.i AND p.level < c.level GROUP BY ALL)"""
+
+
+@query(f"WITH {_TREE} SELECT source, i, CASE WHEN parent IS NULL THEN '' ELSE '  ' END || '- [' || title || '](pages/' || slug || '.md)' AS line FROM tr")
+def wiki_index(spark, sf_dir):
+    return render.index_lines(page_tree(spark, sf_dir))
+
+
+@query(f"""WITH {_TREE}, ch AS (SELECT source, parent AS i, list(slug ORDER BY i) AS c FROM tr WHERE parent IS NOT NULL GROUP BY 1, 2),
+su AS (SELECT c.source, c.i, list({{'title': o.title, 'level': o.level}} ORDER BY o.ord) AS s FROM cut c JOIN ol o ON o.source = c.source AND o.page >= c.page AND o.page < c.next_page AND o.ord <> c.ord GROUP BY 1, 2)
+SELECT t.source, t.i, CAST(to_json({{'slug': t.slug, 'title': t.title, 'level': t.level, 'file': 'pages/' || t.slug || '.md', 'pdf_page_start': t.page_start, 'pdf_page_end': t.page_end, 'parent': p.slug,
+'children': coalesce(c, []), 'n_tables': 0, 'n_images': 0, 'subsections': coalesce(s, [])}}) AS VARCHAR) AS entry
+FROM tr t LEFT JOIN tr p ON p.source = t.source AND p.i = t.parent LEFT JOIN ch ON ch.source = t.source AND ch.i = t.i LEFT JOIN su ON su.source = t.source AND su.i = t.i""")
+def wiki_manifest(spark, sf_dir):
+    return render.manifest(page_tree(spark, sf_dir), restructure.subsections(cuts(spark, sf_dir), outline(spark, sf_dir)))
+
+
+@query(f"""WITH {_TREE}, rt AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i) AS k FROM tr WHERE parent IS NULL)
+SELECT source, source || ': ' || string_agg(title, '; ' ORDER BY i) || CASE WHEN max(n) > 12 THEN '; …' ELSE '' END AS summary FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM rt) WHERE k <= 12 GROUP BY 1""")
+def wiki_summary(spark, sf_dir):
+    return render.summary(page_tree(spark, sf_dir))

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from scholia.functions import ontology
 from scholia.functions import text as T
 from scholia.operators import edit, evaluate, graph, references, render, restructure, sample, vector
 from scholia.plans import build
@@ -124,3 +125,31 @@ def test_edits_samples_and_builds(spark):
     assert build.stale(now, now, there) == [] and build.stale(now, now, there, force=True) == list(build.STAGES)
     assert build.stale(now, build.fingerprints([["a.md", 3, 1]], {"similar_k": 9}), there) == ["graph"]
     assert build.status(now, now, there | {"wiki": False})["wiki"] == "missing" and build.stale({}, now, there, only={"index"}) == ["index"]
+
+
+def test_cuts_stay_themselves_in_joins(spark):
+    pages = spark.createDataFrame([(f"s{s}", p, f"t{p}") for s in range(20) for p in range(1, 8)], "source string, number int, text string")
+    outline = spark.createDataFrame([(f"s{s}", p, 1 + p % 2, f"c{p}", p) for s in range(19) for p in range(2, 8)], "source string, ord int, level int, title string, page int")
+    cut = restructure.cuts(outline.repartition(7), pages.repartition(5))
+    both = restructure.assemble(cut, pages).join(restructure.parents(cut).select("source", "i", "parent"), ["source", "i"]).collect()
+    want = [("Front Matter", None), *((f"c{p}", p - 2 if p % 2 else None) for p in range(2, 8))]
+    assert sorted((r.source, r.i, r.title, r.parent) for r in both) == sorted([(f"s{s}", i, *x) for s in range(19) for i, x in enumerate(want)] + [("s19", 0, "Front Matter", None)])
+
+
+def test_document_markdown_and_summary(spark):
+    meta = spark.createDataFrame([("s", "T", "a.pdf", 2, ""), ("e", "", None, 0, None)], "source string, title string, source_path string, page_count int, author string")
+    outline = spark.createDataFrame([("s", 0, 1, "A", 1), ("s", 1, 2, "B", 2)], "source string, ord int, level int, title string, page int")
+    rows = [("s", 1, " x ", [{"rows": [["h", None], ["a\nb"]]}]), ("s", 2, None, None)]
+    pages = spark.createDataFrame(rows, "source string, number int, text string, tables array<struct<rows:array<array<string>>>>")
+    got = {(r.source, r.ord): r.markdown for r in render.document_markdown(meta, outline, pages).collect()}
+    assert got["s", 0] == "# T\n\n## Document metadata\n\n- **Source:** a.pdf\n- **Pages:** 2\n\n## Table of contents\n\n- A (p. 1)\n  - B (p. 2)\n"
+    assert got["s", 1] == "\n---\n\n## Page 1\n\nx\n\n\n**Table 1.1**\n\n| h |  |\n| --- | --- |\n| a b |  |\n"
+    assert got["s", 2] == "\n---\n\n## Page 2\n" and got["e", 0] == "# Untitled Document\n\n## Document metadata\n\n"
+    tree = spark.createDataFrame([("s", i, f"p{i}", None if i % 2 == 0 else i - 1) for i in range(30)], "source string, i int, title string, parent int")
+    assert render.summary(tree).first().summary == "s: " + "; ".join(f"p{i}" for i in range(0, 24, 2)) + "; …"
+
+
+def test_ontology():
+    assert ontology.types_of(None) == ontology.types_of([" "]) == ontology.types_of({}) == ontology.DEFAULT_TYPES
+    assert ontology.types_of([" A : x ", "B"]) == ontology.types_of({"A": "x ", " ": "y", "B": ""}) == {"A": "x", "B": ""}
+    assert ontology.lines_of([{"name": "A", "description": " x"}, "B", {"name": " "}]) == ["A: x", "B"]
