@@ -5,7 +5,7 @@ class, and the word within its class, each by softmax over h. A document's score
 
 The vocabulary is the ``classes * classes - classes`` most frequent words of the whole corpus; each other word falls by hash into one of ``classes`` rest words.
 Training is by local descent and averaging: in each of ``rounds`` rounds every task starts from the present model and trains on its documents of that round
-(by hash of the text), on one position in ``mask`` of each; the models, weighted by positions, are averaged in a tree.
+(by hash of the text), on every position; the models, weighted by positions, are averaged in a tree.
 
 How it scales. Word counts are summed in each batch before they are shuffled. A task sends one model of fixed size (some 2 MB); groups of ``fan`` models are
 averaged before the driver gets any, so it gets at most ``fan``. Scoring reads each text once, in place, with the model in the task; texts are cut into runs of
@@ -171,7 +171,7 @@ def vocabulary(docs: DataFrame, classes: int = 64) -> tuple[Vocabulary, np.ndarr
     return Vocabulary(hashes, classes), n
 
 
-def _train(batches, net: bytes, vocab: Vocabulary, mask: int, rate: float, batch_words: int):
+def _train(batches, net: bytes, vocab: Vocabulary, rate: float, batch_words: int):
     model: WindowNet = pickle.loads(net)
     memory = [np.full(x.shape, 1.0, np.float32) for x in model.parts()]
     rng = np.random.default_rng(11)
@@ -183,9 +183,8 @@ def _train(batches, net: bytes, vocab: Vocabulary, mask: int, rate: float, batch
             if not len(h):
                 continue
             ids = vocab.ids(h)
-            at = np.arange(rng.integers(mask), len(ids), mask)
-            held.append((_windows(ids, first)[:, at], ids[at]))
-            kept += len(at)
+            held.append((_windows(ids, first), ids))
+            kept += len(ids)
             if kept >= batch_words * 8:
                 seen += _descend(model, memory, held, rng, rate, batch_words)
                 held, kept = [], 0
@@ -217,7 +216,7 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"task": pa.array([table.column("task")[0].as_py()], pa.int32()), "weight": pa.array([float(weights.sum())]), "model": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, classes: int = 64, width: int = 16, rounds: int = 2, mask: int = 8, rate: float = 0.1, batch_words: int = 2048, fan: int = 8) -> tuple[WindowNet, Vocabulary]:
+def fit(docs: DataFrame, classes: int = 64, width: int = 16, rounds: int = 2, rate: float = 0.1, batch_words: int = 2048, fan: int = 8) -> tuple[WindowNet, Vocabulary]:
     """A network and its vocabulary, from all texts of docs(text)."""
     vocab, counts = vocabulary(docs, classes)
     net = WindowNet(classes, width)
@@ -226,7 +225,7 @@ def fit(docs: DataFrame, classes: int = 64, width: int = 16, rounds: int = 2, ma
     for r in range(rounds):
         state = pickle.dumps(net)
         part = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
-        models = part.mapInArrow(lambda it, state=state: _train(it, state, vocab, mask, rate, batch_words), schema)
+        models = part.mapInArrow(lambda it, state=state: _train(it, state, vocab, rate, batch_words), schema)
         groups = max(fan, math.isqrt(part.rdd.getNumPartitions()))
         models = models.groupBy((F.col("task") % groups).alias("g")).applyInArrow(_average, schema)
         if groups > fan:

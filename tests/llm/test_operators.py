@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scholia.llm import decontam, langid, licenses, lmscore, neardup, packing, repeats, tokencounts, vptree, warc
@@ -211,6 +213,14 @@ def test_lm(docs, empty):
     assert lmscore.fit_and_score(empty, classes=8, width=4).count() == 0
 
 
+def test_lm_trains_on_every_word(monkeypatch):
+    monkeypatch.setattr(lmscore, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.record_batch([pa.array(texts())], ["text"])
+    model = lmscore._train(iter([batch]), pickle.dumps(lmscore.WindowNet(8, 4)), lmscore.Vocabulary(np.zeros(0, np.uint64), 8), rate=0.1, batch_words=64)
+    n_words = sum(len(t.split()) for t in texts() if t)
+    assert sum(x for b in model for x in b.column("weight").to_pylist()) == n_words
+
+
 def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.digest(docs).filter("doc_id < 3").collect()} == {"und"}
     assert langid.digest(empty).count() == 0
