@@ -4,12 +4,14 @@ The network predicts a word from the two before and the two after it: h = tanh(s
 class, and the word within its class, each by softmax over h. A document's score is the sum over its words of the log-probability of each given both sides.
 
 The vocabulary is the ``classes * classes - classes`` most frequent words of the whole corpus; each other word falls by hash into one of ``classes`` rest words.
+The counts of all words are kept as a table that grows with the corpus: a word of a rest word has the rest word's probability times its own share of the rest
+word's occurrences, and a word that the corpus doesn't hold has the share of one occurrence more.
 Training is by local descent and averaging: in each of ``rounds`` rounds every task starts from the present model and trains on its documents of that round
 (by hash of the text), on every position; the models, weighted by positions, are averaged in a tree.
 
 How it scales. Word counts are summed in each batch before they are shuffled. A task sends one model of fixed size (some 2 MB); groups of ``fan`` models are
 averaged before the driver gets any, so it gets at most ``fan``. Scoring reads each text once, in place, with the model in the task; texts are cut into runs of
-words for the matrices, so memory doesn't depend on their length.
+words for the matrices. Rare words' counts come by a join: a block of texts asks once for each distinct rare word, and keeps their places beside the scores.
 
 Cases. Null or empty text, or no words: 0 words, log-probability 0, mean null. An empty corpus: the model as it begins. Repeated rows: each gets its row.
 """
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, pieces, utf8, words
+from .common import U64, materialize, pieces, utf8, words
 
 OFFSETS = (-2, -1, 1, 2)
 
@@ -43,12 +45,14 @@ class WindowNet:
         self.class_bias = np.zeros(classes, np.float32)
         self.by_word = (rng.standard_normal((classes, classes, width)) * 0.1).astype(np.float32)
         self.word_bias = np.zeros((classes, classes), np.float32)
+        self.rest = np.zeros(classes)  # occurrences of each rest word
 
     def parts(self) -> list[np.ndarray]:
         return [self.near, self.bias, self.by_class, self.class_bias, self.by_word, self.word_bias]
 
     def start_from(self, counts: np.ndarray) -> None:
         """Biases as the words' frequencies have them."""
+        self.rest = counts[-self.classes :].copy()
         p = (counts + 1.0).reshape(self.classes, self.classes)
         self.class_bias[:] = np.log(p.sum(1) / p.sum())
         self.word_bias[:] = np.log(p / p.sum(1, keepdims=True))
@@ -60,8 +64,10 @@ class WindowNet:
         return np.tanh(h, out=h)
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P(target | around) of each position; around: (positions, words)."""
-        h = self.hidden(around)
+        """log P(target | around) of each position; around: (positions, words). Ids may hold counts, as Vocabulary.ids gives them."""
+        n = self.classes * self.classes
+        count, target = (target - 1) // n, (target - 1) % n + 1
+        h = self.hidden(np.where(around > n, (around - 1) % n + 1, around))
         c, w = np.divmod(target - 1, self.classes)
         out = _picked(h @ self.by_class.T + self.class_bias, c)
         order = np.argsort(c, kind="stable")
@@ -70,8 +76,15 @@ class WindowNet:
             at = order[cuts[k] : cuts[k + 1]]
             if len(at):
                 out[at] += _picked(h[at] @ self.by_word[k].T + self.word_bias[k], w[at])
+        held = count > 0
+        if held.any():
+            out[held] += self.log_share(count[held], target[held] - 1 - n + self.classes)
         return out
 
+    def log_share(self, count: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """log of words' shares of their rest words."""
+        return np.log(count / (self.rest[bucket] + 1))
+
     def train(self, around: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """One step of adaptive descent on a batch; memory: sums of squares, one array for each of parts()."""
         n = len(target)
@@ -124,14 +137,26 @@ def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Word hashes to ids 1 ... classes * classes: frequent words by rank, then the rest by hash."""
+    """Word hashes to ids 1 ... classes * classes: frequent words by rank, then the rest by hash. tail(h, n): all words' counts, not sent to tasks."""
 
-    def __init__(self, hashes: np.ndarray, classes: int):
-        self.classes = classes
+    def __init__(self, hashes: np.ndarray, classes: int, tail: DataFrame | None = None):
+        self.classes, self.tail = classes, tail
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tail": None}
+
     def ids(self, h: np.ndarray) -> np.ndarray:
+        """Ids of a few words, on the driver: a rest word's holds the word's own count (1 if the corpus doesn't hold it), times classes * classes."""
+        out = self.plain(h)
+        rare = out > self.classes * self.classes - self.classes
+        if rare.any() and self.tail is not None:
+            n = dict(map(tuple, self.tail.filter(F.col("h").isin(np.unique(h[rare]).view(np.int64).tolist())).collect()))
+            out[rare] += self.classes * self.classes * np.array([n.get(x, 1) for x in h[rare].view(np.int64).tolist()])
+        return out
+
+    def plain(self, h: np.ndarray) -> np.ndarray:
         rest = 1 + self.classes * self.classes - self.classes + (h % U64(self.classes)).astype(np.int64)
         if not len(self.sorted):
             return rest
@@ -162,13 +187,17 @@ def _word_counts(batches):
 def vocabulary(docs: DataFrame, classes: int = 64) -> tuple[Vocabulary, np.ndarray]:
     """The most frequent words of all texts, and the counts of all ids."""
     counts = docs.select("text").mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "words")
     size = classes * classes - classes
     top = counts.orderBy(F.desc("n"), "h").limit(size).collect()
     hashes = np.array([r["h"] for r in top], np.int64).view(U64)
     n = np.zeros(classes * classes)
     n[: len(top)] = [r["n"] for r in top]
-    n[size:] = n[:size].min() if len(top) == size else 0
-    return Vocabulary(hashes, classes), n
+    bucket = F.pmod(F.pmod("h", F.lit(classes)) + F.when(F.col("h") < 0, pow(2, 64, classes)).otherwise(0), F.lit(classes))  # of h without sign
+    for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect():
+        n[size + r["b"]] = r["n"]
+    np.subtract.at(n, size + (hashes % U64(classes)).astype(np.int64), n[: len(top)])
+    return Vocabulary(hashes, classes, counts), n
 
 
 def _train(batches, net: bytes, vocab: Vocabulary, rate: float, batch_words: int):
@@ -182,7 +211,7 @@ def _train(batches, net: bytes, vocab: Vocabulary, rate: float, batch_words: int
             _, _, h, first = words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if not len(h):
                 continue
-            ids = vocab.ids(h)
+            ids = vocab.plain(h)
             held.append((_windows(ids, first), ids))
             kept += len(ids)
             if kept >= batch_words * 8:
@@ -242,29 +271,47 @@ def fit(docs: DataFrame, classes: int = 64, width: int = 16, rounds: int = 2, ra
 
 
 def _score(batches, net: bytes, vocab: Vocabulary, run: int):
+    """A row for each block of texts: their numbers of words and scores by the network, the block's distinct rare words, and their places in each text."""
     model: WindowNet = pickle.loads(net)
+    block, rest = TaskContext.get().partitionId() << 32, vocab.classes * vocab.classes - vocab.classes
     for batch in batches:
         buf, offsets = utf8(batch.column("text"))
-        n_words, total = [], []
-        for i, j in pieces(offsets, 1 << 18):
+        for i, j in pieces(offsets, 1 << 22):
             _, _, h, first = words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            ids = vocab.ids(h)
+            ids = vocab.plain(h)
             around = _windows(ids, first)
             p = np.zeros(len(ids))
             for s in range(0, len(ids), run):
                 p[s : s + run] = model.log_probabilities(around[:, s : s + run], ids[s : s + run])
             ends = np.r_[0.0, np.cumsum(p)]
-            n_words += np.diff(first).tolist()
-            total += (ends[first[1:]] - ends[first[:-1]]).tolist()
-        names = batch.schema.names
-        keep = [k for k, n in enumerate(names) if n != "text"]
-        yield pa.record_batch([batch.column(k) for k in keep] + [pa.array(n_words, pa.int64()), pa.array(total, pa.float64())], [*(names[k] for k in keep), "n_words", "log_probability"])
+            rare = ids > rest
+            new, at = np.unique(h[rare], return_inverse=True)
+            n_rare = np.diff(np.r_[0, np.cumsum(rare)][first])
+            cols = [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(ends[first[1:]] - ends[first[:-1]], pa.float64()), pa.array(n_rare, pa.int64()), pa.array(new.view(np.int64), pa.int64()), pa.array(at, pa.int32())]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols]
+            yield pa.record_batch([pa.array([block], pa.int64()), *lists], ["block", "doc_id", "n_words", "log_probability", "n_rare", "h", "at"])
+            block += 1
+
+
+def _with_shares(found: pa.Table, block: pa.Table, model: WindowNet) -> pa.Table:
+    """Scores of a block's texts, with rare words' shares; found(pos, n): the counts of its distinct rare words."""
+    doc_id, n_words, p, n_rare, h, at = (block.column(c).combine_chunks().flatten() for c in ("doc_id", "n_words", "log_probability", "n_rare", "h", "at"))
+    n = np.ones(len(h))
+    n[found.column("pos").to_numpy()] = found.column("n").to_numpy()
+    share = model.log_share(n, (h.to_numpy().view(U64) % U64(model.classes)).astype(np.int64))
+    ends = np.r_[0.0, np.cumsum(share[at.to_numpy()])][np.r_[0, np.cumsum(n_rare.to_numpy())]]
+    return pa.table({"doc_id": doc_id, "n_words": n_words, "log_probability": pa.array(p.to_numpy() + np.diff(ends))})
 
 
 def score(docs: DataFrame, net: WindowNet, vocab: Vocabulary, run: int = 8192) -> DataFrame:
     """doc_id, n_words, log_probability, mean_log_probability of docs(doc_id, text)."""
     state, kind = pickle.dumps(net), dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text").mapInArrow(lambda it: _score(it, state, vocab, run), f"doc_id {kind}, n_words long, log_probability double")
+    schema = f"block long, doc_id array<{kind}>, n_words array<long>, log_probability array<double>, n_rare array<long>, h array<long>, at array<int>"
+    blocks = materialize(docs.select("doc_id", "text").mapInArrow(lambda it: _score(it, state, vocab, run), schema), "scores")
+    found = blocks.select(F.col("block").alias("of"), F.posexplode("h").alias("pos", "h")).join(vocab.tail, "h").select("of", "pos", "n")
+    own = WindowNet(net.classes, 1)
+    own.rest = net.rest
+    out = found.groupBy("of").cogroup(blocks.groupBy("block")).applyInArrow(lambda a, b: _with_shares(a, b, own), f"doc_id {kind}, n_words long, log_probability double")
     return out.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from scholia.llm import decontam, langid, licenses, lmscore, neardup, packing, repeats, tokencounts, vptree, warc
+from scholia.llm.common import words
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -221,6 +222,21 @@ def test_lm_trains_on_every_word(monkeypatch):
     assert sum(x for b in model for x in b.column("weight").to_pylist()) == n_words
 
 
+def test_lm_rare_words_have_their_own_share(spark):
+    n = {"a": 50, "b": 40} | {f"r{i}": i + 1 for i in range(12)}
+    rows = [(k, w) for k, w in enumerate(w for w in n for _ in range(n[w]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab, counts = lmscore.vocabulary(df, classes=2)
+    assert counts.sum() == len(rows) and counts[:2].tolist() == [50, 40]
+    got = {rows[r.doc_id][1]: r.log_probability for r in lmscore.fit_and_score(df, classes=2, width=4).collect()}
+    assert 0.9 < sum(math.exp(p) for p in got.values()) <= 1.0001
+    h = {w: int(words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[2][0]) for w in n}
+    for w in n:
+        for v in n:
+            if w > v > "c" and h[w] % 2 == h[v] % 2:
+                assert abs(got[w] - got[v] - math.log(n[w] / n[v])) < 1e-4
+
+
 def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.digest(docs).filter("doc_id < 3").collect()} == {"und"}
     assert langid.digest(empty).count() == 0
