@@ -282,7 +282,8 @@ def graph_rag(spark, sf_dir):
     c = chunk_rows(spark, sf_dir)
     edges = vector.similar(vector.centroids(c).withColumnRenamed("page", "id")).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), F.lit("SIMILAR_TO").alias("rel"), "score")
     c = c.withColumn("page", F.col("page").cast("long"))
-    return retrieve.graph_rag(c.filter("id < 20").select(F.col("id").alias("qid"), "emb"), c, edges, mention_rows(spark, sf_dir).limit(0))
+    mentions = mention_rows(spark, sf_dir).withColumn("page", F.col("page").cast("long")).join(c.select("page"), "page", "left_semi")
+    return retrieve.graph_rag(c.filter("id % 100 = 0").select(F.col("id").alias("qid"), "emb"), c, edges, mentions)
 
 
 @query(r"""WITH u AS (SELECT source, doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE regexp_matches(text, '\S')),

@@ -1,11 +1,12 @@
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from scholia.functions import ontology
 from scholia.functions import text as T
 from scholia.operators import edit, evaluate, graph, references, render, restructure, sample, vector
-from scholia.plans import build
+from scholia.plans import build, catalog
 from scholia.sources import readers
 from scholia.streaming import upsert
 
@@ -80,6 +81,35 @@ def test_eval_and_graph(spark):
     assert tuple(graph.singletons(m).first()) == (2, 0, 2)
 
 
+def test_graph_rag(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((450, 6)) + np.repeat(rng.standard_normal((15, 6)), 30, axis=0)
+    page = np.arange(450) // 30
+    ships = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 25, 300), rng.integers(0, 80, 300), strict=True)})
+    spark.createDataFrame([(i, x[i].tolist(), int(page[i])) for i in range(450)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(ships, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.stack([u[page == p].mean(0) for p in range(15)])
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    by = {p: {e for s, e in ships if s == p} for p in range(15)}
+    want, only_shared = set(), False
+    for q in range(0, 450, 100):
+        score = np.round(u @ u[q], 12)
+        top = sorted(range(450), key=lambda i: (-score[i], i))
+        seeds = {int(page[i]) for i in top[:5]}
+        similar, shared = set(), set()
+        for p in seeds:
+            others = [o for o in range(15) if o != p]
+            similar |= set(sorted((o for o in others if c[p] @ c[o] > 0), key=lambda o: -(c[p] @ c[o]))[:6])
+            shared |= set(sorted((o for o in others if by[p] & by[o]), key=lambda o: (-len(by[p] & by[o]), o))[:6])
+        best = [next(i for i in top if page[i] == p) for p in (similar | shared) - seeds]
+        more = sorted(best, key=lambda i: (-score[i], i))[:3]
+        only_shared |= any(int(page[i]) not in similar for i in more)
+        want |= {(q, i, int(page[i]), k + 1, "seed") for k, i in enumerate(top[:5])} | {(q, i, int(page[i]), k + 6, "related") for k, i in enumerate(more)}
+    assert only_shared
+    assert {(r.qid, r.id, r.page, r.marker, r.kind) for r in catalog.graph_rag(spark, str(tmp_path)).collect()} == want
+
+
 def test_similar_skips_structure(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.5, 0.5])], "id long, emb array<double>")
     s = spark.createDataFrame([(1, 2)], "a long, b long")
