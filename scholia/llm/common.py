@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -17,11 +20,13 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (tests on one machine) a folder of this machine is set instead.
+    Only where that setting is unset and the session runs in this process (tests) a folder of this machine is set instead.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_scholia_dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scholia-")
         sc.setCheckpointDir(found)
         sc._scholia_dir = found
@@ -40,10 +45,77 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def save_file(path: str, data: bytes) -> None:
+    """Writes a file of a shared folder whole: under a name of its own first, so that attempts at the same file don't meet."""
+    fs, at = file_system(path)
+    fs.create_dir(os.path.dirname(at), recursive=True)
+    mine = f"{os.path.dirname(at)}/.{os.path.basename(at)}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(mine, compression=None) as out:
+        out.write(data)
+    fs.move(mine, at)
+
+
+def load_file(path: str) -> bytes:
+    fs, at = file_system(path)
+    with fs.open_input_stream(at, compression=None) as f:
+        return f.read()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize has written and nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            if "/scholia/" in path:
+                at = sc._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def quoted(name: str) -> Column:
+    return F.col(quoted_name(name))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores in front as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def packed(df: DataFrame, *apart: str) -> Column:
+    """All columns of df but ``apart`` as one struct, so that an operator's own names can't clash with them; ``unpacked`` gives their columns back."""
+    return F.struct(*[quoted(c).alias(c) for c in df.columns if c not in apart], F.lit(0).alias(unused(df, "nothing")))
+
+
+def unpacked(df: DataFrame, struct: str, **own) -> list[Column]:
+    """Columns of df in its order out of the struct that ``packed`` made, or from ``own`` (by name)."""
+    return [own[c].alias(c) if c in own else F.col(f"{struct}.{quoted_name(c)}").alias(c) for c in df.columns]
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with every field of its structs nullable, as Spark declares what comes back from Python."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, nullable(kind.value_type)))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, nullable(kind.item_type))
+    return kind
+
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _kept: dict[tuple[str, str], object] = {}
 

@@ -2,13 +2,14 @@
 
 A document longer than a sequence is cut into full pieces and a rest. Which lengths go together is decided on the histogram of
 piece lengths alone (at most ``size`` numbers, whatever the corpus): a configuration is a multiset of lengths that fits a
-sequence, and the fractional cover of all pieces by the fewest configurations is approached by multiplicative weights, where a
-knapsack dynamic program finds the configuration that the present weights pay most for. Counts are rounded down, and what is
-left of each length is packed best-fit, longest first. Ranks of pieces within their length then turn the plan into places.
+sequence. The fractional program covers nearly all pieces by the fewest configurations, by multiplicative weights: prices of lengths fall
+as they are covered, a knapsack dynamic program finds the configurations that the present prices pay most for, and each is used a
+small step more. Uses are rounded to whole numbers, and what is left, much the same mixture of lengths, is packed best-fit, longest
+first. Ranks of pieces within their length then turn the plan into places.
 
 How it scales. Texts are tokenised once, where they are read; only (id, piece, length, checksum) goes on, to a table in the
-shared folder. Ranks within a length come from counts by (length, salt), so a length that a third of all pieces have is spread.
-The plan that goes to the executors is bounded by ``size``: a few hundred configurations and the rest.
+shared folder. Ranks within a length come from counts by (length, salt), with as many salts as the length's count asks for, so a length that a
+third of all pieces have is spread. The plan that goes to the executors is bounded by ``rounds`` times ``size`` configurations, whatever the corpus.
 
 Cases. Null or empty text: one piece, the end token alone. Rows repeated with one doc_id are packed each. Null doc_id: packed
 too. Empty table: no rows. Very long texts: any number of pieces.
@@ -19,13 +20,14 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, kept, lean, materialize, pieces, ragged, utf8, words
+from .common import U64, kept, lean, materialize, pieces, quoted, quoted_name, ragged, unused, utf8, words
 
 
 class WordBpe:
@@ -61,6 +63,7 @@ class WordBpe:
                 free += 1
         self.own = Tokenizer.from_file(path)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.unassigned = regex.compile(r"\p{Cn}").search
         self.piece = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.most, self.used, self.top = most, 0, 0
         bits = max(12, int(most * 1.6).bit_length())
@@ -71,7 +74,8 @@ class WordBpe:
         self.pool = np.zeros(1 << 16, "<u4")
 
     def word(self, chunk: str) -> list[int]:
-        if "<|" in chunk or "\u03a3" in chunk or "\u0130" in chunk:  # special tokens, and letters whose lower case depends on more
+        # special tokens, letters whose lower case depends on more, and code points that libraries of other Unicode versions see differently
+        if "<|" in chunk or "\u03a3" in chunk or "\u0130" in chunk or (not chunk.isascii() and self.unassigned(chunk)):
             return self.own.encode(chunk, add_special_tokens=False).ids
         low = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
         if low.isalpha():
@@ -156,61 +160,95 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
     return docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, tokenizer_path, size, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(worth: np.ndarray, count: np.ndarray, size: int) -> dict[int, int]:
-    """The multiset of lengths, of total at most size, of most worth (unbounded knapsack; worth by length, 0 where there is none)."""
-    worth = np.where(count > 0, worth, 0.0)
+def price(worth: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room from 0 to size: the most worth of a multiset of lengths that fits (unbounded knapsack), and the length it takes first (0: the room is left by one)."""
     best, pick = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    lengths = np.flatnonzero(worth > 0)
+    w = worth[lengths]
+    until = np.searchsorted(lengths, np.arange(size + 1), "right")
     for c in range(1, size + 1):
-        value = best[c - 1 :: -1] + worth[1 : c + 1]  # a piece of 1, 2, ... c tokens, and the best of the room that is left
-        j = int(value.argmax())
-        best[c], pick[c] = best[c - 1], 0
-        if worth[j + 1] > 0 and value[j] > best[c]:
-            best[c], pick[c] = value[j], j + 1
-    out: dict[int, int] = {}
-    c = size
-    while c > 0:
-        if pick[c]:
-            out[int(pick[c])] = out.get(int(pick[c]), 0) + 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return out
+        best[c] = best[c - 1]
+        if n := until[c]:
+            value = w[:n] + best[c - lengths[:n]]
+            j = int(value.argmax())
+            if value[j] > best[c] + 1e-15:
+                best[c], pick[c] = value[j], lengths[j]
+    return best, pick
+
+
+def _columns(lengths: np.ndarray, pick: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each length the best configuration that holds it, out of one run of ``price``: (which, piece) of all pieces, by which."""
+    stop = np.maximum.accumulate(np.where(pick > 0, np.arange(size + 1), 0))
+    which, room = np.arange(len(lengths)), stop[size - lengths]
+    out = [(which, lengths)]
+    while True:
+        go = room > 0
+        which, room = which[go], room[go]
+        if not len(which):
+            break
+        out.append((which, pick[room]))
+        room = stop[room - pick[room]]
+    which, piece = (np.concatenate([o[k] for o in out]) for k in range(2))
+    order = np.lexsort((piece, which))
+    return which[order], piece[order]
 
 
-def fractional_cover(hist: np.ndarray, size: int, rounds: int, rate: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often to use each, so that together they cover hist: multiplicative weights with knapsack pricing.
+def fractional_cover(hist: np.ndarray, size: int, rounds: int, step: float = 0.3, share: float = 0.97) -> tuple[dict[tuple[int, ...], float], float]:
+    """How often to use each configuration, so that together they come near to covering ``share`` of hist; and a lower bound on the sequences that hist needs.
 
-    A length's weight falls as it is covered, so the program prices what is still to do; a round uses its configuration as
-    often as the scarcest of its lengths allows, at most a share of what the remaining pieces need.
+    Multiplicative weights: a length's price is its share of a sequence, times exp(-rate) to the power of the share of it that is covered. The rate is so small that
+    prices decide among configurations of equal fill, so what is covered least goes first. One run of the knapsack prices a column for each length; a round uses those
+    that fill a sequence (but for one token in the last fifth of rounds), each by the fraction ``step`` of what its length lacks, and less where lengths in them lack less.
+    Prices over the best configuration's worth are a solution of the dual program, which gives the bound.
     """
-    left = hist.astype(float).copy()
-    weight = np.zeros(size + 1)
-    has = hist > 0
-    weight[has] = np.flatnonzero(has) / size  # a length's share of a sequence: the dual solution were there no waste
-    out = []
-    for _ in range(rounds):
-        if not (left >= 1).any():
+    target, done = hist * share, np.zeros(size + 1)
+    has = np.flatnonzero(hist)
+    columns: dict[tuple[int, ...], float] = {}
+    bound = 0.0
+    for r in range(rounds):
+        left = target - done
+        live = has[left[has] > 1e-6]
+        if not len(live):
             break
-        config = best_configuration(np.where(left >= 1, weight, 0), left, size)
-        if not config:
-            break
-        lengths = np.array(list(config))
-        each = np.array(list(config.values()))
-        use = float((left[lengths] / each).min())
-        if use < 1:
-            # more of a length in it than there is: too scarce to go on with
-            weight[lengths[left[lengths] < each]] *= 0.25
-            continue
-        out.append((config, use))
-        left[lengths] -= use * each
-        covered = np.zeros(size + 1)
-        covered[lengths] = use * each / np.maximum(hist[lengths], 1)
-        weight *= np.exp(-rate * covered * 0.01)
+        prices = np.zeros(size + 1)
+        prices[has] = has / size * np.exp(-0.5 / size * done[has] / hist[has])
+        best, pick = price(np.where(left > 1e-6, prices, 0), size)
+        if len(live) == len(has):
+            bound = max(bound, float(hist[has] @ prices[has]) / best[size])
+        which, piece = _columns(live, pick, size)
+        fills = np.bincount(which, piece, minlength=len(live)) >= size - (r >= rounds * 0.8)
+        own = np.bincount(which[piece == live[which]], minlength=len(live))
+        use = np.where(fills, left[live] * step / own, 0)
+        need = np.bincount(piece, use[which], minlength=size + 1)
+        enough = np.clip(left * (1 - 1e-6) / np.maximum(need, 1e-30), 0, 1)
+        least = np.ones(len(live))
+        np.minimum.at(least, which, enough[piece])
+        use *= least
+        done += np.bincount(piece, use[which], minlength=size + 1)
+        cuts = np.searchsorted(which, np.arange(len(live) + 1))
+        for i in np.flatnonzero(use > 1e-9).tolist():
+            config = tuple(piece[cuts[i] : cuts[i + 1]].tolist())
+            columns[config] = columns.get(config, 0.0) + float(use[i])
+    return columns, bound
+
+
+def rounded(columns: dict[tuple[int, ...], float], hist: np.ndarray, share: float = 0.97) -> dict[tuple[int, ...], int]:
+    """Whole numbers of configurations: rounded down, then one more of those of largest remainder while ``share`` of hist has their pieces, so that the rest keeps all lengths."""
+    left, out = np.ceil(hist * share).astype(np.int64), {}
+    for config, use in columns.items():
+        if n := int(use + 1e-9):
+            out[config] = n
+            np.subtract.at(left, list(config), n)
+    for config in sorted(columns, key=lambda c: (int(columns[c] + 1e-9) - columns[c], c)):
+        each = Counter(config)
+        if all(left[x] >= n for x, n in each.items()):
+            out[config] = out.get(config, 0) + 1
+            np.subtract.at(left, list(config), 1)
     return out
 
 
-def plan(hist: np.ndarray, size: int, rounds: int = 300) -> list[tuple[int, int, int, int, int, int]]:
-    """Rows (length, from rank, to rank, pieces a sequence, first sequence, first offset) that place every piece of hist."""
+def plan(hist: np.ndarray, size: int, rounds: int = 200) -> list[tuple[int, int, int, int, int, int]]:
+    """Rows (length, from rank, to rank, pieces a sequence, first sequence, first offset) that place every piece of hist. rounds=0: best fit alone."""
     hist = np.asarray(hist, np.int64)
     rank = np.zeros(size + 1, np.int64)
     rows, sequence = [], 0
@@ -220,13 +258,9 @@ def plan(hist: np.ndarray, size: int, rounds: int = 300) -> list[tuple[int, int,
         rank[size], sequence = full, full
     rest = hist.copy()
     rest[size] = 0
-    for config, use in fractional_cover(rest, size, rounds):
-        times = int(use)
-        times = min([times, *((int(hist[x]) - int(rank[x])) // a for x, a in config.items())])
-        if times <= 0:
-            continue
+    for config, times in sorted(rounded(fractional_cover(rest, size, rounds)[0], rest).items()):
         offset = 0
-        for x, a in sorted(config.items(), reverse=True):
+        for x, a in sorted(Counter(config).items(), reverse=True):
             rows.append((x, int(rank[x]), int(rank[x]) + times * a, a, sequence, offset))
             rank[x] += times * a
             offset += x * a
@@ -254,51 +288,41 @@ def plan(hist: np.ndarray, size: int, rounds: int = 300) -> list[tuple[int, int,
     return rows
 
 
-def _place(batches, table: np.ndarray, drop: list[str]):
+def _place(batches, table: np.ndarray, offsets: np.ndarray, rank_name: str, salt_name: str):
     key = table[:, 0] * (1 << 44) + table[:, 1]
     for batch in batches:
         length = batch.column("length").to_numpy()
-        rank = batch.column("_rank").to_numpy()
+        rank = batch.column(rank_name).to_numpy() + offsets[length, batch.column(salt_name).to_numpy()]
         row = table[np.searchsorted(key, length * (1 << 44) + rank, "right") - 1]
         k = rank - row[:, 1]
-        names = [x for x in batch.schema.names if x not in drop]
+        names = [x for x in batch.schema.names if x not in (rank_name, salt_name)]
         out = [batch.column(x) for x in names] + [pa.array(row[:, 4] + k // row[:, 3], pa.int64()), pa.array(row[:, 5] + k % row[:, 3] * length, pa.int64())]
         yield pa.record_batch(out, [*names, "sequence_id", "offset"])
 
 
-def pack(parts: DataFrame, size: int = 2048, rounds: int = 300, salts: int = 64) -> DataFrame:
-    """parts(..., length) with sequence_id and offset. parts must read the same whenever it is read (a table)."""
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*parts.columns), F.lit(salts)).cast("int"))
-    counts = np.array([tuple(r) for r in salted.groupBy("length", "_salt").count().collect()], np.int64).reshape(-1, 3)  # at most size * salts rows
+def pack(parts: DataFrame, size: int = 2048, rounds: int = 200, salt_rows: int = 1_000_000) -> DataFrame:
+    """parts(..., length) with sequence_id and offset. parts must read the same whenever it is read (a table).
+
+    Pieces of a length are ranked in groups of about salt_rows, so no task ranks more; the driver gets a count for each length, and one for each group.
+    """
     hist = np.zeros(size + 1, np.int64)
-    np.add.at(hist, counts[:, 0], counts[:, 2])
-    counts = counts[np.lexsort((counts[:, 1], counts[:, 0]))]
-    base = np.cumsum(counts[:, 2]) - counts[:, 2]
-    before = {}
-    for (x, s, _), b in zip(counts.tolist(), base.tolist(), strict=True):
-        before[x, s] = b
-    first = np.zeros(size + 2, np.int64)
-    np.add.at(first, counts[:, 0] + 1, counts[:, 2])
-    first = np.cumsum(first)
-    offsets = np.zeros((size + 1, salts), np.int64)
-    for (x, s), b in before.items():
-        offsets[x, s] = b - first[x]
+    for x, n in parts.groupBy("length").count().collect():  # at most size rows
+        hist[x] = n
+    salts = np.maximum(1, -(-hist // salt_rows))
+    names, salt, rank = parts.columns, unused(parts, "salt"), unused(parts, "rank")
+    many = F.element_at(F.array(*[F.lit(int(x)) for x in salts]), (F.col("length") + 1).cast("int")) if salts.max() > 1 else F.lit(1)
+    salted = parts.withColumn(salt, F.pmod(F.xxhash64(*map(quoted, names)), many).cast("int"))
+    offsets = np.zeros((size + 1, int(salts.max())), np.int64)
+    for x, s, n in salted.groupBy("length", salt).count().collect():
+        offsets[x, s] = n
+    offsets = np.cumsum(offsets, 1) - offsets
     table = np.array(sorted(plan(hist, size, rounds)) or [(0, 0, 0, 1, 0, 0)], np.int64)
-    names = parts.columns
-    from pyspark.sql import Window
-
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*names)).cast("long") - 1)
-
-    def shifted(batches):
-        for b in batches:
-            r = b.column("_rank").to_numpy() + offsets[b.column("length").to_numpy(), b.column("_salt").to_numpy()]
-            yield b.set_column(b.schema.get_field_index("_rank"), "_rank", pa.array(r, pa.int64()))
-
-    kind = ", ".join(f"`{c}` {t}" for c, t in parts.dtypes)
-    return ranked.mapInArrow(lambda it: lean(_place(shifted(it), table, ["_rank", "_salt"])), f"{kind}, sequence_id long, offset long")
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(*map(quoted, names))).cast("long") - 1)
+    kind = ", ".join(f"{quoted_name(c)} {t}" for c, t in parts.dtypes)
+    return ranked.mapInArrow(lambda it: lean(_place(it, table, offsets, rank, salt)), f"{kind}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, end_id: int = 0, rounds: int = 300) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, end_id: int = 0, rounds: int = 200) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of docs(doc_id, text)."""
     if tokenizer_path is None:
         import public_tokenizers
