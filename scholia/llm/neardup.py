@@ -16,8 +16,9 @@ them on full sets in place, and gives at most a spanning forest. Components come
 corpus goes to the driver but counts.
 
 Cases. Null or empty text, or no words: empty set, n_shingles 0, alone. Fewer words than a shingle: the whole sequence is the
-one shingle. Repeated rows: same set, same class; rows that share a doc_id and differ share the class of that id. Null
-doc_id: alone, component null, kept. Empty table: no rows. Other columns are carried along by ``dedup``.
+one shingle. Repeated rows: same set, same class; rows that share a doc_id and differ link what each of them is linked to. Null
+doc_id: alone, component null, kept. Empty table: no rows. Other columns, whatever their names, are carried along by ``dedup``.
+Very long texts: a text is worked on whole by one task, at some 60 bytes a byte of text; memory bounds a text, not the corpus.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, lean, lean_call, materialize, mix, pieces, utf8, words
+from .common import U64, discard, lean, lean_call, materialize, mix, pieces, unused, utf8, words
 
 _SHIFTS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
@@ -76,6 +77,11 @@ def circulant_signatures(sets: np.ndarray, first: np.ndarray, coordinates: int,
     return out
 
 
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.r_[U64(0), np.cumsum(values)]
+    return (total[first[1:]] - total[first[:-1]]).view(np.int64)
+
+
 def _sketch(batches, k: int, bands: int, rows: int, block: int = 1 << 19):
     for batch in batches:
         buf, offsets = utf8(batch.column(1))
@@ -83,21 +89,20 @@ def _sketch(batches, k: int, bands: int, rows: int, block: int = 1 << 19):
             sets, first = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
             n = np.diff(first)
             sig = circulant_signatures(sets, first, bands * rows)
-            total = np.r_[U64(0), np.cumsum(sets)]
-            total2 = np.r_[U64(0), np.cumsum(mix(sets ^ _SHIFTS[1]))]
-            a, b = ((t[first[1:]] - t[first[:-1]]).view(np.int64) for t in (total, total2))
+            a, b = _sums(sets, first), _sums(mix(sets ^ _SHIFTS[1]), first)
             sig32 = np.ascontiguousarray((sig >> U64(32)).astype(np.uint32))
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x.tobytes() for x in sig32], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "sig"])
 
 
 def _band_rows(batches, bands: int, rows: int):
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, bands, rows)
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, bands, rows)
         key = np.zeros((len(sig), bands), U64)
         for r in range(rows):
             key = mix((key ^ sig[:, :, r].astype(U64)) * _SHIFTS[0] + U64(r + 1))
         key ^= mix(np.arange(1, bands + 1, dtype=U64))
-        yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), bands), pa.int64()), pa.array(key.reshape(-1).view(np.int64), pa.int64())], ["id", "band"])
+        own = [pa.array(np.repeat(batch.column(c).to_numpy(), bands), pa.int64()) for c in ("id", "s")]
+        yield pa.record_batch([*own, pa.array(key.reshape(-1).view(np.int64), pa.int64())], ["id", "s", "band"])
 
 
 def _verify(batches, percent: int):
@@ -123,7 +128,7 @@ def _sets(batches, k: int):
         buf, offsets = utf8(batch.column(1))
         for i, j in pieces(offsets, 1 << 19):
             sets, first = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([sets[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "set"])
+            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(_sums(sets, first), pa.int64()), pa.array([sets[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "s", "set"])
 
 
 def _tile_links(table: pa.Table, percent: int) -> pa.Table:
@@ -176,7 +181,7 @@ def _tile_links(table: pa.Table, percent: int) -> pa.Table:
 
 
 def components(links: DataFrame, tag: str = "links") -> DataFrame:
-    """(id, component) of every id in links(a, b): the smallest id that links reach. Large-star and small-star rounds, to a fixpoint."""
+    """(id, component) of every id in links(a, b): the smallest id that links reach. Large-star and small-star rounds, to a fixpoint; a round's tables go when the next has read them."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), tag)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -188,45 +193,54 @@ def components(links: DataFrame, tag: str = "links") -> DataFrame:
         small = materialize(small, tag)
         if edges.count() == small.count() and not edges.exceptAll(small).take(1):
             break
+        discard(edges, large)
         edges = small
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def classes(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 16, rows: int = 4, tile: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text). Links: 100 * intersection >= percent * union; tile: shingles in a block."""
+    """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text). Links: 100 * intersection >= percent * union; tile: shingles in a block.
+
+    A member is a set, named by the smallest doc_id that has it and by its sum s; links and components are of doc_ids.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(lambda it: lean(_sketch(it, k, bands, rows)), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
     full = sketch.filter("n_shingles > 0 and doc_id is not null")
     same = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"))
     members = materialize(same, "members")
-    buckets = members.select("id", "sig").mapInArrow(lambda it: lean(_band_rows(it, bands, rows)), "id long, band long")
+    # an id whose rows differ links the sets that it has
+    several = full.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "s1", "s2")).alias("x"), F.max(F.struct("n_shingles", "s1", "s2")).alias("y")).filter("x <> y").select("doc_id")
+    bridges = full.join(several, "doc_id", "left_semi").join(members.drop("sig"), ["n_shingles", "s1", "s2"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    bridges = materialize(bridges.filter("a <> b").distinct(), "bridges")
+    buckets = members.select("id", F.col("s1").alias("s"), "sig").mapInArrow(lambda it: lean(_band_rows(it, bands, rows)), "id long, s long, band long")
     counted = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(buckets.join(counted, "band"), "buckets")
+    met = materialize(buckets.join(counted, "band"), "buckets")
     # each bucket's centre is the member with most company over all bands: the original of a group of copies, as a rule
-    company = shared.groupBy("id").agg(F.sum("n").alias("company"))
-    centres = shared.join(company, "id").groupBy("band").agg(F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("c")).select("band", (-F.col("c.id")).alias("centre"))
-    shared = materialize(shared.select("id", "band").join(centres, "band"), "buckets")
+    company = met.groupBy("id", "s").agg(F.sum("n").alias("company"))
+    centres = met.join(company, ["id", "s"]).groupBy("band").agg(F.max(F.struct("company", (-F.col("id")).alias("o"), "id", "s")).alias("c")).select("band", F.col("c.id").alias("centre"), F.col("c.s").alias("centre_s"))
+    shared = materialize(met.select("id", "s", "band").join(centres, "band"), "buckets")
     named = shared.select(F.col("id").alias("doc_id")).distinct()
-    text = docs.filter("doc_id is not null").join(named.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(text.select("doc_id", "text").mapInArrow(lambda it: lean(_sets(it, k)), "id long, set binary"), "sets")
-    pairs = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    wide = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    links = materialize(wide.mapInArrow(lambda it: lean(_verify(it, percent)), "a long, b long"), "star")
+    text = docs.filter("doc_id is not null").join(named.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = materialize(text.select("doc_id", "text").mapInArrow(lambda it: lean(_sets(it, k)), "id long, s long, set binary"), "sets")
+    pairs = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("centre_s").alias("a_s"), F.col("id").alias("b"), F.col("s").alias("b_s")).distinct()
+    wide = pairs.join(sets.toDF("a", "a_s", "set_a"), ["a", "a_s"]).join(sets.toDF("b", "b_s", "set_b"), ["b", "b_s"])
+    links = materialize(wide.mapInArrow(lambda it: lean(_verify(it, percent)), "a long, b long"), "star").unionByName(bridges)
     found = components(links)
-    apart = shared.join(found, "id", "left").select("id", "band", "centre", F.coalesce("component", "id").alias("component"))
+    apart = shared.join(found, "id", "left").select("id", "s", "band", "centre", "centre_s", F.coalesce("component", "id").alias("component"))
     mixed = apart.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1 and n > 2").select("band")
-    left = materialize(apart.join(mixed, "band").select("centre", "id", "component").distinct().join(members.select("id", "n_shingles"), "id"), "left")
+    n_of = members.select("id", F.col("s1").alias("s"), "n_shingles")
+    left = materialize(apart.join(mixed, "band").select("centre", "centre_s", "id", "s", "component").distinct().join(n_of, ["id", "s"]), "left")
     # what is left around a centre falls into blocks of about tile shingles; block x meets blocks x, x + 1, ...
-    sizes = left.groupBy("centre").agg(F.ceil(F.sum("n_shingles") / tile).cast("int").alias("blocks"))
-    left = left.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = left.groupBy("centre", "centre_s").agg(F.ceil(F.sum("n_shingles") / tile).cast("int").alias("blocks"))
+    left = left.join(sizes, ["centre", "centre_s"]).withColumn("block", F.pmod(F.xxhash64("id", "s"), F.col("blocks")).cast("int"))
     ways = F.expr("""concat(
         transform(sequence(block, blocks - 1), y -> named_struct('x', block, 'y', y, 'side', if(y = block, 0, 1))),
         if(block > 0, transform(sequence(0, block - 1), x -> named_struct('x', x, 'y', block, 'side', 2)), cast(array() as array<struct<x:int,y:int,side:int>>)))""")
-    tiles = left.join(sets, "id").select("id", "centre", "component", "set", F.explode(ways).alias("w")).select("id", "centre", "component", "set", "w.x", "w.y", "w.side")
-    again = materialize(tiles.groupBy("centre", "x", "y").applyInArrow(lambda t: lean_call(_tile_links, t, percent), "a long, b long"), "tiles")
+    tiles = left.join(sets, ["id", "s"]).select("id", "centre", "centre_s", "component", "set", F.explode(ways).alias("w")).select("id", "centre", "centre_s", "component", "set", "w.x", "w.y", "w.side")
+    again = materialize(tiles.groupBy("centre", "centre_s", "x", "y").applyInArrow(lambda t: lean_call(_tile_links, t, percent), "a long, b long"), "tiles")
     if again.take(1):
         found = components(links.unionByName(again))
-    found = found.select(F.col("id"), "component")
+    discard(met, shared, sets)
     of_set = members.join(found, "id", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "id").alias("component_id"))
     out = sketch.join(of_set.hint("shuffle_hash"), ["n_shingles", "s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
@@ -235,5 +249,6 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 16, row
 
 def dedup(docs: DataFrame, **kw) -> DataFrame:
     """The rows of docs whose document stands for its class; of rows that repeat one doc_id all stay."""
-    gone = classes(docs, **kw).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = classes(docs, **kw).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
