@@ -5,7 +5,7 @@ doc_id, or earlier in the same document. Matches never cross documents; strings
 
 How it scales. Every string of ``length`` bytes holds ``length - q + 1`` q-grams; the one with the least hash is its
 anchor, and equal strings have equal anchors. The strings of a text that share an anchor start one after the other, so
-a text falls into runs, one an anchor. Texts are dealt to blocks by hash of the id, once; the rest works on these blocks:
+a text falls into runs, one an anchor. Texts are dealt to blocks of about ``block_bytes`` by hash of the id; the rest works on these blocks:
 1. 40 bits of each run's anchor hash go to the part of that hash, where anchors met twice are told from the others.
    A block sends an anchor once, however often it has it.
 2. Runs whose anchor is met twice go, as the bytes their strings cover, to the part of the anchor. Runs that are byte for
@@ -19,8 +19,9 @@ a text falls into runs, one an anchor. Texts are dealt to blocks by hash of the
 
 Cases. Null or empty text: no bytes, nothing removed. Texts shorter than ``length``: kept whole. Rows that are repeated
 with one doc_id are equally early, so neither removes the other; spans found for an id hold for all its rows, cut to
-their length. Null doc_id: such rows take no part and come back whole. Other columns are carried by ``dedup`` and
-ignored by ``digest``.
+their length. Null doc_id: such rows take no part and come back whole. Empty table: no rows. Other columns, whatever their
+names, are carried by ``dedup`` and ignored by ``digest``. Very long texts: one is worked on whole by one task, at some 50 bytes a
+byte of text, so memory bounds a text, not the corpus.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, lean, lean_call, merge_spans, mix, pieces, ragged, shuffle_parts, utf8
+from .common import U64, lean, lean_call, merge_spans, mix, nullable, packed, pieces, ragged, shuffle_parts, unpacked, utf8
 
 _ROWS = "part int, kind int, data binary"  # kind 0: for the part to work on; 1: passed on to the block "part"
 _BLOCK = "block int, data binary"
@@ -197,8 +199,8 @@ def _emit(docs: pa.Table, flags: pa.Table, length: int, q: int, parts: int, bloc
         flag_owner, flag_number = (np.concatenate([x[k] for x in found]) for k in range(2))
         order = np.lexsort((flag_number, flag_owner))
         flag_owner, flag_number = flag_owner[order], flag_number[order].astype(np.int64)
-        docs = docs.sort_by("_owner")
-        owners = docs.column("_owner").to_numpy()
+        docs = docs.select(["owner", "text"]).filter(pc.is_valid(docs.column("owner"))).sort_by("owner")
+        owners = docs.column("owner").to_numpy()
         has = np.isin(owners, flag_owner)
         docs, owners = docs.filter(pa.array(has)), owners[has]
         buf, offsets = utf8(docs.column("text"))
@@ -328,11 +330,11 @@ def _settle(table: pa.Table, length: int, q: int, parts: int) -> pa.Table:
     return pa.table([pa.array(out, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
 
-def _apply(docs: pa.Table, spans: pa.Table, names: list[str], digests: bool) -> pa.Table:
+def _apply(docs: pa.Table, spans: pa.Table, digests: bool) -> pa.Table:
     """Step 4: one block's rows, with what their spans leave."""
     found = [_unpack(x, (np.int64,) * 3) for x in spans.column("data").to_pylist()]
     owner, start, end = merge_spans(*(np.concatenate([x[k] for x in found]) for k in range(3))) if found else (np.zeros(0, np.int64),) * 3
-    ids = docs.column("_owner").to_pylist()
+    ids = docs.column("owner").to_pylist()
     buf, offsets = utf8(docs.column("text"))
     n_removed, n_spans, kept = [], [], []
     for i, own in enumerate(ids):
@@ -346,39 +348,40 @@ def _apply(docs: pa.Table, spans: pa.Table, names: list[str], digests: bool) ->
             raw = raw[stay]
         n_removed.append(int((e - s).sum())), n_spans.append(len(s))
         kept.append(hashlib.sha256(raw).hexdigest() if digests else raw.tobytes().decode("utf-8", "ignore"))
-    out = docs.select(names)
-    for name, values in (("_n_bytes", pa.array(np.diff(offsets), pa.int64())), ("_n_removed", pa.array(n_removed, pa.int64())), ("_n_spans", pa.array(n_spans, pa.int64())), ("_kept", pa.array(kept, pa.string()))):
+    row = docs.column("row")
+    out = pa.table({"row": row.cast(nullable(row.type))})
+    for name, values in (("n_bytes", pa.array(np.diff(offsets), pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("n_spans", pa.array(n_spans, pa.int64())), ("kept", pa.array(kept, pa.string()))):
         out = out.append_column(name, values)
     return out
 
 
-def _joined(docs: DataFrame, names: list[str], digests: bool, length: int = 100, q: int = 24, block: int = 1 << 20) -> DataFrame:
+def _joined(docs: DataFrame, digests: bool, length: int = 100, q: int = 24, block: int = 1 << 20, block_bytes: int = 64 << 20) -> DataFrame:
+    """docs(row, owner, text) as row, n_bytes, n_removed, n_spans, kept. row: a struct of whatever is to be carried."""
     if length < q + 16 or q % 8 or q < 8:
         raise ValueError("q must be a multiple of 8, and length at least q + 16")
-    parts = max(1, shuffle_parts(docs.sparkSession))
-    owner = F.col("doc_id").cast("long")
-    dealt = docs.select(*names, "text", owner.alias("_owner")).withColumn("_block", _block_column(F.col("_owner"), parts)).groupBy("_block")
-    rows = docs.select(owner.alias("_owner"), "text").filter(f"_owner is not null and octet_length(text) >= {length}")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, shuffle_parts(docs.sparkSession), -(-total // block_bytes))
+    dealt = docs.withColumn("block", _block_column(F.col("owner"), parts)).groupBy("block")
+    rows = docs.select("owner", "text").filter(f"owner is not null and octet_length(text) >= {length}")
     anchors = rows.mapInArrow(lambda it: lean(_anchors(it, length, q, parts, block)), _ROWS)
     flags = anchors.groupBy("part").applyInArrow(lambda t: lean_call(_met_twice, t, parts), _BLOCK)
     runs = dealt.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: lean_call(_emit, d, f, length, q, parts, block), _ROWS)
     spans = runs.groupBy("part").applyInArrow(lambda t: lean_call(_settle, t, length, q, parts), _BLOCK)
-    kind = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
-    schema = f"{kind}, _n_bytes long, _n_removed long, _n_spans long, _kept string"
-    return dealt.cogroup(spans.groupBy("block")).applyInArrow(lambda d, f: lean_call(_apply, d, f, names, digests), schema)
+    schema = f"row {dict(docs.dtypes)['row']}, n_bytes long, n_removed long, n_spans long, kept string"
+    return dealt.cogroup(spans.groupBy("block")).applyInArrow(lambda d, f: lean_call(_apply, d, f, digests), schema)
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs(doc_id, text)."""
-    out = _joined(docs, ["doc_id"], True, **kw)
-    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept").alias("kept_sha256"))
+    rows = docs.select(F.struct("doc_id").alias("row"), F.col("doc_id").cast("long").alias("owner"), "text")
+    return _joined(rows, True, **kw).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
 def dedup(docs: DataFrame, **kw) -> DataFrame:
     """docs with repeats cut from text; what is left of a character cut in two goes too. n_chars, if there, is counted anew. A null text stays null."""
-    names = docs.columns
-    out = _joined(docs.withColumn("_null", F.col("text").isNull()), [*[c for c in names if c != "text"], "_null"], False, **kw)
-    out = out.withColumn("text", F.when(~F.col("_null"), F.col("_kept")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    row = F.struct(packed(docs, "text").alias("all"), F.col("text").isNull().alias("none"))
+    out = _joined(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("owner"), "text"), False, **kw)
+    own = {"text": F.when(~F.col("row.none"), F.col("kept"))}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.all.n_chars"))
+    return out.select(*unpacked(docs, "row.all", **own))
