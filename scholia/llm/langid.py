@@ -9,7 +9,8 @@ Training is bounded: at most ``per_language`` rows of each language, chosen by h
 feature counts. Prediction reads every whole text once, in place, and needs no shuffle; the model is some MB whatever the corpus.
 
 Cases. Null text or no letter: ``und``, score 0. No training rows at all: ``und`` everywhere. Null lang: no training row. A text's score
-is the share of the winner in the decoded losses (softmax), ``ambiguous`` where the runner-up is close. Rows repeated: each gets its row.
+is the share of the winner in the decoded losses (softmax), ``ambiguous`` where the runner-up is close. Rows repeated: each gets its row. Empty table: no rows.
+Other columns, whatever their names, are carried by ``keep_identified``. Very long texts: a text's n-grams are held at once, at some 40 bytes a byte of text; outputs are summed in chunks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, pieces, utf8
+from .common import lean, nullable, packed, pieces, unpacked, utf8
 
 BITS = 14
 _LETTER = regex.compile(r"\p{L}")
@@ -122,13 +123,12 @@ def train(rows: DataFrame, per_language: int = 400, epochs: int = 12, seed: int
         return Model([], np.ones((0, 1)), np.zeros((2 << BITS, 1)), np.zeros(1), np.ones(1))
     if len(share) > 2000:
         raise ValueError("more than 2000 languages")
-    # a hash threshold that lets about twice the bound through, then the bound itself
-    limit = F.lit(0.0)
-    for r in share:
-        limit = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * per_language / r["count"]))).otherwise(limit)
-    part = rows.filter("lang is not null and text is not null").withColumn("_h", F.xxhash64(F.col("doc_id").cast("string")))
-    part = part.filter(F.pmod("_h", F.lit(1 << 20)) < limit * (1 << 20))
-    part = part.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).filter(F.col("_n") <= per_language)
+    # a hash threshold that lets about twice the bound through, then the bound itself; rows of one id, or without one, are told apart by their texts
+    spark = rows.sparkSession
+    limits = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, 2.0 * per_language / r["count"])) for r in share], "lang string, most double"))  # at most 2000 rows
+    part = rows.filter("text is not null").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).join(limits, "lang")
+    part = part.filter(F.pmod("h", F.lit(1 << 20)) < F.col("most") * (1 << 20))
+    part = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= per_language)
     got = part.select("lang", "text").mapInArrow(lambda it: lean(_counts(it)), "lang string, slots binary, shares binary").collect()
     got = sorted(got, key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["shares"])))
     langs = sorted({r["lang"] for r in got})
@@ -157,7 +157,7 @@ def train(rows: DataFrame, per_language: int = 400, epochs: int = 12, seed: int
     return Model(langs, code, w.astype(np.float32), bias, trust / trust.mean())
 
 
-def _predict(batches, model: Model, names: list[str], block: int = 1 << 18):
+def _predict(batches, model: Model, block: int = 1 << 18):
     for batch in batches:
         buf, offsets = utf8(batch.column("text"))
         lang, score, close = [], [], []
@@ -169,14 +169,14 @@ def _predict(batches, model: Model, names: list[str], block: int = 1 << 18):
             for k in range(j - i):
                 letters = bool(model.langs) and _LETTER.search(raw[o[k] : o[k + 1]].decode("utf-8", "replace")) is not None
                 lang.append(model.langs[top[k]] if letters else "und"), score.append(float(p[k]) if letters else 0.0), close.append(bool(near[k]) or not letters)
-        yield pa.record_batch([*(batch.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], [*names, "_lang", "_score", "_ambiguous"])
+        names = [n for n in batch.schema.names if n in ("row", "kept_text")]
+        yield pa.record_batch([*(batch.column(n).cast(nullable(batch.column(n).type)) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
 
 
-def identify(docs: DataFrame, model: Model, names: list[str] | None = None) -> DataFrame:
-    """docs (or its columns ``names``) with _lang, _score, _ambiguous."""
-    names = docs.columns if names is None else names
-    kind = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names)
-    return docs.mapInArrow(lambda it: lean(_predict(it, model, names)), f"{kind}, _lang string, _score double, _ambiguous boolean")
+def identify(rows: DataFrame, model: Model) -> DataFrame:
+    """rows(row, text[, kept_text]) as row[, kept_text], lang_pred, score, ambiguous. row: a struct of whatever is to be carried."""
+    kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in ("row", "kept_text"))
+    return rows.mapInArrow(lambda it: lean(_predict(it, model)), f"{kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out() -> Column:
@@ -185,13 +185,13 @@ def held_out() -> Column:
 
 def digest(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous; learned from the rows of docs(doc_id, text, lang) that aren't held out."""
-    part = docs.withColumn("_held", F.coalesce(held_out(), F.lit(False)))
-    model = train(part.filter("not _held"), **kw)
-    rows = part.select("doc_id", F.col("_held").alias("held_out"), "text")
-    return identify(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_ambiguous").alias("ambiguous"))
+    held = F.coalesce(held_out(), F.lit(False))
+    model = train(docs.select("doc_id", "text", "lang").filter(~held), **kw)
+    return identify(docs.select(F.struct("doc_id", held.alias("held_out")).alias("row"), "text"), model).select("row.doc_id", "row.held_out", "lang_pred", "score", "ambiguous")
 
 
 def keep_identified(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of docs that have a language, with lang as predicted."""
-    model = train(docs.filter(~F.coalesce(held_out(), F.lit(False))), **kw)
-    return identify(docs, model).filter("_lang <> 'und'").withColumn("lang", F.col("_lang")).select(*docs.columns)
+    """The rows of docs that have a language, with lang as predicted. All other columns come back as they were, whatever their names."""
+    model = train(docs.select("doc_id", "text", "lang").filter(~F.coalesce(held_out(), F.lit(False))), **kw)
+    found = identify(docs.select(packed(docs, "text", "lang").alias("row"), "text", F.col("text").alias("kept_text")), model).filter("lang_pred <> 'und'")
+    return found.select(*unpacked(docs, "row", text=F.col("kept_text"), lang=F.col("lang_pred")))

@@ -9,7 +9,7 @@ How it scales. Document frequencies of the licence words come from all documents
 words a template, fixed by the templates. Then each row is done by itself: no shuffle, and nothing but the index goes to the tasks.
 
 Cases. Null or empty text: no words, no places, null first and last, empty labels, score 0. Repeated rows each get their row.
-Empty table: no rows. ``scan`` carries all columns of its input.
+Empty table: no rows. ``scan`` carries all columns of its input, whatever their names. Very long texts: a row's words are held at once, at some 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked, unused
 from .nativewords import folded_words
 
 #: Phrases and labels that every scan must find.
@@ -56,7 +57,7 @@ def _places(word: str, shift: int) -> str:
 
 
 def scan(docs: DataFrame, base=BASE, own=OWN, rare: int = 3) -> DataFrame:
-    """docs with _n_words, _base and _own: array<struct<label, start>> of verified places."""
+    """docs with n_words, base and own: array<struct<label, start>> of verified places. Where docs has such a name, the added one gets an underscore in front."""
     templates = [*base, *own]
     if any(not set(p) <= set("abcdefghijklmnopqrstuvwxyz0123456789 ") for p, _ in templates):
         raise ValueError("key phrases are words of a-z and 0-9, one space apart")
@@ -68,8 +69,8 @@ def scan(docs: DataFrame, base=BASE, own=OWN, rare: int = 3) -> DataFrame:
         best = sorted(set(words), key=lambda w: (-idf(w), w))[:rare]
         index[phrase, label] = [(w, [j for j, x in enumerate(words) if x == w]) for w in best]
     looked_up = sorted({w for postings in index.values() for w, _ in postings}, key=lambda w: (-idf(w), w))
-    rows = docs.withColumn("words", folded_words(F.col("text")))
-    rows = rows.withColumn("present", F.array_intersect(F.array(*map(F.lit, looked_up)), F.col("words")))
+    rows = docs.select(packed(docs).alias("row"), folded_words(F.col("text")).alias("words"))
+    rows = rows.select("row", "words", F.array_intersect(F.array(*map(F.lit, looked_up)), F.col("words")).alias("present"))
 
     def found(some) -> Column:
         each = []
@@ -86,14 +87,14 @@ def scan(docs: DataFrame, base=BASE, own=OWN, rare: int = 3) -> DataFrame:
             each.append(f"if({have}, transform(array_distinct({checked}), s -> struct('{label}' as label, s as start)), cast(array() as array<struct<label:string,start:int>>))")
         return F.expr("concat(" + ", ".join(each) + ")")
 
-    return rows.select(*docs.columns, F.size("words").alias("_n_words"), found(base).alias("_base"), found(own).alias("_own"))
+    return rows.select(*unpacked(docs, "row"), F.size("words").alias(unused(docs, "n_words")), found(base).alias(unused(docs, "base")), found(own).alias(unused(docs, "own")))
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 less a half for each verified place) of docs(doc_id, text)."""
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"]))), ",")
-    starts = F.transform("_base", lambda x: x["start"].cast("long"))
+    starts = F.transform("base", lambda x: x["start"].cast("long"))
     return scan(docs.select("doc_id", "text"), **kw).select(
-        "doc_id", F.col("_n_words").cast("long").alias("n_words"), F.size("_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        labels(F.col("_base")).alias("base_labels"), labels(F.concat("_base", "_own")).alias("labels"), (1 - F.pow(F.lit(0.5), F.size("_base") + F.size("_own"))).alias("score"),
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(F.col("base")).alias("base_labels"), labels(F.concat("base", "own")).alias("labels"), (1 - F.pow(F.lit(0.5), F.size("base") + F.size("own"))).alias("score"),
     )

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scholia.llm import decontam, langid, licenses, lmscore, neardup, packing, repeats, tokencounts, vptree, warc
 from scholia.llm.common import words
@@ -54,7 +55,7 @@ def test_repeats(docs, empty):
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         assert got[d] == (d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
     assert repeats.digest(empty).count() == 0
-    assert repeats.dedup(docs).columns == docs.columns
+    assert repeats.dedup(docs).columns == docs.columns and repeats.dedup(docs, block_bytes=500).count() == len(texts())
 
 
 def test_refine():
@@ -88,9 +89,43 @@ def test_packing(spark, docs, empty):
         assert sorted(per[d]) == [(k, 64 * k, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for k, c in enumerate(cut)]
     total = sum(r.length for r in got)
     assert len(bins) <= math.ceil(total / 64) + 3
+    packed = packing.pack(spark.createDataFrame([(i, 5 + i % 50) for i in range(400)], "_salt int, length long"), size=64, salt_rows=3).collect()
+    assert sorted((r._salt, r.length) for r in packed) == [(i, 5 + i % 50) for i in range(400)]
+    ends = {}
+    for r in packed:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(o == sum(n for _, n in sorted(v)[:k]) for v in ends.values() for k, (o, _) in enumerate(sorted(v)))
     assert packing.pack_documents(empty, size=64).count() == 0
 
 
+@pytest.mark.parametrize("copies", [8, 100])
+def test_configuration_program(copies):
+    """Most pieces are placed by configurations; no more sequences than best fit alone, and near the dual bound."""
+    size, rng = 512, np.random.default_rng(6)
+    hist = np.bincount(np.minimum(rng.gamma(1.2, 140, 2500).astype(int) + 2, size), minlength=size + 1)[: size + 1] * copies
+    short = hist.copy()
+    short[size] = 0
+    columns, bound = packing.fractional_cover(short, size, 200)
+    whole = packing.rounded(columns, short)
+    covered = np.zeros(size + 1)
+    for config, n in whole.items():
+        assert sum(config) <= size
+        np.add.at(covered, list(config), n)
+    assert (covered <= short).all() and covered.sum() >= 0.9 * short.sum()
+
+    def sequences(rows):
+        seen = np.zeros(size + 1, np.int64)
+        for x, a, b, _, _, _ in sorted(rows):
+            assert a == seen[x]
+            seen[x] = b
+        assert (seen == hist).all()
+        return max(first + -(-(b - a) // each) for _, a, b, each, first, _ in rows)
+
+    n, best_fit = sequences(packing.plan(hist, size)), sequences(packing.plan(hist, size, rounds=0))
+    least = math.ceil(bound - 1e-6) + hist[size]
+    assert least <= n <= best_fit and n <= least * 1.001 + 1
+
+
 @pytest.mark.parametrize("most", [300_000, 0])
 def test_decontamination(spark, docs, empty, most):
     t = texts()
@@ -133,6 +168,13 @@ def test_neardup(docs, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_neardup_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a), (5, a + " end"), (5, b), (7, b + " end"), (9, "q r s"), (3, "q r s"), (9, "u v w"), (2, "u v w"), (None, a), (None, a)]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (5, 1), (7, 1), (9, 2), (3, 2), (2, 2), (None, None)} and len(got) == len(rows)
+
+
 def test_licenses(spark, docs, empty):
     rows = [(0, "Under the MIT License. under, the mit license; Apache License, Version 2"), (1, "CC-BY-NC and all rights reserved"), (2, None), (3, "mit license the under")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -142,27 +184,63 @@ def test_licenses(spark, docs, empty):
     assert licenses.digest(empty).count() == 0 and licenses.digest(docs).count() == docs.count()
 
 
+def _nearest(x, ids, k, every):
+    for q in range(len(x)):
+        if ids[q] % every == 0 and np.isfinite(x[q]).all() and x[q].any():
+            s = vptree.exact_scores(x, x[q])
+            order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+            yield from ((int(ids[q]), r + 1, int(ids[i]), float(s[i])) for r, i in enumerate(order))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 6)).astype(np.float32)
     x[5:60] = x[5]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(400, None), (420, [0.0] * 6), (440, [float("nan")] * 6), (460, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
-    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=4, shard_rows=100, query_block=5).collect()
-    want = []
-    d = x.astype(float)
-    for q in range(0, 300, 20):
-        s = vptree.exact_scores(d, d[q])
-        order = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:4]
-        want += [(q, k + 1, int(i), float(s[i])) for k, i in enumerate(order)]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(400, None), (420, [0.0] * 6), (440, [float("nan")] * 6), (460, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6)]
+    short = rng.standard_normal((30, 3)).astype(np.float32)
+    rows += [(500 + i, [float(v) for v in r]) for i, r in enumerate(short)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = vptree.nearest(df, k=4, shard_rows=100, query_block=5, leaf=8).collect()
+    want = [*_nearest(x.astype(float), np.arange(300), 4, 20), *_nearest(short.astype(float), np.arange(500, 530), 4, 20)]
     assert sorted(map(tuple, got)) == sorted(want)
-
-
-def test_vantage_tree_exact():
-    x = np.random.default_rng(3).standard_normal((2000, 3))
-    d, r = vptree.VpTree(x, leaf=16).search(x[:50], np.arange(50), np.arange(2000), 5, 1.0)
-    full = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2))
-    full[np.arange(50), np.arange(50)] = np.inf
-    assert np.allclose(d, np.sort(full, 1)[:, :5])
+    assert vptree.nearest(df.limit(0)).count() == 0 and vptree.nearest(df.filter("vec_id % 20 <> 0")).count() == 0
+    twice = spark.createDataFrame([(20, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(1, 9)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in vptree.nearest(twice, k=4).collect()] == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("scale", ["1e-10", "1e10", "1e-160", "outlier", "tiny", "mixed"])
+def test_vantage_tree_is_exact_at_any_scale(scale):
+    rng = np.random.default_rng(3)
+    x, ids = rng.standard_normal((1500, 8)), rng.permutation(1500)
+    if scale == "outlier":
+        x[7] *= 1e7
+    elif scale == "tiny":
+        x[7] *= 1e-7
+    elif scale == "mixed":
+        x *= np.exp(rng.standard_normal((1500, 1)) * 9)
+    else:
+        x *= float(scale)
+    found = vptree.Found(x[:40], ids[:40], 5)
+    for tree in vptree.plant(x, ids, 5, leaf=16):
+        tree.search(found, 1.0)
+    got = [(int(ids[q]), r + 1, int(found.id[q, r]), float(found.score[q, r])) for q in range(40) for r in range(5)]
+    assert sorted(got) == sorted(t for t in _nearest(x, ids, 5, 1) if t[0] in set(ids[:40].tolist()))
+
+
+def test_vantage_tree_factor():
+    """Where distances differ (three dimensions), the triangle inequality leaves most rows out; a larger factor leaves out more, and misses some."""
+    x = np.random.default_rng(4).standard_normal((4000, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(4000)
+    exact, share, recall = None, [], []
+    for factor in (1.0, 2.0, 4.0):
+        found = vptree.Found(x[:100], ids[:100], 10)
+        for tree in vptree.plant(x, ids, 10, leaf=16):
+            tree.search(found, factor)
+        exact = found.id if exact is None else exact
+        share.append(found.computed / 400_000)
+        recall.append(np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found.id, exact, strict=True)]))
+    assert share[0] < 0.2 and share[0] > share[1] > share[2] and recall[0] == 1 and recall[1] > 0.9
 
 
 def test_warc(spark):
@@ -245,3 +323,77 @@ def test_language(spark, docs, empty):
     assert all(r.lang_pred == rows[r.doc_id][2] and 0 <= r.score <= 1 for r in got.collect())
     code = langid.codewords(9)
     assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 6
+
+
+def test_language_decoding(spark):
+    """The winner, score and ambiguity of each text, from the model's weights by hand."""
+    say = {"en": "the cat and the dog were there ", "de": "der hund und die katze waren dort ", "fr": "le chat et le chien etaient la "}
+    rows = [(i, x * 3, lang) for i, (lang, x) in enumerate(list(say.items()) * 20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en", "fr"] and model.code.shape == (3, 3)
+    tests = ["the dog and der hund", "Le Chat! 42", "zzz", "katze"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(tests)], "n long, text string")
+    got = {r.row.n: r for r in langid.identify(df.select(F.struct("n").alias("row"), "text"), model).collect()}
+    for k, x in enumerate(tests):
+        low = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in x.encode())
+        total, n = np.zeros(3), 0
+        for width, factor, top in ((3, 2654435761, 0), (4, 2246822519, 1)):
+            for i in range(len(low) - width + 1):
+                total += model.w[((int.from_bytes(low[i : i + width], "little") * factor) & 0xFFFFFFFF) >> 18 | top << 14]
+                n += 1
+        margin = total / max(n, 1) + model.bias
+        loss = [sum(math.log1p(math.exp(-m * c)) * t for m, c, t in zip(margin, code, model.trust, strict=True)) for code in model.code]
+        p = np.exp(min(loss) - np.array(loss))
+        p /= p.sum()
+        best, second = sorted(p)[-1], sorted(p)[-2]
+        assert (got[k].lang_pred, got[k].ambiguous) == (model.langs[int(p.argmax())], bool(best - second < 0.1)) and abs(got[k].score - best) < 1e-5
+
+
+NAMES = "doc_id long, text string, lang string, n_chars long, row string, block long, _block long, owner string, gone string, _gone string, words string, key string, p string, starts string, folded string, x string, a string, b string, found string, hits string, items string, id string, present string, base string, own string, n_words string, score string, lang_pred string, kept string, nothing string, _salt string"
+
+
+def test_clashing_columns(spark):
+    """Callers' columns come back as they were, whatever their names."""
+    names = [x.split()[0] for x in NAMES.split(", ")]
+    kinds = {x.split()[0]: x.split()[1] for x in NAMES.split(", ")}
+    shared = " ".join(f"word{i}" for i in range(40))
+    own = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    text = [own[0], own[0] + " end", own[1] + " " + shared, own[2] + " " + shared, None, "12 34"]
+    rows = [tuple(i if n == "doc_id" else t if n == "text" else "en" if n == "lang" else 7 if kinds[n] == "long" else f"{n}{i}" for n in names) for i, t in enumerate(text)]
+    df = spark.createDataFrame(rows, NAMES)
+    bench = spark.createDataFrame([(1, " ".join(own[1].split()[5:20]))], "item_id long, text string")
+
+    def check(out, ids, but=()):
+        assert out.columns[: len(names)] == names
+        got = {r[0]: r for r in out.collect()}
+        assert set(got) == set(ids)
+        for i in ids:
+            for k, n in enumerate(names):
+                assert n in but or got[i][k] == rows[i][k], (n, got[i][k], rows[i][k])
+        return got
+
+    check(langid.keep_identified(df), {0, 1, 2, 3}, {"lang"})
+    check(neardup.dedup(df), {0, 2, 3, 4, 5})
+    cut = check(repeats.dedup(df), range(6), {"text", "n_chars"})
+    assert cut[2].text == text[2] and shared not in cut[3].text and cut[3].n_chars == len(cut[3].text) and cut[4].text is None
+    check(decontam.clean(df, bench), {0, 1, 3, 4, 5})
+    spans = check(decontam.clean(df, bench, remove="spans"), range(6), {"text", "n_chars"})
+    assert len(spans[2].text.split()) == 85 and spans[0].text == text[0]
+    check(licenses.scan(df), range(6))
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes goes through every operator whole."""
+    rng = random.Random(8)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(200_000))
+    tail = long[-500:]
+    df = spark.createDataFrame([(1, long, "en"), (2, tail + " and more", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.n_removed for r in repeats.digest(df).collect()} == {1: 0, 2: 500}
+    assert {r.doc_id: r.n_shingles for r in neardup.classes(df).collect()}[1] == 199_998
+    bench = spark.createDataFrame([(1, " ".join(long.split()[150_000:150_012]))], "item_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in decontam.digest(df, bench).collect()}[1] == (200_000, 12)
+    assert {r.doc_id: r.n_words for r in licenses.digest(df).collect()}[1] == 200_000
+    assert {r.doc_id: r.n_words for r in tokencounts.token_counts(df).collect()}[1] == 200_000
+    parts = [r for r in packing.token_pieces(df, __import__("public_tokenizers").path("word_bpe_49k.json")).collect() if r.doc_id == 1]
+    assert sorted(r.start for r in parts) == list(range(0, 2048 * len(parts), 2048))
+    assert {r.doc_id: r.lang_pred for r in langid.digest(df).collect()}[1] in ("en", "und")
