@@ -7,13 +7,14 @@ The vocabulary is the ``classes * classes - classes`` most frequent words of the
 The counts of all words are kept as a table that grows with the corpus: a word of a rest word has the rest word's probability times its own share of the rest
 word's occurrences, and a word that the corpus doesn't hold has the share of one occurrence more.
 Training is by local descent and averaging: in each of ``rounds`` rounds every task starts from the present model and trains on its documents of that round
-(by hash of the text), on every position; the models, weighted by positions, are averaged in a tree.
+(by hash of the text), on every position; the models, weighted by positions, are averaged in a tree. A document is in one round, so the fit is one epoch of every position.
 
 How it scales. Word counts are summed in each batch before they are shuffled. A task sends one model of fixed size (some 2 MB); groups of ``fan`` models are
 averaged before the driver gets any, so it gets at most ``fan``. Scoring reads each text once, in place, with the model in the task; texts are cut into runs of
 words for the matrices. Rare words' counts come by a join: a block of texts asks once for each distinct rare word, and keeps their places beside the scores.
 
-Cases. Null or empty text, or no words: 0 words, log-probability 0, mean null. An empty corpus: the model as it begins. Repeated rows: each gets its row.
+Cases. Null or empty text, or no words: 0 words, log-probability 0, mean null. An empty corpus: the model as it begins. Repeated rows: each gets its row. Null doc_id: scored too.
+Other columns are ignored. Very long texts: a text's words are held at once, at some 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -69,13 +70,15 @@ class WindowNet:
         count, target = (target - 1) // n, (target - 1) % n + 1
         h = self.hidden(np.where(around > n, (around - 1) % n + 1, around))
         c, w = np.divmod(target - 1, self.classes)
-        out = _picked(h @ self.by_class.T + self.class_bias, c)
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(self.classes + 1))
+        order = np.argsort(c.astype(np.uint16), kind="stable")
+        h, w_in, cuts = h[order], w[order], np.searchsorted(c[order], np.arange(self.classes + 1)).tolist()
+        p = _picked(self.by_class @ h.T + self.class_bias[:, None], c[order])
         for k in range(self.classes):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                out[at] += _picked(h[at] @ self.by_word[k].T + self.word_bias[k], w[at])
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                p[a:b] += _picked(self.by_word[k] @ h[a:b].T + self.word_bias[k][:, None], w_in[a:b])
+        out = np.empty(len(p), p.dtype)
+        out[order] = p
         held = count > 0
         if held.any():
             out[held] += self.log_share(count[held], target[held] - 1 - n + self.classes)
@@ -88,30 +91,32 @@ class WindowNet:
     def train(self, around: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """One step of adaptive descent on a batch; memory: sums of squares, one array for each of parts()."""
         n = len(target)
-        h = self.hidden(around)
         c, w = np.divmod(target - 1, self.classes)
-        g = _softmax(h @ self.by_class.T + self.class_bias)
-        g[np.arange(n), c] -= 1
-        dh = g @ self.by_class
-        _step(self.by_class, memory[2], g.T @ h, rate)
-        _step(self.class_bias, memory[3], g.sum(0), rate)
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(self.classes + 1))
+        order = np.argsort(c.astype(np.uint16), kind="stable")
+        around, c, w = around[:, order], c[order], w[order]
+        cuts = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
+        h = self.hidden(around)
+        g = _softmax(self.by_class @ h.T + self.class_bias[:, None])
+        g[c, np.arange(n)] -= 1
+        dh = g.T @ self.by_class
+        _step(self.by_class, memory[2], g @ h, rate)
+        _step(self.class_bias, memory[3], g.sum(1), rate)
         for k in range(self.classes):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                g = _softmax(h[at] @ self.by_word[k].T + self.word_bias[k])
-                g[np.arange(len(at)), w[at]] -= 1
-                dh[at] += g @ self.by_word[k]
-                _step(self.by_word[k], memory[4][k], g.T @ h[at], rate)
-                _step(self.word_bias[k], memory[5][k], g.sum(0), rate)
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                mine = h[a:b]
+                g = _softmax(self.by_word[k] @ mine.T + self.word_bias[k][:, None])
+                g[w[a:b], np.arange(b - a)] -= 1
+                dh[a:b] += g.T @ self.by_word[k]
+                _step(self.by_word[k], memory[4][k], g @ mine, rate)
+                _step(self.word_bias[k], memory[5][k], g.sum(1), rate)
         dh *= 1 - h * h
         _step(self.bias, memory[1], dh.sum(0), rate)
         for k in range(len(OFFSETS)):
-            order = np.argsort(around[k], kind="stable")
-            ids = around[k][order]
+            at = np.argsort(around[k].astype(np.uint16), kind="stable")  # ids are at most classes squared
+            ids = around[k][at]
             first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            grad, rows = np.add.reduceat(dh[order], first, axis=0), ids[first]
+            grad, rows = np.add.reduceat(dh[at], first, axis=0), ids[first]
             memory[0][k][rows] += grad * grad
             self.near[k][rows] -= rate * grad / np.sqrt(memory[0][k][rows])
 
@@ -122,18 +127,19 @@ def _step(value: np.ndarray, memory: np.ndarray, grad: np.ndarray, rate: float)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    """Of each column: reductions over rows go along the memory."""
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= z.sum(0)
     return z
 
 
 def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax at one column of each row."""
-    z -= z.max(1, keepdims=True)
-    mine = z[np.arange(len(z)), at].copy()
+    """log softmax at one row of each column."""
+    z -= z.max(0)
+    mine = z[at, np.arange(z.shape[1])]
     np.exp(z, out=z)
-    return mine - np.log(z.sum(1))
+    return mine - np.log(z.sum(0))
 
 
 class Vocabulary:
@@ -245,7 +251,7 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"task": pa.array([table.column("task")[0].as_py()], pa.int32()), "weight": pa.array([float(weights.sum())]), "model": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, classes: int = 64, width: int = 16, rounds: int = 2, rate: float = 0.1, batch_words: int = 2048, fan: int = 8) -> tuple[WindowNet, Vocabulary]:
+def fit(docs: DataFrame, classes: int = 64, width: int = 16, rounds: int = 2, rate: float = 0.1, batch_words: int = 8192, fan: int = 8) -> tuple[WindowNet, Vocabulary]:
     """A network and its vocabulary, from all texts of docs(text)."""
     vocab, counts = vocabulary(docs, classes)
     net = WindowNet(classes, width)

@@ -292,6 +292,18 @@ def test_lm(docs, empty):
     assert lmscore.fit_and_score(empty, classes=8, width=4).count() == 0
 
 
+def test_lm_learns_from_both_sides(spark):
+    """On texts it wasn't trained on, the network gives words more probability than their frequencies do."""
+    rng = random.Random(5)
+    pairs = [(f"a{i}", f"b{i}") for i in range(12)]
+    say = lambda: " ".join(f"{x} of {y}" for x, y in rng.choices(pairs, k=40))
+    df = spark.createDataFrame([(i, say()) for i in range(400)], "doc_id long, text string").repartition(2).cache()
+    net, vocab = lmscore.fit(df.filter("doc_id >= 40"), classes=8, width=8, batch_words=128, rate=0.3)
+    held = lmscore.score(df.filter("doc_id < 40"), net, vocab).agg(F.sum("log_probability") / F.sum("n_words")).first()[0]
+    by_frequency = (math.log(1 / 3) + 2 * math.log(1 / 36)) / 3
+    assert held > by_frequency + 0.7, (held, by_frequency)
+
+
 def test_lm_trains_on_every_word(monkeypatch):
     monkeypatch.setattr(lmscore, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
     batch = pa.record_batch([pa.array(texts())], ["text"])
