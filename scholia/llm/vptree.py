@@ -79,7 +79,7 @@ class Found:
 class VpTree:
     """A vantage-point tree over rows of x of like norm (within a factor of 2); leaves hold up to leaf rows."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = 64, seed: int = 1):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = 512, seed: int = 1):
         self.leaf, self.rng = leaf, np.random.default_rng(seed)
         self.exponent = int(np.frexp(np.abs(x).max())[1])
         small = np.ldexp(x, -self.exponent)
@@ -118,10 +118,11 @@ class VpTree:
             s = found.unit[who] @ self.near[a:b].T  # of unit vectors: good to some 1e-14
             found.computed += s.size
             s[found.q_ids[who][:, None] == ids[None]] = -np.inf
-            cut = found.least(who, self.exponent) / self.most
-            if b - a > k:
-                cut = np.maximum(cut, np.partition(s, b - a - k, axis=1)[:, b - a - k])
-            at, col = np.nonzero((s >= (cut - 1e-12)[:, None]) & (s > -np.inf))
+            cut = found.least(who, self.exponent) / self.most - 1e-12
+            may = s >= cut[:, None]
+            if b - a > k and len(many := np.flatnonzero(may.sum(1) > 2 * k)):
+                may[many] = s[many] >= np.partition(s[many], b - a - k, axis=1)[:, b - a - k, None] - 1e-12
+            at, col = np.nonzero(may & (s > -np.inf))
             if len(at):
                 found.add(who[at], exact_scores(self.x[a + col], found.q[who[at]]), ids[col])
 
@@ -150,7 +151,7 @@ class VpTree:
         visit(self.root, who[found.least(who, self.exponent) / self.most <= 1 + SLACK])
 
 
-def plant(x: np.ndarray, ids: np.ndarray, k: int, leaf: int = 64) -> list[VpTree]:
+def plant(x: np.ndarray, ids: np.ndarray, k: int, leaf: int = 512) -> list[VpTree]:
     """The trees of a shard, of largest norms first. Of equal vectors the k + 1 smallest ids stay, k rows of each."""
     order = np.lexsort((ids, *x.T[::-1]))
     x, ids = x[order], ids[order]
@@ -209,7 +210,7 @@ def _search(batches, plan: list, folder: str, k: int, factor: float):
             yield pa.record_batch([pa.array(number, pa.int64()), pa.array(q_ids[at], pa.int64()), pa.array(found.id[at, col], pa.int64()), pa.array(found.score[at, col], pa.float64())], ["query", "query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, shard_rows: int = 8192, query_block: int = 1024, leaf: int = 64, busy: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, shard_rows: int = 8192, query_block: int = 1024, leaf: int = 512, busy: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row of vectors(vec_id, embedding) whose vec_id is divisible by every. busy: tasks to have at least (twice the cores)."""
     spark = vectors.sparkSession
     v = F.transform("embedding", lambda x: x.cast("double"))
