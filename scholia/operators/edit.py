@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def occurrences(text: Column, part: Column) -> Column:
     """How often part stands in text, without overlaps; 0 for an empty part."""
@@ -20,7 +22,7 @@ def with_section(text: Column, heading: Column, body: Column) -> Column:
 
 def new_page(title: Column, body: Column) -> Column:
     """A page of body, under a title unless body brings its own."""
-    b = F.regexp_replace(body, r"^\s+|\s+$", "")
+    b = strip(body)
     return F.when(b.startswith("# "), F.concat(b, F.lit("\n"))).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), b, F.lit("\n")))
 
 

@@ -46,3 +46,33 @@ def judge_tally(replies: DataFrame) -> DataFrame:
     said = replies.select("ord", verdict(F.col("reply")).alias("v"))
     won = F.when(F.col("v") == "tie", "tie").when((F.col("v") == "a") == (F.col("ord") % 2 == 0), "first").otherwise("second")
     return said.select(won.alias("w")).agg(F.count("*").alias("questions"), *[F.count_if(F.col("w") == c).alias(c) for c in ("first", "second", "tie")])
+
+
+def ranked_lists(items: DataFrame, found: DataFrame) -> DataFrame:
+    """items(qid, expected, ...) with ranked: the pages of found(qid, page, rank) in order; empty where none were found."""
+    of = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "page"))).alias("s")).select("qid", F.transform("s", lambda s: s["page"]).alias("ranked"))
+    kind = of.schema["ranked"].dataType.simpleString()
+    return items.join(of, "qid", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast(kind)))
+
+
+def evaluate(items: DataFrame, retrieve, k: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Each of items(qid, emb, expected) with rr, hit and recall, and the report over all. retrieve: questions(qid, emb) to pages(qid, page, rank)."""
+    rows = ranked_lists(items, retrieve(items.select("qid", "emb")))
+    scored = rows.withColumn("rr", reciprocal_rank(F.col("ranked"), F.col("expected"))).withColumn("hit", hit_at_k(F.col("ranked"), F.col("expected"), k)).withColumn("recall", recall_at_k(F.col("ranked"), F.col("expected"), k))
+    return scored, report(rows, k)
+
+
+def judge_prompts(answers: DataFrame) -> DataFrame:
+    """ord, prompt of answers(ord, question, first, second): on odd questions the second system's answer is shown as A."""
+    even = F.col("ord") % 2 == 0
+    text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(no answer)"))
+    a, b = F.when(even, text("first")).otherwise(text("second")), F.when(even, text("second")).otherwise(text("first"))
+    return answers.select("ord", F.concat(F.lit("Question: "), "question", F.lit("\n\nA:\n"), a, F.lit("\n\nB:\n"), b).alias("prompt"))
+
+
+JUDGE = "Two answers to one question follow, A and B. Say which is more correct, more specific and more complete, whatever its length or form. Reply with one word: A, B or tie."
+
+
+def answer_report(graded: DataFrame) -> DataFrame:
+    """system, cite_hit, expected_recall: means of graded(system, cite_hit, expected_recall)."""
+    return graded.groupBy("system").agg(F.avg(F.col("cite_hit").cast("double")).alias("cite_hit"), F.avg("expected_recall").alias("expected_recall"))

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 #: Groups of a neighbourhood, in order of precedence, and how many nodes each shows.
 GROUPS = (("parent", None), ("child", None), ("prev", None), ("next", None), ("references", 8), ("referenced_by", 6), ("shared_entity", 6), ("similar", 6))
 
 
 def related(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     """src, node, rel, grp, ord: every page's neighbours by group, before limits. mentions(page, entity)."""
-    def of(rel, src, dst, name, order):
-        g = [x for x, _ in GROUPS].index(name)
-        return edges.filter(F.col("rel") == rel).select(F.col(src).alias("src"), F.col(dst).alias("node"), F.lit(name).alias("rel"), F.lit(g).alias("grp"), order.alias("ord"))
-    none = F.lit(0.0)
-    out = of("CHILD_OF", "src", "dst", "parent", none)
-    for x in (("CHILD_OF", "dst", "src", "child", none), ("NEXT", "dst", "src", "prev", none), ("NEXT", "src", "dst", "next", none), ("REFERENCES", "src", "dst", "references", none), ("REFERENCES", "dst", "src", "referenced_by", none), ("SIMILAR_TO", "src", "dst", "similar", -F.col("score"))):
-        out = out.unionByName(of(*x))
+    ways = []
+    for rel, near, far in (("CHILD_OF", "parent", "child"), ("NEXT", "next", "prev"), ("REFERENCES", "references", "referenced_by"), ("SIMILAR_TO", "similar", None)):
+        for name, src, dst in ((near, "src", "dst"), (far, "dst", "src")):
+            if name:
+                g = [x for x, _ in GROUPS].index(name)
+                order = -F.col("score") if name == "similar" else F.lit(0.0)
+                ways.append(F.when(F.col("rel") == rel, F.struct(F.col(src).alias("src"), F.col(dst).alias("node"), F.lit(name).alias("rel"), F.lit(g).alias("grp"), order.alias("ord"))))
+    out = edges.select(F.explode(F.array_compact(F.array(*ways))).alias("w")).select("w.*")
     shared = shared_entities(mentions).select(F.col("a").alias("src"), F.col("b").alias("node"), F.lit("shared_entity").alias("rel"), F.lit(6).alias("grp"), (-F.col("n")).cast("double").alias("ord"))
     return out.unionByName(shared)
 
@@ -33,10 +36,14 @@ def neighborhood(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     return r.groupBy("src", "node").agg(F.min_by("rel", "grp").alias("rel"))
 
 
-def shared_entities(mentions: DataFrame) -> DataFrame:
-    """a, b, n: pages that mention the same entities, and how many."""
+def shared_entities(mentions: DataFrame, block: int = 256) -> DataFrame:
+    """a, b, n: pages that mention the same entities, and how many. An entity of many pages is cut into blocks of about ``block`` pages, so that no task pairs all of them."""
     m = mentions.select("page", "entity").distinct()
-    return m.select(F.col("page").alias("a"), "entity").join(m.select(F.col("page").alias("b"), "entity"), "entity").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    many = m.groupBy("entity").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    m = m.join(many, "entity")
+    one = m.select(F.col("page").alias("a"), "entity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    two = m.select(F.col("page").alias("b"), "entity", F.pmod(F.xxhash64("page"), F.col("blocks")).cast("int").alias("x"))
+    return one.join(two, ["entity", "x"]).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def page_entities(mentions: DataFrame, k: int = 8) -> DataFrame:
@@ -61,8 +68,7 @@ def stats(edges: DataFrame) -> DataFrame:
 
 def degrees(pages: DataFrame, edges: DataFrame, rels=("SIMILAR_TO", "REFERENCES")) -> DataFrame:
     """page, degree: edges of rels at either end; 0 for none."""
-    e = edges.filter(F.col("rel").isin(*rels))
-    ends = e.select(F.col("src").alias("page")).unionByName(e.select(F.col("dst").alias("page"))).groupBy("page").agg(F.count("*").alias("degree"))
+    ends = edges.filter(F.col("rel").isin(*rels)).select(F.explode(F.array("src", "dst")).alias("page")).groupBy("page").agg(F.count("*").alias("degree"))
     return pages.join(ends, "page", "left").select("page", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
@@ -70,39 +76,92 @@ def health(pages: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame
     """One row: pages, those without similar pages, without entities, with neither nor references, and the mean degree."""
     flag = lambda df, c, name: df.select(F.col(c).alias("page")).distinct().withColumn(name, F.lit(1))
     sim = edges.filter("rel = 'SIMILAR_TO'")
-    both = lambda e: e.select("src").unionByName(e.select(F.col("dst").alias("src")))
-    out = degrees(pages, edges).join(flag(sim, "src", "s"), "page", "left").join(flag(mentions, "page", "m"), "page", "left").join(flag(both(edges.filter("rel in ('SIMILAR_TO', 'REFERENCES')")), "src", "e"), "page", "left")
+    both = lambda e: e.select(F.explode(F.array("src", "dst")).alias("src"))
+    out = degrees(pages, edges).join(flag(both(sim), "src", "s"), "page", "left").join(flag(mentions, "page", "m"), "page", "left").join(flag(both(edges.filter("rel in ('SIMILAR_TO', 'REFERENCES')")), "src", "e"), "page", "left")
     none = lambda c: F.sum(F.col(c).isNull().cast("long"))
     return out.agg(F.count("*").alias("pages"), none("s").alias("no_similar"), none("m").alias("no_entities"), F.sum((F.col("m").isNull() & F.col("e").isNull()).cast("long")).alias("orphans"), F.round(F.avg("degree"), 2).alias("avg_degree"))
 
 
-def find_path(edges: DataFrame, a, b, max_hops: int = 5) -> list | None:
-    """Nodes of a shortest undirected path, [] hops for a == b, None where none is short enough. One join a hop, over what was never reached."""
+#: Relations between pages that a path may take.
+PATH_RELATIONS = ("CHILD_OF", "NEXT", "SIMILAR_TO", "REFERENCES")
+
+
+def _undirected(edges: DataFrame, rels=PATH_RELATIONS) -> DataFrame:
+    """src, dst, rel in both directions: the first relation by name of each pair."""
+    e = edges.filter(F.col("rel").isin(*rels)).select(F.explode(F.array(F.struct("src", "dst", "rel"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel"))).alias("e")).select("e.*")
+    return e.filter("src <> dst").groupBy("src", "dst").agg(F.min("rel").alias("rel"))
+
+
+def find_path(edges: DataFrame, a, b, max_hops: int = 5) -> tuple[list, list] | None:
+    """Nodes and relations of a shortest undirected path, the first by its nodes; None where none is short enough. One join a hop, over what was never reached; what a hop reaches is written."""
     if a == b:
-        return [a]
-    both = edges.filter("rel in ('CHILD_OF', 'NEXT', 'SIMILAR_TO', 'REFERENCES')")
-    both = both.select("src", "dst").unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    spark = edges.sparkSession
-    kind = dict(both.dtypes)["src"]
-    reached = spark.createDataFrame([(a, [a])], f"node {kind}, path array<{kind}>")
-    front = reached
+        return [a], []
+    both = written(_undirected(edges), "edges")
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
+    front = spark.createDataFrame([(a, [a], [])], f"node {kind}, path array<{kind}>, rels array<string>")
+    reached = front.select("node")
     for _ in range(max_hops):
-        step = front.join(both, front.node == both.src).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = step.groupBy("node").agg(F.min("path").alias("path")).join(reached.select("node"), "node", "left_anti")
-        got = front.filter(F.col("node") == b).select("path").take(1)
+        step = front.join(both, front.node == both.src).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("rels", F.array("rel")).alias("rels"))
+        front = written(step.join(reached, "node", "left_anti").groupBy("node").agg(F.min(F.struct("path", "rels")).alias("p")).select("node", "p.*"), "front")
+        got = front.filter(F.col("node") == b).select("path", "rels").take(1)
         if got:
-            return list(got[0][0])
-        reached = reached.unionByName(front)
+            return list(got[0][0]), list(got[0][1])
+        if not front.take(1):
+            return None
+        reached = written(reached.unionByName(front.select("node")), "reached")
     return None
 
 
 def hops(edges: DataFrame, start, max_hops: int = 5) -> DataFrame:
     """node, hops of all that a start reaches undirected."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = written(_undirected(edges).select("src", "dst"), "edges")
     kind = dict(both.dtypes)["src"]
     out = edges.sparkSession.createDataFrame([(start, 0)], f"node {kind}, hops int")
     front = out
     for h in range(1, max_hops + 1):
-        front = front.join(both, front.node == both.src).select(F.col("dst").alias("node")).distinct().join(out.select("node"), "node", "left_anti").withColumn("hops", F.lit(h))
+        front = written(front.join(both, front.node == both.src).select(F.col("dst").alias("node")).distinct().join(out.select("node"), "node", "left_anti").withColumn("hops", F.lit(h)), "front")
+        if not front.take(1):
+            break
+        out = out.unionByName(front)
+    return out
+
+
+def hub_pages(pages: DataFrame, edges: DataFrame, limit: int = 12) -> DataFrame:
+    """The pages of highest degree."""
+    return degrees(pages, edges).orderBy(F.desc("degree"), "page").limit(limit)
+
+
+def orphans(pages: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame:
+    """page: those without similar pages, references of either direction, and entities."""
+    some = edges.filter("rel in ('SIMILAR_TO', 'REFERENCES')").select(F.explode(F.array("src", "dst")).alias("page"))
+    return pages.select("page").join(some, "page", "left_anti").join(mentions, "page", "left_anti").orderBy("page")
+
+
+def entity_types(entities: DataFrame) -> DataFrame:
+    """type, n of entities(key, name, type), most first."""
+    return entities.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
+
+
+def merged(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Two explored parts of a graph as one: the rows of both, once."""
+    return one.unionByName(two).distinct()
+
+
+def descendants(edges: DataFrame, start, most: int = 100) -> DataFrame:
+    """node: what hangs from a page in the tree, at any depth up to ``most``."""
+    child = written(edges.filter("rel = 'CHILD_OF'").select(F.col("dst").alias("up"), F.col("src").alias("down")), "tree")
+    kind = dict(child.dtypes)["up"]
+    front = edges.sparkSession.createDataFrame([(start,)], f"node {kind}")
+    out = front.limit(0)
+    for _ in range(most):
+        front = written(front.join(child, front.node == child.up).select(F.col("down").alias("node")).distinct().join(out, "node", "left_anti"), "front")
+        if not front.take(1):
+            break
         out = out.unionByName(front)
     return out
+
+
+def collapsed(edges: DataFrame, start) -> DataFrame:
+    """edges without what hangs from a page."""
+    gone = descendants(edges, start)
+    return edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*edges.columns)

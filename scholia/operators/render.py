@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import markdown_table
+from ..functions.text import markdown_table, strip
 
 #: What rendered pages say.
 HOME, TRAIL, NAV = "[🏠 Home](../index.md)", " › ", " · "
@@ -50,7 +50,7 @@ def page_markdown(pages: DataFrame, subs: DataFrame) -> DataFrame:
     above = F.when(F.size("trail") > 0, F.concat(F.lit("↑ "), link(F.try_element_at("trail", F.lit(-1))["title"], F.try_element_at("trail", F.lit(-1))["slug"])))
     after = F.when(F.col("_after").isNotNull(), F.concat(link(F.col("_after.title"), F.col("_after.slug")), F.lit(" →")))
     nav = F.array_join(F.array_compact(F.array(before, above, after)), NAV)
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = strip(F.coalesce("text", F.lit("")))
     parts = [
         F.array(F.concat(F.lit("# "), "title"), F.lit(""), trail, F.lit(""), F.concat(F.lit("*PDF pages "), F.col("page_start").cast("string"), F.lit("–"), F.col("page_end").cast("string"), F.lit("*")), F.lit("")),
         _some(F.col("_children").isNotNull(), "**Subpages**", "", F.transform("_children", lambda c: F.concat(F.lit("- "), link(c["title"], c["slug"]))), ""),
@@ -117,7 +117,7 @@ def document_markdown(meta: DataFrame, outline: DataFrame, pages: DataFrame) ->
     head = [F.array(F.concat(F.lit("# "), title, F.lit("\n")), F.lit("## Document metadata\n")), F.array_compact(F.array(*bullets)) if bullets else none, F.array(F.lit(""))]
     head.append(_some(F.col("_toc").isNotNull(), "## Table of contents\n", F.transform("_toc", lambda x: x["line"]), ""))
     first = meta.join(toc, "source", "left").select("source", F.lit(0).alias("ord"), F.array_join(F.concat(*head), "\n").alias("markdown"))
-    number, text = F.col("number").cast("string"), F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    number, text = F.col("number").cast("string"), strip(F.coalesce("text", F.lit("")))
     body = [F.array(F.concat(F.lit("\n---\n\n## Page "), number, F.lit("\n"))), _some(text != "", F.array(text), "")]
     if "tables" in pages.columns:
         table = lambda t, k: F.array(F.concat(F.lit("\n**Table "), number, F.lit("."), (k + 1).cast("string"), F.lit("**\n")), markdown_table(t["rows"]), F.lit(""))

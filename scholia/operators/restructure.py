@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import slug, strip
+
 
 def cuts(outline: DataFrame, pages: DataFrame, split_level: int = 2) -> DataFrame:
     """source, i, page, next_page, title, level, ord: where pages begin. Entries of one page in a row are one cut; a Front Matter page goes first where needed."""
@@ -26,15 +28,17 @@ def cuts(outline: DataFrame, pages: DataFrame, split_level: int = 2) -> DataFram
 
 
 def assemble(cut: DataFrame, pages: DataFrame) -> DataFrame:
-    """source, i, title, level, ord, page_start, page_end, next_page, n_pages, text: texts of [cut, next cut), blank ones left out.
+    """source, i, title, level, ord, page_start, page_end, next_page, n_pages, text: texts of [cut, next cut), blank ones left out; arrays tables and images too, in page order, where pages has them.
 
     The range join is an equi-join on (source, number), as a cut names the few pages it spans.
     """
+    extra = [c for c in ("tables", "images") if c in pages.columns]
     spans = cut.withColumn("number", F.explode_outer(F.when(F.col("next_page") > F.col("page"), F.sequence("page", F.col("next_page") - 1))))
-    both = spans.join(pages.select("source", "number", F.trim("text").alias("text")), ["source", "number"], "left")
+    both = spans.join(pages.select("source", "number", strip(F.col("text")).alias("text"), *extra), ["source", "number"], "left")
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("number", "text")))), lambda x: x["text"])
-    out = both.groupBy("source", "i", "title", "level", "ord", "page", "next_page").agg(F.count("text").alias("n_pages"), F.array_join(texts, "\n\n").alias("text"))
-    return out.select("source", "i", "title", "level", "ord", F.col("page").alias("page_start"), F.greatest(F.col("next_page") - 1, "page").alias("page_end"), "next_page", "n_pages", "text")
+    each = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("number", F.col(c).alias("x")))), lambda x: F.coalesce(x["x"], F.array().cast(dict(pages.dtypes)[c])))).alias(c) for c in extra]
+    out = both.groupBy("source", "i", "title", "level", "ord", "page", "next_page").agg(F.count(F.when(F.col("text") != "", 1)).alias("n_pages"), F.array_join(texts, "\n\n").alias("text"), *each)
+    return out.select("source", "i", "title", "level", "ord", F.col("page").alias("page_start"), F.greatest(F.col("next_page") - 1, "page").alias("page_end"), "next_page", "n_pages", "text", *extra)
 
 
 def parents(cut: DataFrame, deepest: int = 6) -> DataFrame:
@@ -53,9 +57,7 @@ def subsections(cut: DataFrame, outline: DataFrame) -> DataFrame:
 
 
 def slugged(pages: DataFrame) -> DataFrame:
-    from ..functions.text import slug_ascii
-
-    return pages.withColumn("slug", F.concat(F.format_string("%03d", F.col("i")), F.lit("-"), slug_ascii(F.col("title"))))
+    return pages.withColumn("slug", F.concat(F.format_string("%03d", F.col("i")), F.lit("-"), slug(F.col("title"))))
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
@@ -70,20 +72,19 @@ def merge_offsets(sizes: DataFrame) -> DataFrame:
 
 
 def merge(pages: DataFrame, outline: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages and outline of all sources as one document; a single source is left as it is."""
+    """Pages and outline of all sources as one document, ``number`` and ``page`` running on; each source is a level-1 entry above its own. A single source is left as it is."""
     offsets = merge_offsets(pages.groupBy("source").agg(F.count("*").alias("n_pages")))
-    many = offsets.count() > 1
-    merged = pages.join(F.broadcast(offsets) if offsets.count() < 100_000 else offsets, "source").withColumn("number", (F.col("number") + F.col("offset")).cast("int"))
-    if not many:
-        return merged.drop("offset", "n_pages"), outline
+    if len(offsets.take(2)) < 2:
+        return pages, outline
+    moved_pages = pages.join(offsets.select("source", "offset"), "source").withColumn("number", (F.col("number") + F.col("offset")).cast("int")).select(*pages.columns)
     moved = outline.join(offsets, "source").withColumn("level", F.col("level") + 1).withColumn("page", F.when(F.col("page") > 0, F.col("page") + F.col("offset")).otherwise(-1).cast("int"))
     roots = offsets.select("source", F.lit(-1).alias("ord"), F.lit(1).alias("level"), F.col("source").alias("title"), (F.col("offset") + 1).cast("int").alias("page"))
-    return merged.drop("offset", "n_pages"), moved.select("source", "ord", "level", "title", "page").unionByName(roots)
+    return moved_pages, moved.select("source", "ord", "level", "title", "page").unionByName(roots)
 
 
 def synthesize_outline(pages: DataFrame, header_lines: int = 4, least: int = 3) -> DataFrame:
     """source, ord, level, title, page from numbered running headers, by source; no rows where fewer than ``least`` sections show."""
-    lines = pages.select("source", "number", F.posexplode(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")).alias("line", "raw")).filter(F.col("line") < header_lines)
+    lines = pages.select("source", "number", F.posexplode(F.filter(F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip), lambda x: x != "")).alias("line", "raw")).filter(F.col("line") < header_lines)
     pattern = r"(?U)^(\d+(?:\.\d+)*)\s+(\p{L}.*)$"
     found = lines.select("source", "number", "line", F.regexp_extract("raw", pattern, 1).alias("no"), F.regexp_replace(F.regexp_extract("raw", pattern, 2), r"\s+\d{1,4}$", "").alias("title"))
     found = found.filter((F.col("no") != "") & (F.length("title") >= 3) & ~F.col("title").rlike(r"[.,:;]$"))

@@ -1,48 +1,109 @@
-"""Retrieval for many questions at once: seeds by cosine, expansion over the graph, equal budgets."""
+"""Retrieval for many questions at once: seeds by cosine, expansion over the graph, equal budgets, answers."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_think
 from .graph import neighborhood
-from .vector import dot, unit
+from .vector import dot, top_k, unit
 
+#: Relations that lead from a seed to pages worth adding.
 EXPANDS = ("references", "referenced_by", "similar", "shared_entity")
+#: What is answered where nothing was found.
+NOTHING = "Nothing in the index matches this question."
+RULES = "Answer from the numbered excerpts alone, name each excerpt that you use by its number in square brackets, and say so if they do not hold the answer."
 
 
-def scored(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """qid, id, page, score: questions(qid, emb) against all of chunks(id, page, emb). Questions are a stated set, sent to every task if Spark finds them small."""
-    q = questions.select("qid", unit(F.col("emb")).alias("q"))
-    return chunks.select("id", "page", unit(F.col("emb")).alias("c")).crossJoin(q).select("qid", "id", "page", F.round(dot(F.col("c"), F.col("q")), 12).alias("score"))
+def seeds(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """qid, id, page, score, marker: the k best chunks of each question."""
+    return top_k(questions, chunks, k)
 
 
-def seeds(scores: DataFrame, k: int = 5) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scores.withColumn("marker", F.row_number().over(w)).filter(F.col("marker") <= k)
+def related_pages(found: DataFrame, near: DataFrame) -> DataFrame:
+    """qid, page: pages that lead from the found pages along EXPANDS, without the found ones. near(src, node, rel): every page's neighbourhood."""
+    pages = found.select("qid", "page").distinct()
+    leads = near.filter(F.col("rel").isin(*EXPANDS)).select(F.col("src").alias("page"), F.col("node").alias("to"))
+    return pages.join(leads, "page").select("qid", F.col("to").alias("page")).distinct().join(pages, ["qid", "page"], "left_anti")
 
 
-def expand(scores: DataFrame, found: DataFrame, edges: DataFrame, mentions: DataFrame, k: int = 3) -> DataFrame:
-    """qid, id, page, score, marker of the best chunk of the k best pages related to the seeds' pages."""
-    near = neighborhood(edges, mentions).filter(F.col("rel").isin(*EXPANDS)).select(F.col("src").alias("page"), F.col("node").alias("to"))
-    pages = found.select("qid", "page").distinct()
-    candidates = pages.join(near, "page").select("qid", F.col("to").alias("page")).distinct().join(pages, ["qid", "page"], "left_anti")
-    best = scores.join(candidates, ["qid", "page"]).groupBy("qid", "page").agg(F.max(F.struct("score", (-F.col("id")).alias("o"))).alias("b")).select("qid", "page", F.col("b.score").alias("score"), (-F.col("b.o")).alias("id"))
-    last = found.groupBy("qid").agg(F.max("marker").alias("last"))
+def best_of(questions: DataFrame, candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """qid, page, id, score: the best chunk of each candidate page. Only chunks of candidates are scored."""
+    rows = candidates.join(chunks.select("page", "id", unit(F.col("emb")).alias("c")), "page").join(questions.select("qid", unit(F.col("emb")).alias("q")), "qid")
+    scored = rows.select("qid", "page", "id", F.round(dot(F.col("c"), F.col("q")), 12).alias("score"))
+    best = scored.groupBy("qid", "page").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id").alias("o"))).alias("b"))
+    return best.select("qid", "page", F.col("b.o").alias("id"), (-F.col("b.s")).alias("score"))
+
+
+def expand(questions: DataFrame, found: DataFrame, chunks: DataFrame, near: DataFrame, k: int = 3) -> DataFrame:
+    """qid, id, page, score, marker of the best chunk of the k best pages related to the found pages; markers run on."""
+    best = best_of(questions, related_pages(found, near), chunks)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    last = found.groupBy("qid").agg(F.max("marker").alias("last"))
     return best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).join(last, "qid").select("qid", "id", "page", "score", (F.col("last") + F.col("r")).alias("marker"))
 
 
 def graph_rag(questions: DataFrame, chunks: DataFrame, edges: DataFrame, mentions: DataFrame, top_k: int = 5, expand_k: int = 3) -> DataFrame:
     """qid, id, page, score, marker, kind: seeds, then related pages' chunks."""
-    s = scored(questions, chunks)
-    found = seeds(s, top_k)
-    more = expand(s, found, edges, mentions, expand_k)
-    return found.select("qid", "id", "page", "score", "marker", F.lit("seed").alias("kind")).unionByName(more.withColumn("kind", F.lit("related")))
+    found = seeds(questions, chunks, top_k)
+    out = found.select("qid", "id", "page", "score", "marker", F.lit("seed").alias("kind"))
+    if expand_k <= 0:
+        return out
+    return out.unionByName(expand(questions, found, chunks, neighborhood(edges, mentions), expand_k).withColumn("kind", F.lit("related")))
 
 
-def semantic_pages(scores: DataFrame, n: int = 8) -> DataFrame:
+def semantic_pages(questions: DataFrame, chunks: DataFrame, n: int = 8) -> DataFrame:
     """qid, page, rank: distinct pages of the best max(6n, 30) chunks, at most n."""
-    top = seeds(scores, max(6 * n, 30)).groupBy("qid", "page").agg(F.min("marker").alias("m"))
+    top = seeds(questions, chunks, max(6 * n, 30)).groupBy("qid", "page").agg(F.min("marker").alias("m"))
     w = Window.partitionBy("qid").orderBy("m")
     return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("qid", "page", "rank")
+
+
+def graph_pages(questions: DataFrame, chunks: DataFrame, near: DataFrame, top_k: int = 5, expand_k: int = 3) -> DataFrame:
+    """qid, page, rank: the top_k semantic pages, then the expand_k best pages related to them."""
+    first = semantic_pages(questions, chunks, top_k)
+    more = expand(questions, first.withColumnRenamed("rank", "marker"), chunks, near, expand_k)
+    return first.unionByName(more.select("qid", "page", F.col("marker").alias("rank")))
+
+
+def retrievers(chunks: DataFrame, near: DataFrame | None, top_k: int = 5, expand_k: int = 3) -> tuple[Callable, Callable | None]:
+    """Two functions of questions(qid, emb) to pages(qid, page, rank), with the same budget: by meaning alone, and by meaning and graph (None without a graph or room for it)."""
+    plain = lambda q: semantic_pages(q, chunks, top_k + expand_k)
+    if near is None or expand_k <= 0:
+        return plain, None
+    return plain, lambda q: graph_pages(q, chunks, near, top_k, expand_k)
+
+
+def clamped(top_k: int | None, expand_k: int | None, longest: int = 20) -> tuple[int, int]:
+    """Budgets as a service takes them: 1 to ``longest`` seeds, 0 to 10 related pages."""
+    return min(longest, max(1, int(5 if top_k is None else top_k))), min(10, max(0, int(3 if expand_k is None else expand_k)))
+
+
+def prompts(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """qid, question, prompt (null where nothing was retrieved) of questions(qid, question) and retrieved(qid, marker, kind, title, page_start, page_end, text)."""
+    tag = F.when(F.col("kind") == "related", ", related").otherwise("")
+    one = F.concat(F.lit("["), F.col("marker").cast("string"), F.lit("] "), "title", F.lit(", pages "), F.col("page_start").cast("string"), F.lit("–"), F.col("page_end").cast("string"), tag, F.lit("\n"), "text")
+    listed = retrieved.select("qid", F.struct("marker", one.alias("x")).alias("s")).groupBy("qid").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    excerpts = F.array_join(F.transform("s", lambda s: s["x"]), "\n\n")
+    return questions.join(listed, "qid", "left").select("qid", "question", F.when(F.size("s") > 0, F.concat(excerpts, F.lit("\n\nQuestion: "), "question")).alias("prompt"))
+
+
+def ask(prompted: DataFrame, chat, system: str = RULES) -> DataFrame:
+    """qid, question, prompt, reply: chat's reply to each prompt, none where there is no prompt. Write the result before using it twice, or models are asked twice."""
+
+    def reply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            said = [None if p is None or pd.isna(p) else chat.chat([{"role": "system", "content": system}, {"role": "user", "content": p}]) for p in f["prompt"]]
+            yield f.assign(reply=said)
+
+    kinds = ", ".join(f"{c} {t}" for c, t in prompted.dtypes)
+    return prompted.mapInPandas(reply, f"{kinds}, reply string")
+
+
+def answers(questions: DataFrame, retrieved: DataFrame, chat) -> DataFrame:
+    """qid, question, answer: without the model's thoughts; a fixed text, and no call, where nothing was retrieved."""
+    return ask(prompts(questions, retrieved), chat).select("qid", "question", F.coalesce(strip_think(F.col("reply")), F.lit(NOTHING)).alias("answer"))

@@ -1,4 +1,4 @@
-"""Vectors: unit length, cosine top-k, page centroids, best chunk by page, similar pages."""
+"""Vectors: unit length, cosine top-k, page centroids, best chunk by page, similar pages, an approximate index."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -13,15 +14,19 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    v = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / F.when(norm > 0, norm).otherwise(1.0))
+    """v at length 1, as doubles; a zero vector stays. The norm is taken once, as a lambda's variable."""
+    wide = F.transform(v, lambda x: x.cast("double"))
+    both = F.transform(F.array(wide), lambda w: F.struct(w.alias("w"), F.sqrt(dot(w, w)).alias("n")))
+    return F.element_at(F.transform(both, lambda b: F.transform(b["w"], lambda x: x / F.when(b["n"] > 0, b["n"]).otherwise(1.0))), 1)
+
+
+def literal(query: list[float]) -> Column:
+    return unit(F.array(*[F.lit(float(x)) for x in query]))
 
 
 def search(chunks: DataFrame, query: list[float], k: int = 5) -> DataFrame:
-    """The k rows of chunks(id, emb) of highest cosine with one query vector."""
-    q = unit(F.array(*[F.lit(float(x)) for x in query]))
-    return chunks.withColumn("score", dot(unit(F.col("emb")), q)).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
+    """The k rows of chunks(id, emb) of highest cosine with one query vector, best first."""
+    return chunks.withColumn("score", dot(unit(F.col("emb")), literal(query))).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
 
 
 def centroids(chunks: DataFrame) -> DataFrame:
@@ -30,52 +35,109 @@ def centroids(chunks: DataFrame) -> DataFrame:
     return flat.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("emb")).select("page", unit(F.col("emb")).alias("emb"))
 
 
+def _first(score: str, other: str, *by: str):
+    """Of each group of ``by`` the row of highest score, of smallest ``other`` among equal ones (of any type that has an order)."""
+    return F.min(F.struct((-F.col(score)).alias("s"), F.col(other).alias("o"))).alias("b")
+
+
 def best_chunk_per_page(chunks: DataFrame, query: list[float], pages: DataFrame | None = None) -> DataFrame:
-    """page, id, score of each page's best chunk; of pages, if given."""
-    q = unit(F.array(*[F.lit(float(x)) for x in query]))
+    """page, id, score of each page's best chunk, best first; of pages(page), if given."""
     rows = chunks if pages is None else chunks.join(pages, "page", "left_semi")
-    best = F.max(F.struct(F.round(dot(unit(F.col("emb")), q), 12).alias("score"), (-F.col("id")).alias("o"))).alias("b")
-    return rows.groupBy("page").agg(best).select("page", (-F.col("b.o")).alias("id"), F.col("b.score").alias("score"))
+    scored = rows.select("page", "id", F.round(dot(unit(F.col("emb")), literal(query)), 12).alias("score"))
+    best = scored.groupBy("page").agg(_first("score", "id")).select("page", F.col("b.o").alias("id"), (-F.col("b.s")).alias("score"))
+    return best.orderBy(F.desc("score"), "id")
+
+
+def _matrix(column) -> np.ndarray:
+    m = np.stack(column.to_numpy(zero_copy_only=False)).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k highest of each row, and all that equal the last of them."""
+    if sims.shape[1] <= k:
+        return np.nonzero(sims > -2)
+    cut = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+    return np.nonzero((sims >= cut[:, None]) & (sims > -2))
 
 
 def similar(vectors: DataFrame, k: int = 6, block: int = 4096, structural: DataFrame | None = None) -> DataFrame:
-    """a, b, score: each row's k most similar others of vectors(id, emb), score above 0; pairs in structural(a, b) don't count.
+    """a, b, score, rank: each row's k most similar others of vectors(id, emb), score above 0; pairs in structural(a, b) don't count.
 
-    All against all, as the definition has it, in blocks: rows fall into groups of about ``block`` by hash, and a task holds two groups. Excluded pairs are
-    few for a row, so k and their number are kept by each task before the final k.
+    All against all, as the definition has it, in blocks: rows fall into groups of about ``block`` by hash, a task holds two groups and serves both
+    directions, so a row is sent once for each group. Excluded pairs are few for a row, so k and their number are kept by each task before the final k.
     """
     rows = vectors.select("id", F.transform("emb", lambda x: x.cast("double")).alias("emb"))
+    kind = rows.schema["id"].dataType
     n = max(1, -(-rows.count() // block))
-    g = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = rows.select("id", "emb", F.lit(0).alias("side"), g.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y"))
-    right = rows.select("id", "emb", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("x"), g.alias("y"))
-    extra = 0
-    if structural is not None:
-        extra = structural.groupBy("a").count().agg(F.max("count")).first()[0] or 0
-    keep = k + int(extra)
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    tiles = rows.select("id", "emb", "g", F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"))
+    extra = (structural.groupBy("a").count().agg(F.max("count")).first()[0] or 0) if structural is not None else 0
+    keep, of_id = k + int(extra), to_arrow_type(kind)
 
     def tile(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        ids = t.column("id").to_numpy()
-        m = np.stack(t.column("emb").to_numpy(zero_copy_only=False))
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        a, b = ids[side == 0], ids[side == 1]
-        if not len(a) or not len(b):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        out = []
-        order = np.argsort(b, kind="stable")
-        mb, b = m[side == 1][order], b[order]
-        for s in range(0, len(a), 512):
-            sims = np.round(m[side == 0][s : s + 512] @ mb.T, 12)
-            sims[a[s : s + 512, None] == b[None]] = -2
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-            out += [(np.repeat(a[s : s + 512], top.shape[1]), b[top].ravel(), np.take_along_axis(sims, top, 1).ravel())]
-        x, y, z = (np.concatenate([o[i] for o in out]) for i in range(3))
-        ok = z > 0
-        return pa.table({"a": pa.array(x[ok], pa.int64()), "b": pa.array(y[ok], pa.int64()), "score": pa.array(z[ok])})
-
-    found = left.unionByName(right).groupBy("x", "y").applyInArrow(tile, "a long, b long, score double")
+        ids, g, m = t.column("id").to_numpy(zero_copy_only=False), t.column("g").to_numpy(), _matrix(t.column("emb"))
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        left, right = np.flatnonzero(g == x), np.flatnonzero(g == y)
+        a, b, score = [], [], []
+        for one, two in ((left, right), (right, left)) if x != y else ((left, left),):
+            for s in range(0, len(one), 512):
+                some = one[s : s + 512]
+                sims = np.round(m[some] @ m[two].T, 12)
+                sims[ids[some][:, None] == ids[two][None]] = -2
+                at, col = _best(sims, keep)
+                ok = sims[at, col] > 0
+                a.append(ids[some][at[ok]]), b.append(ids[two][col[ok]]), score.append(sims[at[ok], col[ok]])
+        return pa.table({"a": pa.array(np.concatenate(a) if a else [], of_id), "b": pa.array(np.concatenate(b) if b else [], of_id), "score": pa.array(np.concatenate(score) if score else [], pa.float64())})
+
+    found = tiles.groupBy("x", "y").applyInArrow(tile, f"a {kind.simpleString()}, b {kind.simpleString()}, score double")
     if structural is not None:
         found = found.join(structural.select("a", "b"), ["a", "b"], "left_anti")
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, chunk_block: int = 16384, question_block: int = 2048) -> DataFrame:
+    """qid, id, page, score, marker: the k chunks(id, page, emb) of highest cosine for each of questions(qid, emb), a stated set, against all chunks in blocks."""
+    c, q = (df.select(*[F.col(n).alias(n) for n in names]) for df, names in ((chunks, ("id", "page", "emb")), (questions, ("qid", "emb"))))  # columns of their own, where both come from one table
+    nc, nq = max(1, -(-c.count() // chunk_block)), max(1, -(-q.count() // question_block))
+    part = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = c.withColumn("x", part("id", nc)).withColumn("y", every(nq))
+    q = q.withColumn("y", part("qid", nq)).withColumn("x", every(nc))
+    kinds = {"qid": questions.schema["qid"].dataType, "id": chunks.schema["id"].dataType, "page": chunks.schema["page"].dataType}
+
+    def tile(ask: pa.Table, have: pa.Table) -> pa.Table:
+        out = {n: [] for n in (*kinds, "score")}
+        if ask.num_rows and have.num_rows:
+            mq, mc = _matrix(ask.column("emb")), _matrix(have.column("emb"))
+            names = {n: (ask if n == "qid" else have).column(n).to_numpy(zero_copy_only=False) for n in kinds}
+            for s in range(0, len(mq), 256):
+                sims = np.round(mq[s : s + 256] @ mc.T, 12)
+                at, col = _best(sims, k)
+                out["qid"].append(names["qid"][s + at]), out["id"].append(names["id"][col]), out["page"].append(names["page"][col]), out["score"].append(sims[at, col])
+        return pa.table({n: pa.array(np.concatenate(v) if v else [], to_arrow_type(kinds[n]) if n in kinds else pa.float64()) for n, v in out.items()})
+
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
+    found = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInArrow(tile, schema)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return found.withColumn("marker", F.row_number().over(w)).filter(F.col("marker") <= k)
+
+
+def signatures(emb: Column, dim: int, tables: int, bits: int, seed: int = 17) -> Column:
+    """Array of a bucket number for each table: on which side of ``bits`` random planes the vector lies."""
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim)).round(4)
+    sides = [F.when(dot(emb, F.array(*[F.lit(float(x)) for x in p])) > 0, 1 << (i % bits)).otherwise(0) for i, p in enumerate(planes)]
+    return F.array(*[sum(sides[t * bits + 1 : (t + 1) * bits], sides[t * bits]).cast("int") for t in range(tables)])
+
+
+def approximate_top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, tables: int = 12, bits: int = 6) -> DataFrame:
+    """As ``top_k``, but only chunks that share a bucket with a question are scored: hyperplane hashing. Fewer bits or more tables find more; ``top_k`` is the exact way."""
+    first = chunks.select(F.size("emb")).first()
+    if first is None:
+        return questions.limit(0).select("qid").join(chunks.limit(0).select("id", "page"), F.lit(True)).selectExpr("qid", "id", "page", "0D as score", "1 as marker")
+    hashed = lambda df, *names: df.select(*names, unit(F.col("emb")).alias("v")).select(*names, "v", F.posexplode(signatures(F.col("v"), first[0], tables, bits)).alias("t", "h"))
+    pairs = hashed(questions, "qid").select("qid", "t", "h").join(hashed(chunks, "id", "page").select("id", "t", "h"), ["t", "h"]).select("qid", "id").distinct()
+    rows = pairs.join(questions.select("qid", unit(F.col("emb")).alias("q")), "qid").join(chunks.select("id", "page", unit(F.col("emb")).alias("c")), "id")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return rows.select("qid", "id", "page", F.round(dot(F.col("q"), F.col("c")), 12).alias("score")).withColumn("marker", F.row_number().over(w)).filter(F.col("marker") <= k)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import file_system, read_files
+from ..functions.text import strip
+
 SECTIONS = "array<struct<ord:int,level:int,title:string,text:string>>"
 
 
@@ -15,8 +20,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 
-def markdown_sections(docs: DataFrame) -> DataFrame:
-    """source, ord, level, title, text of docs(source, text): a section a heading; what precedes the first has no title; headings in fences don't count."""
+def markdown_sections(docs: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """source, ord, level, title, text of docs(source, text): a section a heading; what precedes the first has no title; headings in fences don't count. max_pages: sections of a document at most."""
     lines = docs.select("source", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("at", "line"))
     w = Window.partitionBy("source").orderBy("at")
     fence = F.col("line").rlike(r"^\s*(```|~~~)")
@@ -24,66 +29,87 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     heading = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
     lines = lines.withColumn("head", (F.col("inside") == 0) & ~fence & F.col("line").rlike(heading)).withColumn("section", F.sum(F.col("head").cast("int")).over(w))
     lines = lines.withColumn("level", F.when(F.col("head"), F.length(F.regexp_extract("line", heading, 1)))).withColumn("title", F.when(F.col("head"), F.regexp_extract("line", heading, 2)))
-    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n"))
+    text = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n"))
     out = lines.groupBy("source", "section").agg(F.max("level").alias("level"), F.max("title").alias("title"), text.alias("text")).filter("title is not null or text <> ''")
-    return out.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("section")) - 1).alias("ord"), F.coalesce("level", F.lit(1)).alias("level"), "title", "text")
+    out = out.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("section")) - 1).alias("ord"), F.coalesce("level", F.lit(1)).alias("level"), "title", "text")
+    return out if max_pages is None else out.filter(F.col("ord") < max_pages)
+
+
+#: Tags whose content is left out, and tags that begin a line.
+SKIPPED = frozenset("script style head noscript template svg nav footer aside form".split())
+BLOCKS = frozenset("p div section article header li ul ol tr table blockquote pre figure figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _tidy(text: str) -> str:
+    """Single spaces, no spaces at lines' ends, one empty line at most between lines."""
+    lines = [re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in text.splitlines()]
+    out: list[str] = []
+    for x in lines:
+        if x or (out and out[-1]):
+            out.append(x)
+    return "\n".join(out).strip()
 
 
 class _Sections(HTMLParser):
-    skip = frozenset(("script", "style", "noscript", "head", "nav", "footer", "header", "aside", "form", "svg"))
-    block = frozenset(("p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "td", "th", "pre", "blockquote", "main", "figure"))
-    heads = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+    """A section a heading; what precedes the first has no title. Only start tags of blocks, end tags of headings, and <br/> and <hr/> written so, make a new line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.depth, self.out, self.head = 0, [[1, None, []]], None
+        self.skipping, self.naming, self.titled, self.page_title = 0, False, False, ""
+        self.found: list[dict] = [{"level": 1, "title": None, "parts": []}]
+
+    def _line(self):
+        self.found[-1]["parts"].append("\n")
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.skip:
-            self.depth += 1
-        elif not self.depth:
-            if tag in self.heads:
-                self.out.append([int(tag[1]), "", []])
-                self.head = []
-            elif tag in self.block:
-                self.out[-1][2].append("\n")
+        if tag in SKIPPED:
+            self.skipping += 1
+        elif self.skipping:
+            return
+        elif tag == "title":
+            self.titled = True
+        elif tag in HEADINGS:
+            self.found.append({"level": int(tag[1]), "title": "", "parts": []})
+            self.naming = True
+        elif tag in BLOCKS:
+            self._line()
 
     def handle_startendtag(self, tag, attrs):
-        if tag == "br" and not self.depth:
-            self.out[-1][2].append("\n")
-        elif tag not in self.skip:
-            self.handle_starttag(tag, attrs)
+        if tag in ("br", "hr") and not self.skipping:
+            self._line()
 
     def handle_endtag(self, tag):
-        if tag in self.skip:
-            self.depth = max(0, self.depth - 1)
-        elif tag in self.heads and self.head is not None and not self.depth:
-            self.out[-1][1] = " ".join("".join(self.head).split())
-            self.out[-1][2].append("\n")
-            self.head = None
+        if tag in SKIPPED:
+            self.skipping = max(0, self.skipping - 1)
+        elif self.skipping:
+            return
+        elif tag == "title":
+            self.titled = False
+        elif tag in HEADINGS:
+            self.naming = False
+            self._line()
 
     def handle_data(self, data):
-        if not self.depth:
-            self.out[-1][2].append(data)
-            if self.head is not None:
-                self.head.append(data)
+        if self.skipping:
+            return
+        if self.titled:
+            self.page_title += data
+            return
+        if self.naming:
+            self.found[-1]["title"] += data
+        self.found[-1]["parts"].append(data)
 
     def sections(self):
-        k = 0
-        for level, title, parts in self.out:
-            lines = (" ".join(x.split()) for x in "".join(parts).split("\n"))
-            text = "\n".join(x for x in lines if x)
-            if title or text:
-                yield {"ord": k, "level": level, "title": title or None, "text": text}
-                k += 1
+        rows = [(x["level"], (x["title"] or "").strip() or None, _tidy("".join(x["parts"]))) for x in self.found]
+        return [{"ord": k, "level": level, "title": title, "text": text} for k, (level, title, text) in enumerate(r for r in rows if r[1] or r[2])]
 
 
 def _parse_html(html: pd.Series) -> pd.Series:
     def one(x):
         p = _Sections()
         p.feed(x or "")
-        p.close()
-        return list(p.sections())
+        return p.sections()
 
     return html.map(one)
 
@@ -93,35 +119,64 @@ def html_sections():
     return F.pandas_udf(_parse_html, SECTIONS)
 
 
-#: Folders a code scan leaves out, and suffixes it takes with the name of their language.
-EXCLUDED = ("node_modules", "__pycache__", "venv", "env", "dist", "build", "target", "vendor", "site-packages")
-LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "rb": "ruby", "sh": "bash", "sql": "sql", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json"}
-PROSE = ("md", "txt", "rst")
+#: Folders that a scan of code leaves out (and all that begin with a dot), suffixes and names that it takes, suffixes of prose, and what fences call a suffix's language.
+EXCLUDED = frozenset(".git .hg .svn node_modules __pycache__ .venv venv env dist build .mypy_cache .pytest_cache .ruff_cache .idea .vscode target .next .cache .tox site-packages coverage vendor bin obj .terraform .gradle".split())
+SUFFIXES = frozenset(
+    "py pyi js jsx mjs cjs ts tsx java go rs rb php c cc cpp cxx h hpp hh cs swift kt kts scala sh bash zsh ps1 sql r jl lua dart ex exs clj hs ml vue svelte "
+    "html htm css scss sass less md rst txt toml yaml yml json ini cfg conf xml gradle properties env tf proto graphql".split()
+)
+NAMES = frozenset("Dockerfile Makefile README LICENSE CMakeLists.txt requirements.txt pyproject.toml package.json go.mod Cargo.toml".split())
+PROSE = frozenset("md rst txt".split())
+LANGUAGES = dict(
+    x.split(":")
+    for x in (
+        "py:python pyi:python js:javascript jsx:jsx mjs:javascript ts:typescript tsx:tsx java:java go:go rs:rust rb:ruby php:php c:c cc:cpp cpp:cpp cxx:cpp h:c hpp:cpp cs:csharp swift:swift kt:kotlin "
+        "scala:scala sh:bash bash:bash ps1:powershell sql:sql lua:lua html:html htm:html css:css scss:scss vue:vue toml:toml yaml:yaml yml:yaml json:json xml:xml proto:proto graphql:graphql"
+    ).split()
+)
+
+
+def tree_names(root: str, max_bytes: int = 500_000) -> list[str]:
+    """Files of a tree that a scan of code takes, by name and size, in order: excluded folders aren't entered."""
+    fs, top = file_system(root)
+    out, folders = [], [top.rstrip("/")]
+    while folders:
+        for x in fs.get_file_info(pafs.FileSelector(folders.pop())):
+            if x.type == pafs.FileType.Directory:
+                if x.base_name not in EXCLUDED and not x.base_name.startswith("."):
+                    folders.append(x.path)
+            elif x.size <= max_bytes and (x.base_name in NAMES or re.sub(r"^.[^.]*$|^.+\.", "", x.base_name).lower() in SUFFIXES):
+                out.append(x.path[len(top.rstrip("/")) + 1 :])
+    return sorted(out)
 
 
 def code_files(spark: SparkSession, root: str, max_bytes: int = 500_000) -> DataFrame:
-    """path (below root), text, language of the text files of a tree, without excluded and hidden folders."""
-    from urllib.parse import urlsplit
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = urlsplit(root).path.rstrip("/") + "/"
-    rel = F.expr(f"substring(path, locate('{base}', path) + {len(base)})")
-    suffix = F.lower(F.regexp_extract("rel", r"\.([A-Za-z0-9]+)$", 1))
-    out = files.withColumn("rel", rel).withColumn("suffix", suffix).filter((F.col("length") <= max_bytes) & F.col("suffix").isin(*LANGUAGES, *PROSE))
-    out = out.filter(~F.exists(F.split("rel", "/"), lambda x: x.isin(*EXCLUDED) | x.startswith("."))).filter(F.expr("position(X'00', substring(content, 1, 8192)) = 0"))
-    lang = F.coalesce(*[F.when(F.col("suffix") == k, v) for k, v in LANGUAGES.items()])
-    return out.select(F.col("rel").alias("path"), F.decode("content", "utf-8").alias("text"), lang.alias("language"))
+    """path (below root), text, language (null: none known), prose of the text files of a tree that a wiki of it takes, in order of path. The driver lists names; tasks read the files."""
+    files = read_files(spark, root, tree_names(root, max_bytes)).filter(F.expr("position(X'00', substring(content, 1, 8192)) = 0"))
+    suffix = F.lower(F.regexp_extract(F.element_at(F.split("name", "/"), -1), r"^.+\.([^.]+)$", 1))
+    lang = F.coalesce(*[F.when(suffix == k, v) for k, v in LANGUAGES.items()])
+    return files.select(F.col("name").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), lang.alias("language"), suffix.isin(*PROSE).alias("prose")).orderBy("path")
+
+
+def code_sections(files: DataFrame, name: str, max_pages: int | None = None) -> DataFrame:
+    """source, ord, level, title, text of code_files: an overview that lists the files, then a page a file, code in a fence of four backticks. max_pages: with the overview."""
+    w = Window.orderBy("path")
+    numbered = files.select("path").withColumn("ord", F.row_number().over(w))  # paths alone: a listing, not the texts
+    if max_pages is not None:
+        numbered = numbered.filter(F.col("ord") <= max(0, max_pages - 1))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: F.concat(F.lit("- `"), x["path"], F.lit("`"))), "\n")
+    tree = F.when(F.count("*") > 0, listed).otherwise("*(no source files found)*")
+    text = F.concat(F.lit(f"# {name}\n\n"), F.count("*").cast("string"), F.lit(" source file(s).\n\n## Files\n\n"), tree)
+    overview = numbered.agg(text.alias("text")).select(F.lit(0).alias("ord"), F.lit(1).alias("level"), F.lit(name).alias("title"), "text")
+    fenced = F.concat(F.lit("````"), F.coalesce("language", F.lit("")), F.lit("\n"), "text", F.lit("\n````"))
+    body = F.concat(F.lit("`"), "path", F.lit("`\n\n"), F.when(F.col("prose"), F.col("text")).otherwise(fenced))
+    each = files.join(numbered, "path").select("ord", F.lit(2).alias("level"), F.col("path").alias("title"), body.alias("text"))
+    return overview.unionByName(each).withColumn("source", F.lit(name)).select("source", "ord", "level", "title", "text")
 
 
 def eval_set(lines: DataFrame) -> DataFrame:
     """question, expected of lines(value): JSON with ``pages`` or ``expected``, one or several; blank and # lines don't count."""
-    rows = lines.withColumn("value", F.trim("value")).filter("value <> '' and not startswith(value, '#')")
+    rows = lines.withColumn("value", strip(F.col("value"))).filter("value <> '' and not startswith(value, '#')")
     raw: Column = F.coalesce(F.get_json_object("value", "$.pages"), F.get_json_object("value", "$.expected"))
     many = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
     return rows.select(F.get_json_object("value", "$.question").alias("question"), F.when(raw.isNotNull(), many).otherwise(F.array().cast("array<string>")).alias("expected"))
-
-
-def entity_reply(reply: Column, types: list[str]) -> Column:
-    """Array<struct<name, type>> of a model's reply: first [ to last ]; anything else is empty; only known types."""
-    got = F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), "array<struct<name:string,type:string>>")
-    return F.coalesce(F.filter(got, lambda x: x["name"].isNotNull() & x["type"].isin(*types)), F.array().cast("array<struct<name:string,type:string>>"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_heading, windows
+from ..functions.tables import written
+from ..functions.text import first_heading
+from ..operators import vector
+from ..operators.index import chunks_of, embedded
+from ..operators.knowledge import EDGE, Graph
 
 
 def latest(edits: DataFrame, key: str = "slug", order: str = "version") -> DataFrame:
@@ -14,22 +18,67 @@ def latest(edits: DataFrame, key: str = "slug", order: str = "version") -> DataF
     return edits.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
 
 
+def titled(edits: DataFrame) -> DataFrame:
+    """slug, title, text: one edit a slug (the last by column version, if there is one; else the first by text), without a title under its first heading or its slug."""
+    one = latest(edits, "slug", "version") if "version" in edits.columns else edits.groupBy("slug").agg(F.min(F.struct("text", "title")).alias("x")).select("slug", "x.*")
+    return one.select("slug", F.coalesce("title", F.nullif(first_heading(F.col("text")), F.lit("")), "slug").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def upsert_pages(pages: DataFrame, chunks: DataFrame, edits: DataFrame, size: int = 180, overlap: int = 30) -> tuple[DataFrame, DataFrame]:
     """pages(slug, title) and chunks(id, slug, chunk_index, text) after edits(slug, text, title): chunks of an edited page are replaced."""
-    new = edits.withColumn("title", F.coalesce("title", F.nullif(first_heading(F.col("text")), F.lit("")), "slug"))
-    cut = new.select("slug", F.posexplode(windows(F.col("text"), size, overlap)).alias("chunk_index", "text")).select(F.concat_ws("#", "slug", "chunk_index").alias("id"), "slug", "chunk_index", "text")
+    new = titled(edits)
+    cut = chunks_of(new.withColumn("page_start", F.lit(0)).withColumn("page_end", F.lit(0)), size, overlap).select("id", F.col("page").alias("slug"), "chunk_index", "text")
     return pages.join(new.select("slug"), "slug", "left_anti").select("slug", "title").unionByName(new.select("slug", "title")), chunks.join(new.select("slug"), "slug", "left_anti").unionByName(cut)
 
 
-def stream_latest(edits: DataFrame, table_path: str, checkpoint: str, key: str = "slug", order: str = "version"):
-    """Keeps the last edit of each key as parquet snapshots table_path/v=N; a batch that runs again writes the same snapshot."""
+def nearest_pages(chunks: DataFrame, edited: DataFrame, k: int = 6) -> DataFrame:
+    """src, dst, score: for each of edited(page), the k nearest other pages among those of the 6k chunks nearest to its mean vector (its own may be among these); score 1 less the least distance, 0 at least."""
+    means = vector.centroids(chunks.join(edited, "page", "left_semi")).withColumnRenamed("page", "qid")
+    near = vector.top_k(means, chunks, 6 * k).filter("qid <> page").groupBy("qid", "page").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "page")
+    return near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select(F.col("qid").alias("src"), F.col("page").alias("dst"), F.greatest("score", F.lit(0.0)).alias("score"))
+
+
+def upsert(graph: Graph, edits: DataFrame, embedder, similar_k: int = 6, size: int = 180, overlap: int = 30) -> Graph:
+    """The graph after edits(slug, text, title[, version]), several pages at once.
+
+    A page that there is gets its title, a new one level 0, no pages of the source and no place in order. Its chunks and PART_OF edges are replaced, its SIMILAR_TO edges of both
+    directions made anew, in both directions; its other edges stay. Pages of one batch see each other's new chunks.
+    """
+    if not graph.writable:
+        raise RuntimeError("the graph was opened for reading only")
+    new = written(titled(edits), "edits")
+    slugs, pages = new.select("slug"), graph.pages
+    kept = pages.join(new.select("slug", F.col("title").alias("new_title")), "slug", "left").withColumn("title", F.coalesce("new_title", "title")).select(*pages.columns)
+    kinds = dict(pages.dtypes)
+    blank = {"level": 0, "page_start": 0, "page_end": 0, "seq": -1}
+    made = new.join(pages.select("slug"), "slug", "left_anti").select("slug", "title", *[F.lit(v).cast(kinds[c]).alias(c) for c, v in blank.items()])
+    cut = embedded(chunks_of(new.withColumn("page_start", F.lit(0)).withColumn("page_end", F.lit(0)), size, overlap), embedder)
+    chunks = written(graph.chunks.join(slugs.withColumnRenamed("slug", "page"), "page", "left_anti").select(*graph.chunks.columns).unionByName(cut.select(*graph.chunks.columns)), "chunks")
+    edited = slugs.withColumnRenamed("slug", "page")
+    parts = chunks.join(edited, "page", "left_semi").select(F.col("id").alias("src"), F.col("page").alias("dst"), F.lit("PART_OF").alias("rel"), F.lit(None).cast("double").alias("score"))
+    near = nearest_pages(chunks, edited, similar_k).select(F.explode(F.array(F.struct("src", "dst", "score"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))).alias("e")).select("e.*")
+    near = near.groupBy("src", "dst").agg(F.max("score").alias("score")).withColumn("rel", F.lit("SIMILAR_TO"))
+    is_old = ((F.col("rel") == "PART_OF") & F.col("to_new")) | ((F.col("rel") == "SIMILAR_TO") & (F.col("to_new") | F.col("from_new")))
+    flags = graph.edges.join(slugs.select(F.col("slug").alias("dst"), F.lit(True).alias("to_new")), "dst", "left").join(slugs.select(F.col("slug").alias("src"), F.lit(True).alias("from_new")), "src", "left")
+    edges = flags.na.fill(False, ["to_new", "from_new"]).filter(~is_old).select(*EDGE).unionByName(parts.select(*EDGE)).unionByName(near.select(*EDGE))
+    return Graph(written(kept.unionByName(made), "pages"), chunks, graph.entities, written(edges, "edges"), graph.writable)
+
+
+def stream_latest(edits: DataFrame, table_path: str, checkpoint: str, key: str = "slug", order: str = "version", buckets: int = 64):
+    """Keeps the last edit of each key as a parquet table by bucket of the key's hash. A batch reads and rewrites only the buckets that it touches; run again, it writes the same."""
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        both = batch
-        if n:
-            both = spark.read.parquet(f"{table_path}/v={n - 1}").select(*batch.columns).unionByName(batch)
-        latest(both, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{table_path}/v={n}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        new = written(latest(batch, key, order).select(*batch.columns).withColumn("bucket", bucket), "batch")
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]
+        both = new
+        if n and touched:
+            old = spark.read.schema(new.schema).parquet(table_path).filter(F.col("bucket").isin(touched))
+            both = new.unionByName(old)
+        staged = written(latest(both, key, order).select(*new.columns), "buckets")
+        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table_path)
 
     return edits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

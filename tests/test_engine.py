@@ -23,8 +23,17 @@ def test_windows_and_text(spark):
     assert one(spark, "see [1] and [12], [1]", T.citations) == [1, 12]
     assert one(spark, "<think>A</think> I choose B.", T.verdict) == "b"
     assert one(spark, "no idea", T.verdict) == "tie"
-    assert T.slugify("Über/Größe »x«") == one(spark, "Über/Größe »x«", T.slug_ascii) == "ueber-groesse-x"
-    assert T.slugify("  ") == "section"
+    for title in ("Über/Größe »x«", "  ", "Škoda Łódź ő", "ﬁne ½ ㎏ x²", "\u00a0Café — №5\t", "Ελλάδα", "𝐁old", "x" * 70, "a" * 59 + "- b", "日本 ABC", "Ǆ é\u0301"):
+        assert T.slugify(title) == one(spark, title, T.slug), title
+    assert T.slugify("Über/Größe »x«") == "ueber-groesse-x" and T.slugify("Škoda Łódź ő") == "skoda-odz-o" and T.slugify("  ") == "section"
+    assert one(spark, "<think>a</think>\n\n\u00a0Yes [1]\n", T.strip_think) == "Yes [1]"
+    assert one(spark, "\t\u2003a b\x85\n", T.strip) == "a b" and one(spark, " \u00a0", T.strip) == ""
+    assert [one(spark, x, T.source_type) for x in ("HTTP://a/b.pdf", "x/y.HTML", "a.pdf", "a.txt", "a.markdown", "src", "a.bin")] == ["web", "web", "pdf", "text", "markdown", "unknown", "unknown"]
+    assert spark.range(1).select(T.source_type(F.lit("src"), True)).first()[0] == "code"
+    stems = {"https://en.example.org/wiki/Graph_theory": "Graph_theory", "http://a.org/x/page.html?q=1": "page", "http://a.org/": "a.org", "docs/a.b.pdf": "a.b", "a.pdf": "a", "http://a.org/ü b.php": "ü-b"}
+    assert {x: one(spark, x, T.source_stem) for x in stems} == stems
+    names = [("ab", True), ("a", False), ("123", False), ("x" * 41, False), ("x1", True)]
+    assert [one(spark, x, T.entity_name_ok) for x, _ in names] == [ok for _, ok in names]
     assert one(spark, "Die Hüllkurven", T.entity_key_name) == one(spark, "hullkurve", T.entity_key_name)
 
 
@@ -65,6 +74,30 @@ def test_markdown_html(spark):
     html = "<head><title>t</title></head><nav>no</nav><p>pre</p><h1>A</h1><p>x</p><h2>B <i>c</i></h2>y<script>no</script><h1>D</h1>"
     got = spark.createDataFrame([(html,)], "html string").select(F.inline(readers.html_sections()(F.col("html")))).collect()
     assert [(r.level, r.title) for r in got] == [(1, None), (1, "A"), (2, "B c"), (1, "D")] and "no" not in " ".join(r.text for r in got)
+    assert [r.title for r in readers.markdown_sections(docs, max_pages=2).orderBy("ord").collect()] == [None, "Intro"]
+
+
+HTML = {
+    "<header><h1>In header</h1></header>x": [(1, "In header", "In header\nx")],
+    "<template>no</template>yes<svg>no</svg>": [(1, None, "yes")],
+    "a<br>b<br/>c<hr>d<hr/>e": [(1, None, "ab\nc d\ne".replace("c d", "cd"))],
+    "<p>a</p><p>b</p>": [(1, None, "a\nb")],
+    "<div><p>a</p></div>\n\n<div>\n\n<p>b</p></div>": [(1, None, "a\n\nb")],
+    "<figure>x<figcaption>cap</figcaption></figure>y": [(1, None, "x\ncapy")],
+    "<h3> T </h3><h2></h2><p>z": [(3, "T", "T"), (2, None, "z")],
+    "<aside>no<form>no</form></aside>a  b\t c": [(1, None, "a b c")],
+    "<title>doc</title><h1>A</h1>": [(1, "A", "A")],
+    "x &amp; y&nbsp;z": [(1, None, "x & y\xa0z")],
+    "": [],
+}
+
+
+def test_html_rules(spark):
+    df = spark.createDataFrame(list(enumerate(HTML)), "n int, html string")
+    got = {n: [] for n in range(len(HTML))}
+    for r in df.select("n", F.inline(readers.html_sections()(F.col("html")))).orderBy("n", "ord").collect():
+        got[r.n].append((r.level, r.title, r.text))
+    assert [got[n] for n in range(len(HTML))] == list(HTML.values())
 
 
 def test_eval_and_graph(spark):
@@ -77,7 +110,7 @@ def test_eval_and_graph(spark):
     m = spark.createDataFrame([("a", "e1"), ("b", "e1"), ("b", "e2"), ("c", "e2")], "page string, entity string")
     near = {(r.src, r.node): r.rel for r in graph.neighborhood(e, m).collect()}
     assert near["a", "b"] == "child" and near["b", "a"] == "parent" and near["a", "c"] == "similar" and near["c", "b"] == "prev"
-    assert graph.find_path(e, "a", "c") == ["a", "c"] and graph.find_path(e, "a", "a") == ["a"]
+    assert graph.find_path(e, "a", "c") == (["a", "c"], ["SIMILAR_TO"]) and graph.find_path(e, "a", "a") == (["a"], [])
     assert tuple(graph.singletons(m).first()) == (2, 0, 2)
 
 
@@ -126,7 +159,11 @@ def test_upsert_and_stream(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     upsert.stream_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v=0")).collect()) == [("a", 2, "y"), ("b", 1, "z")]
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("slug", "version", "text").collect()) == [("a", 2, "y"), ("b", 1, "z")]
+    spark.createDataFrame([("a", 3, "w"), ("c", 1, "v"), ("b", 0, "old")], rows.schema).write.mode("append").parquet(str(tmp_path / "in"))
+    upsert.stream_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("slug", "version", "text").collect()) == [("a", 3, "w"), ("b", 1, "z"), ("c", 1, "v")]
+    assert sorted((r.slug, r.version, r.revision) for r in upsert.running_versions(rows, "slug", "version").collect()) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 1)]
 
 
 def test_render(spark):
