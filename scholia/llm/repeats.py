@@ -39,6 +39,8 @@ from .common import U64, lean, lean_call, merge_spans, mix, nullable, packed, pi
 
 _ROWS = "part int, kind int, data binary"  # kind 0: for the part to work on; 1: passed on to the block "part"
 _BLOCK = "block int, data binary"
+#: Groups of runs for each block of texts: a task settles one at a time, at some 20 bytes a byte of its runs.
+RUN_PARTS = 8
 
 
 def _eights(buf: np.ndarray) -> np.ndarray:
@@ -51,12 +53,21 @@ def _eights(buf: np.ndarray) -> np.ndarray:
     return x[: len(buf)]
 
 
-def _gram_hash(x: np.ndarray, at: np.ndarray | None, q: int) -> np.ndarray:
-    """Hash of the q bytes (a multiple of 8) from each place, of the numbers by _eights."""
-    n = len(x) - q + 1
-    h = np.zeros(n if at is None else len(at), U64)
+def _eight_at(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """As _eights, from some places; past the end, from the last byte on."""
+    at = np.minimum(at, len(buf) - 1)
+    out = np.zeros((len(at), 8), np.uint8)
+    for k in range(8):
+        inside = at + k < len(buf)
+        out[inside, k] = buf[at[inside] + k]
+    return out.view(np.dtype("<u8")).ravel()
+
+
+def _gram_hash(eight, n: int, q: int) -> np.ndarray:
+    """Hash of the q bytes (a multiple of 8) from each of n places; eight(k): the 8 bytes that begin k further."""
+    h = np.zeros(n, U64)
     for k in range(0, q, 8):
-        h = (h ^ (x[k : n + k] if at is None else x[at + k])) * U64(0x9E3779B97F4A7C15 + 2 * k)
+        h = (h ^ eight(k)) * U64(0x9E3779B97F4A7C15 + 2 * k)
         h ^= h >> U64(29)
     return mix(h)
 
@@ -66,7 +77,8 @@ def _runs(buf: np.ndarray, offsets: np.ndarray, length: int, q: int):
     none = np.zeros(0, np.int64)
     if len(buf) < length:
         return none, none, none, none, np.zeros(0, U64)
-    h = _gram_hash(_eights(buf), None, q)
+    x, n = _eights(buf), len(buf) - q + 1
+    h = _gram_hash(lambda k: x[k : n + k], n, q)
     bits = int(len(h)).bit_length()
     key = (h >> U64(bits) << U64(bits)) | np.arange(len(h), dtype=U64)  # the leftmost of equal hashes
     width, step, m = length - q + 1, 1, key
@@ -223,7 +235,7 @@ def _emit(docs: pa.Table, flags: pa.Table, length: int, q: int, parts: int, bloc
                 span = merge_spans(owner[late], start[late], start[late] + count[late] + length - 1)
                 for p, w in _dealt(_block_of(span[0], parts), np.arange(len(span[0]))):
                     out.append(p), kinds.append(1), data.append(_pack(*(x[w] for x in span)))
-            for p, w in _dealt(((key >> U64(20)) % U64(2 * parts)).astype(np.int64), np.flatnonzero(~late)):
+            for p, w in _dealt(((key >> U64(20)) % U64(RUN_PARTS * parts)).astype(np.int64), np.flatnonzero(~late)):
                 out.append(p), kinds.append(0), data.append(_pack(owner[w], start[w].astype(np.int32), count[w].astype(np.uint16), (anchor[w] - at[w]).astype(np.uint16), b[ragged(at[w], count[w] + length - 1)], level=3))
     return pa.table([pa.array(out, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
@@ -276,8 +288,7 @@ def _settle(table: pa.Table, length: int, q: int, parts: int) -> pa.Table:
         start, count, rel = start.astype(np.int64), count.astype(np.int64), rel.astype(np.int64)
         size = count + length - 1
         at = np.cumsum(size) - size
-        x = _eights(buf)
-        key = _gram_hash(x, at + rel, q)
+        key = _gram_hash(lambda k: _eight_at(buf, at + rel + k), len(at), q)
 
         def shared(k, of=None):
             of = np.arange(len(k)) if of is None else of
@@ -288,7 +299,7 @@ def _settle(table: pa.Table, length: int, q: int, parts: int) -> pa.Table:
             """Hash of n bytes (8 to 64) from begin, with the anchor's."""
             h = key[w]
             for k in [*range(0, n - 8, 8), n - 8]:
-                h = mix(h ^ x[np.minimum(begin + k, len(x) - 1)])
+                h = mix(h ^ _eight_at(buf, begin + k))
             return h
 
         w = shared(key)
@@ -360,7 +371,7 @@ def _joined(docs: DataFrame, digests: bool, length: int = 100, q: int = 24, bloc
     if length < q + 16 or q % 8 or q < 8:
         raise ValueError("q must be a multiple of 8, and length at least q + 16")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, shuffle_parts(docs.sparkSession), -(-total // block_bytes))
+    parts = max(1, min(shuffle_parts(docs.sparkSession), -(-total // (1 << 20))), -(-total // block_bytes))
     dealt = docs.withColumn("block", _block_column(F.col("owner"), parts)).groupBy("block")
     rows = docs.select("owner", "text").filter(f"owner is not null and octet_length(text) >= {length}")
     anchors = rows.mapInArrow(lambda it: lean(_anchors(it, length, q, parts, block)), _ROWS)
