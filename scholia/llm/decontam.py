@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import materialize, packed, unpacked
 from .nativewords import exact_words, folded_words
 
 _BLOCKS = ((9, 5), (3, 2), (1, 1))  # windows of at least so many words: block of so many
@@ -119,6 +119,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", widt
     found = _hits(_told_apart(docs), benchmark, width, most_keys, every=False).select(F.col("id.a").alias("a"), F.col("id.b").alias("b"), "hits").dropDuplicates(["a", "b"])
     text = F.col("text")
     rows = docs.select(packed(docs, "text").alias("row"), text, F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.reverse(text)).alias("b"))
+    # as a table, what was found has a size that the planner knows: it is sent to all tasks if it is small, and only else are documents shuffled
+    found = materialize(found.select("a", "b") if remove == "documents" else found, "hits")
     if remove == "documents":
         return rows.join(found, ["a", "b"], "left_anti").select(*unpacked(docs, "row", text=text))
     rows = rows.join(found, ["a", "b"], "left")
