@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, kept, lean, materialize, pieces, quoted, quoted_name, ragged, unused, utf8, words
+from .common import U64, kept, lean, materialize, pieces, quoted, quoted_name, ragged, shuffle_parts, unused, utf8, words
 
 
 class WordBpe:
@@ -303,12 +303,13 @@ def _place(batches, table: np.ndarray, offsets: np.ndarray, rank_name: str, salt
 def pack(parts: DataFrame, size: int = 2048, rounds: int = 200, salt_rows: int = 1_000_000) -> DataFrame:
     """parts(..., length) with sequence_id and offset. parts must read the same whenever it is read (a table).
 
-    Pieces of a length are ranked in groups of about salt_rows, so no task ranks more; the driver gets a count for each length, and one for each group.
+    Pieces of a length are ranked in groups of at most about salt_rows, so no task ranks more; the driver gets a count for each length, and one for each group.
     """
     hist = np.zeros(size + 1, np.int64)
     for x, n in parts.groupBy("length").count().collect():  # at most size rows
         hist[x] = n
-    salts = np.maximum(1, -(-hist // salt_rows))
+    group = min(salt_rows, max(256, int(hist.sum()) // (4 * shuffle_parts(parts.sparkSession))))  # so that a length that many pieces have keeps no task longer than others
+    salts = np.maximum(1, -(-hist // group))
     names, salt, rank = parts.columns, unused(parts, "salt"), unused(parts, "rank")
     many = F.element_at(F.array(*[F.lit(int(x)) for x in salts]), (F.col("length") + 1).cast("int")) if salts.max() > 1 else F.lit(1)
     salted = parts.withColumn(salt, F.pmod(F.xxhash64(*map(quoted, names)), many).cast("int"))
