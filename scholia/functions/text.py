@@ -61,7 +61,13 @@ def _decomposed() -> tuple[str, str, str, str]:
             one[c] = to
         elif to:
             many[c] = to
-    return "".join(one), "".join(one.values()), json.dumps(many), "[" + "".join(many) + "]"
+    spans: list[list[int]] = []  # a few ranges that hold them all: a class of single letters would be slow
+    for n in sorted(map(ord, many)):
+        if spans and n - spans[-1][1] < 256:
+            spans[-1][1] = n
+        else:
+            spans.append([n, n])
+    return "".join(one), "".join(one.values()), json.dumps(many), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
 def slug(title: Column, longest: int = 60) -> Column:
