@@ -17,6 +17,7 @@ too. Empty table: no rows. Very long texts: any number of pieces.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -39,12 +40,11 @@ class WordBpe:
     chunks and is then left as it is (about 30 bytes a slot, so memory is bounded).
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import json
 
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
@@ -61,7 +61,7 @@ class WordBpe:
             if bytes([b]) not in ranks:
                 ranks[bytes([b])] = free
                 free += 1
-        self.own = Tokenizer.from_file(path)
+        self.path = path
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.unassigned = regex.compile(r"\p{Cn}").search
         self.piece = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
@@ -73,6 +73,13 @@ class WordBpe:
         self.n = np.zeros(1 << bits, np.uint32)
         self.pool = np.zeros(1 << 16, "<u4")
 
+    @functools.cached_property
+    def own(self):
+        """The vocabulary's own tokenizer: some 100 MB, so loaded when the first chunk needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def word(self, chunk: str) -> list[int]:
         # special tokens, letters whose lower case depends on more, and code points that libraries of other Unicode versions see differently
         if "<|" in chunk or "\u03a3" in chunk or "\u0130" in chunk or (not chunk.isascii() and self.unassigned(chunk)):
