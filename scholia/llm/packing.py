@@ -75,7 +75,7 @@ class WordBpe:
 
     @functools.cached_property
     def own(self):
-        """The vocabulary's own tokenizer: some 100 MB, so loaded when the first chunk needs it."""
+        """The vocabulary's own tokenizer: some 40 MB, so loaded when the first chunk needs it."""
         from tokenizers import Tokenizer
 
         return Tokenizer.from_file(self.path)
