@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, lmscore, neardup, packing, repeats, tokencounts, vptree, warc
+from . import decontam, filteraudit, hilbert, langid, licenses, lmscore, neardup, packing, repair, repeats, tokencounts, vptree, warc
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -54,7 +54,19 @@ def op10_token_counts(spark, sf_dir):
     return tokencounts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_vantage_point_search, op3_suffix_dedup, op4_best_fit_packing, op5_decontamination, op6_minhash_neardup, op7_license_scan, op8_warc, op9_lm_scoring, op10_token_counts)}
+def op11_filter_audit(spark, sf_dir):
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hilbert_sharding(spark, sf_dir):
+    return hilbert.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return repair.digest(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_vantage_point_search, op3_suffix_dedup, op4_best_fit_packing, op5_decontamination, op6_minhash_neardup, op7_license_scan, op8_warc, op9_lm_scoring, op10_token_counts, op11_filter_audit, op12_hilbert_sharding, op13_conversation_repair)}
 
 _OP5 = rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -109,5 +121,68 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+_OP11 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, part, len(w) AS n, len(list_distinct(w)) AS k, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS caps, length(text) AS chars, regexp_matches(text, '[#$%&*|]') AS marks, min(doc_id) OVER (PARTITION BY text) AS first FROM w),
+l AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, (n < 50)::INT + 2 * (100 * k < 65 * n)::INT + 4 * (100 * caps > 5 * chars)::INT + 8 * marks::INT + 16 * coalesce(first < d.doc_id, false)::INT AS m, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+f AS (SELECT unnest(range(5)) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT o, k, o[k] AS f, CAST(list_sum(list_transform(list_slice(o, 1, k - 1), lambda x: 1 << x)) AS INT) AS before FROM o, (SELECT unnest(range(1, 6)) AS k)),
+r AS (SELECT part, o, k, f, sum(n) FILTER (m & (coalesce(before, 0) | (1 << f)) = 0) AS kept, sum(n) FILTER (m & (1 << f) <> 0 AND m & coalesce(before, 0) = 0) AS removed, sum(n) FILTER (m & (1 << f) <> 0 AND m & coalesce(before, 0) <> 0) AS redundant,
+sum(n) FILTER (m = 1 << f) AS unique_fails, sum(good) FILTER (m & (1 << f) <> 0 AND m & coalesce(before, 0) = 0) AS good_lost, sum(toxic) FILTER (m & (1 << f) <> 0 AND m & coalesce(before, 0) = 0) AS toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x + 1, 1)), '') AS filter_order, CAST(k AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
+def _crc32(bytes_: str) -> str:
+    """SQL for the CRC-32 of a list of bytes; the table follows from the polynomial."""
+    table = [0] * 256
+    for i in range(256):
+        x = i
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table[i] = x
+    return f"xor(list_reduce({bytes_}, lambda h, b: xor(h >> 8, ({table}::BIGINT[])[(xor(h, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+def _op12_sql(shards: int = 24, bits: int = 5) -> str:
+    n, top = len(hilbert.DIMS), 1 << bits
+    level = lambda k: " + ".join(f"((((codes[{j + 1}] >> {k}) & 1)) << {j})" for j in range(n))
+    walk = f"list_reduce([{', '.join(level(k) for k in range(bits - 1, -1, -1))}]::BIGINT[], lambda a, b: list_transform([({hilbert.moves(n)}::BIGINT[])[(((a >> 40) << {n}) + b) + 1]], lambda m: ((m >> {n}) << 40) | (((a & 1099511627775) << {n}) + (m & {(1 << n) - 1})))[1], 0::BIGINT) & 1099511627775"
+    nibble = lambda at: f"instr('0123456789ABCDEF', substr(h, {at}, 1)) - 1"
+    linear = lambda c: f"coalesce((({c})::HUGEINT - min({c}) OVER ()) * {top} // (max({c}) OVER () - min({c}) OVER () + 1), 0)::BIGINT"
+    rank = lambda c: f"((dense_rank() OVER (ORDER BY {c} NULLS FIRST) - 1) * {top} // (SELECT count(*) FROM (SELECT DISTINCT {c} FROM documents)))::BIGINT"
+    return f"""
+WITH b AS (SELECT doc_id, lang, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, lang, source, size, length(bin(size * size)) AS octaves, {_crc32(f"list_transform(range(1, 2 * size - 15, 2), lambda i: 16 * ({nibble('i')}) + {nibble('i + 1')})::BIGINT[]")} AS crc FROM b),
+c AS (SELECT *, [{rank('lang')}, {rank('source')}, {linear('octaves')}, {linear('doc_id')}] AS codes FROM s),
+v AS (SELECT *, {walk} AS curve FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY curve, crc, doc_id) - 1 AS rank, count(*) OVER () AS total FROM v),
+p AS (SELECT *, rank * {shards} // total AS shard FROM r)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(rank - (shard * total + {shards - 1}) // {shards} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
+
+
+_OP13 = rf"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: ascii(c))::BIGINT[] AS key FROM conversations),
+f AS (SELECT *, {_crc32("key")} % 20 AS fault FROM k),
+g AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE fault <> 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS met, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM g),
+r AS (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair, blank OR met > 1 AS gone, left(role, 1) AS a, CAST(CASE WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 0 ELSE 3 END AS BIGINT) AS t FROM h),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND met > 1) AS duplicate, count(*) FILTER (NOT gone AND t > 0) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+list(struct_pack(gone := gone, a := a, t := t, line := role || ':' || text, text := text) ORDER BY i DESC) AS rows FROM r GROUP BY 1),
+e AS (SELECT [struct_pack(c := 0::BIGINT, s := '', l := []::VARCHAR[]), struct_pack(c := 6::BIGINT, s := 'II', l := ['user:', 'assistant:']), struct_pack(c := 3::BIGINT, s := 'I', l := ['assistant:']), struct_pack(c := 0::BIGINT, s := '', l := []::VARCHAR[])] AS e),
+x AS (SELECT c.*, list_reduce(rows, lambda v, r: list_transform([list_transform([1, 2, 3, 4], lambda q: list_min([struct_pack(c := v[q].c + 4, s := 'D' || v[q].s, l := v[q].l)]
+ || CASE WHEN r.gone THEN [] ELSE [struct_pack(c := v[([3, 3, 4, 3])[q]].c + 3 + r.t, s := 'R' || v[([3, 3, 4, 3])[q]].s, l := list_prepend((['user:', 'user:', 'assistant:', 'user:'])[q] || r.text, v[([3, 3, 4, 3])[q]].l))] END
+ || CASE WHEN r.gone OR NOT ((q = 1 AND r.a = 's') OR (q <> 3 AND r.a = 'u') OR (q = 3 AND r.a = 'a')) THEN [] ELSE [struct_pack(c := v[CASE r.a WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c + r.t, s := 'K' || v[CASE r.a WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].s, l := list_prepend(r.line, v[CASE r.a WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].l))] END))],
+ lambda b: list_transform([[least(b[3], struct_pack(c := b[4].c + 3, s := 'I' || b[4].s, l := list_prepend('assistant:', b[4].l))), least(b[4], struct_pack(c := b[3].c + 3, s := 'I' || b[3].s, l := list_prepend('user:', b[3].l)))]],
+ lambda z: [least(b[1], struct_pack(c := z[1].c + 3, s := 'I' || z[1].s, l := list_prepend('user:', z[1].l))), least(b[2], struct_pack(c := z[1].c + 3, s := 'I' || z[1].s, l := list_prepend('user:', z[1].l))), z[1], z[2]])[1])[1], e)[1] AS x FROM c, e)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(x.x.c, 0) AS cost, coalesce(x.x.s, '') AS audit, sha256(coalesce(array_to_string(x.x.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN x ON o.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
 
-SQL = {"op2_vantage_point_search": _OP2, "op8_warc": _OP8, "op5_decontamination": _OP5, "op6_minhash_neardup": _OP6, "op7_license_scan": _op7_sql()}
+SQL = {"op11_filter_audit": _OP11, "op12_hilbert_sharding": _op12_sql(), "op13_conversation_repair": _OP13, "op2_vantage_point_search": _OP2, "op8_warc": _OP8, "op5_decontamination": _OP5, "op6_minhash_neardup": _OP6, "op7_license_scan": _op7_sql()}
