@@ -301,11 +301,6 @@ def latest_edits(spark, sf_dir):
     return last.select("user_id", "value").join(e.groupBy("user_id").agg(F.count("*").alias("revisions")), "user_id")
 
 
-@query()
-def html_sections(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.inline(readers.html_sections()(F.col("html"))))
-
-
 _CENTROIDS = "f AS (SELECT page, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM u), av AS (SELECT page, p, avg(x) AS x FROM f GROUP BY 1, 2), nn AS (SELECT page, sqrt(sum(x * x)) AS n FROM av GROUP BY 1), ce AS (SELECT page, list(x / n ORDER BY p) AS v FROM av JOIN nn USING (page) GROUP BY 1)"
 
 

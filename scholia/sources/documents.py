@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import restructure
-from . import readers
+from . import html, readers
 
 MARKDOWN, HTML, PDF = (".md", ".markdown", ".txt"), (".html", ".htm"), (".pdf",)
 TABLE = "struct<page_number:int,rows:array<array<string>>,bbox:array<double>>"
@@ -89,8 +89,7 @@ def fetch(urls: DataFrame, timeout: float = 30.0, agent: str = "scholia/1") -> D
 
 def html_documents(texts: DataFrame, max_pages: int | None = None) -> Documents:
     """Documents of texts(source, text) in HTML."""
-    rows = texts.select("source", F.inline(readers.html_sections()(F.col("text"))))
-    return documents_of(rows if max_pages is None else rows.filter(F.col("ord") < max_pages), "html")
+    return documents_of(html.html_sections(texts.select("source", "text"), "text", max_pages).select("source", "ord", "level", "title", "text"), "html")
 
 
 def markdown_documents(texts: DataFrame, max_pages: int | None = None) -> Documents:

@@ -1,8 +1,8 @@
-"""Incremental page upserts: a batch function, and the same one behind a stream's foreachBatch."""
+"""Incremental page upserts: what a batch of edits changes, applied to a graph or appended to a store of versions; the last edit of each key behind a stream's foreachBatch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import written
@@ -10,6 +10,7 @@ from ..functions.text import first_heading
 from ..operators import vector
 from ..operators.index import chunks_of, embedded
 from ..operators.knowledge import EDGE, Graph
+from ..sinks.versions import Store
 
 
 def latest(edits: DataFrame, key: str = "slug", order: str = "version") -> DataFrame:
@@ -39,46 +40,90 @@ def nearest_pages(chunks: DataFrame, edited: DataFrame, k: int = 6) -> DataFrame
     return near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select(F.col("qid").alias("src"), F.col("page").alias("dst"), F.greatest("score", F.lit(0.0)).alias("score"))
 
 
-def upsert(graph: Graph, edits: DataFrame, embedder, similar_k: int = 6, size: int = 180, overlap: int = 30) -> Graph:
-    """The graph after edits(slug, text, title[, version]), several pages at once.
+def changes(graph: Graph, edits: DataFrame, embedder, similar_k: int = 6, size: int = 180, overlap: int = 30) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """What edits(slug, text, title[, version]) of several pages change: for pages, chunks and edges the new rows, and the slugs whose earlier rows (as GRAPH_KEYS says) they replace.
 
     A page that there is gets its title, a new one level 0, no pages of the source and no place in order. Its chunks and PART_OF edges are replaced, its SIMILAR_TO edges of both
     directions made anew, in both directions; its other edges stay. Pages of one batch see each other's new chunks.
     """
-    if not graph.writable:
-        raise RuntimeError("the graph was opened for reading only")
     new = written(titled(edits), "edits")
-    slugs, pages = new.select("slug"), graph.pages
-    kept = pages.join(new.select("slug", F.col("title").alias("new_title")), "slug", "left").withColumn("title", F.coalesce("new_title", "title")).select(*pages.columns)
-    kinds = dict(pages.dtypes)
+    slugs, kinds = new.select("slug"), dict(graph.pages.dtypes)
     blank = {"level": 0, "page_start": 0, "page_end": 0, "seq": -1}
-    made = new.join(pages.select("slug"), "slug", "left_anti").select("slug", "title", *[F.lit(v).cast(kinds[c]).alias(c) for c, v in blank.items()])
-    cut = embedded(chunks_of(new.withColumn("page_start", F.lit(0)).withColumn("page_end", F.lit(0)), size, overlap), embedder)
-    chunks = written(graph.chunks.join(slugs.withColumnRenamed("slug", "page"), "page", "left_anti").select(*graph.chunks.columns).unionByName(cut.select(*graph.chunks.columns)), "chunks")
+    kept = new.join(graph.pages.drop("title"), "slug", "left")
+    pages = kept.select(*[F.coalesce(c, F.lit(blank[c]).cast(kinds[c])).alias(c) if c in blank else F.col(c) for c in graph.pages.columns])
+    cut = embedded(chunks_of(new.withColumn("page_start", F.lit(0)).withColumn("page_end", F.lit(0)), size, overlap), embedder).select(*graph.chunks.columns)
+    cut = written(cut, "chunks")
     edited = slugs.withColumnRenamed("slug", "page")
-    parts = chunks.join(edited, "page", "left_semi").select(F.col("id").alias("src"), F.col("page").alias("dst"), F.lit("PART_OF").alias("rel"), F.lit(None).cast("double").alias("score"))
-    near = nearest_pages(chunks, edited, similar_k).select(F.explode(F.array(F.struct("src", "dst", "score"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))).alias("e")).select("e.*")
+    others = graph.chunks.join(edited, "page", "left_anti").select(*cut.columns)
+    parts = cut.select(F.col("id").alias("src"), F.col("page").alias("dst"), F.lit("PART_OF").alias("rel"), F.lit(None).cast("double").alias("score"))
+    near = nearest_pages(others.unionByName(cut), edited, similar_k).select(F.explode(F.array(F.struct("src", "dst", "score"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))).alias("e")).select("e.*")
     near = near.groupBy("src", "dst").agg(F.max("score").alias("score")).withColumn("rel", F.lit("SIMILAR_TO"))
-    is_old = ((F.col("rel") == "PART_OF") & F.col("to_new")) | ((F.col("rel") == "SIMILAR_TO") & (F.col("to_new") | F.col("from_new")))
-    flags = graph.edges.join(slugs.select(F.col("slug").alias("dst"), F.lit(True).alias("to_new")), "dst", "left").join(slugs.select(F.col("slug").alias("src"), F.lit(True).alias("from_new")), "src", "left")
-    edges = flags.na.fill(False, ["to_new", "from_new"]).filter(~is_old).select(*EDGE).unionByName(parts.select(*EDGE)).unionByName(near.select(*EDGE))
-    return Graph(written(kept.unionByName(made), "pages"), chunks, graph.entities, written(edges, "edges"), graph.writable)
+    return {"pages": (pages, slugs), "chunks": (cut, slugs), "edges": (written(parts.select(*EDGE).unionByName(near.select(*EDGE)), "edges"), slugs)}
+
+
+#: For each table of a graph, the columns that hold a page's slug and the rows that an edit of that page replaces.
+GRAPH_KEYS = {"pages": {"slug": "true"}, "chunks": {"page": "true"}, "edges": {"src": "rel = 'SIMILAR_TO'", "dst": "rel IN ('SIMILAR_TO', 'PART_OF')"}}
+
+
+def upsert(graph: Graph, edits: DataFrame, embedder, similar_k: int = 6, size: int = 180, overlap: int = 30) -> Graph:
+    """The graph after edits, as a view over the old tables and the new rows; ``GraphStore`` keeps it."""
+    if not graph.writable:
+        raise RuntimeError("the graph was opened for reading only")
+    out = {}
+    for name, (rows, slugs) in changes(graph, edits, embedder, similar_k, size, overlap).items():
+        old = getattr(graph, name)
+        for column, condition in GRAPH_KEYS[name].items():
+            hit = slugs.select(F.col("slug").alias("_slug"), F.lit(True).alias("_hit"))
+            old = old.join(hit, F.col(column) == F.col("_slug"), "left").filter(f"NOT coalesce(_hit AND ({condition}), false)").drop("_slug", "_hit")
+        out[name] = old.select(*rows.columns).unionByName(rows)
+    return Graph(out["pages"], out["chunks"], graph.entities, out["edges"], graph.writable)
+
+
+class GraphStore:
+    """A graph as tables that are changed by appending: an edit writes rows of its own pages, and their edges, whatever the graph's size."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = Store(spark, path)
+
+    @classmethod
+    def create(cls, graph: Graph, path: str) -> GraphStore:
+        tables = {name: (getattr(graph, name), keys) for name, keys in GRAPH_KEYS.items()}
+        edges = graph.edges.repartitionByRange("src").select(*graph.edges.columns)  # sorted by src in each file; Bloom filters serve look-ups by dst
+        Store.create(graph.spark, path, tables | {"edges": (edges, GRAPH_KEYS["edges"]), "entities": (graph.entities, {"key": "true"})})
+        return cls(graph.spark, path)
+
+    def graph(self, version: int | None = None) -> Graph:
+        """The graph of one version, of all its tables alike."""
+        version = self.store.versions()[-1] if version is None else version
+        return Graph(*(self.store.read(name, version) for name in ("pages", "chunks", "entities", "edges")), self.store.path)
+
+    def upsert(self, edits: DataFrame, embedder, similar_k: int = 6, size: int = 180, overlap: int = 30) -> int:
+        return self.store.commit(changes(self.graph(), edits, embedder, similar_k, size, overlap))
+
+    def delete(self, slugs: DataFrame) -> int:
+        """Takes out pages(slug) with their chunks and the edges that GRAPH_KEYS names; references and mentions of what is gone stay in the store, as they do after edits."""
+        now = self.graph()
+        return self.store.commit({name: (getattr(now, name).limit(0), slugs.select("slug")) for name in GRAPH_KEYS})
+
+
+def keep_latest(store: Store, table: str, batch: DataFrame, key: str = "slug", order: str = "version") -> int:
+    """Commits the last edit of each key of a batch, unless the table holds a later one. The same batch again changes nothing."""
+    columns = store.read(table).columns
+    new = latest(batch.filter(F.col(key).isNotNull()), key, order).select(*columns)
+    held = store.read(table).join(new.select(key), key, "left_semi")
+    won = written(latest(held.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))), key, order).filter("_new").select(*columns), "batch")
+    return store.commit({table: (won, won.select(key))})
 
 
-def stream_latest(edits: DataFrame, table_path: str, checkpoint: str, key: str = "slug", order: str = "version", buckets: int = 64):
-    """Keeps the last edit of each key as a parquet table by bucket of the key's hash. A batch reads and rewrites only the buckets that it touches; run again, it writes the same."""
+def stream_latest(edits: DataFrame, path: str, checkpoint: str, key: str = "slug", order: str = "version", compact_every: int = 32):
+    """Keeps the last edit of each key in table ``latest`` of a store. A batch appends its own keys; old rows stay where they are until ``compact``, so that a driver lost at any point loses nothing."""
 
     def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        new = written(latest(batch, key, order).select(*batch.columns).withColumn("bucket", bucket), "batch")
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]
-        both = new
-        if n and touched:
-            old = spark.read.schema(new.schema).parquet(table_path).filter(F.col("bucket").isin(touched))
-            both = new.unionByName(old)
-        staged = written(latest(both, key, order).select(*new.columns), "buckets")
-        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table_path)
+        store = Store(batch.sparkSession, path)
+        if not store.versions():
+            Store.create(batch.sparkSession, path, {"latest": (batch.limit(0), {key: "true"})})
+        if keep_latest(store, "latest", batch, key, order) % compact_every == 0:
+            store.compact()
 
     return edits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
