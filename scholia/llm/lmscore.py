@@ -6,11 +6,12 @@ class, and the word within its class, each by softmax over h. A document's score
 The vocabulary is the ``classes * classes - classes`` most frequent words of the whole corpus; each other word falls by hash into one of ``classes`` rest words.
 The counts of all words are kept as a table that grows with the corpus: a word of a rest word has the rest word's probability times its own share of the rest
 word's occurrences, and a word that the corpus doesn't hold has the share of one occurrence more.
-Training is by local descent and averaging: in each of ``rounds`` rounds every task starts from the present model and trains on its documents of that round
+Training is by local descent and averaging: in each of ``rounds`` rounds every learner starts from the present model and trains on its documents of that round
 (by hash of the text), on every position; the models, weighted by positions, are averaged in a tree. A document is in one round, so the fit is one epoch of every position.
+A learner trains on ``learner_words`` words or more, however the table is split: partitions are read together until they hold so many. So what a model learns between averages doesn't shrink as partitions grow in number.
 
-How it scales. Word counts are summed in each batch before they are shuffled. A task sends one model of fixed size (some 2 MB); groups of ``fan`` models are
-averaged before the driver gets any, so it gets at most ``fan``. Scoring reads each text once, in place, with the model in the task; texts are cut into runs of
+How it scales. Word counts are summed in each batch before they are shuffled. A learner sends one model of fixed size (some 2 MB); models are averaged in groups of ``fan``, in as many
+levels as it takes, so a task gets ``fan`` of them, and so does the driver. Scoring reads each text once, in place, with the model in the task; texts are cut into runs of
 words for the matrices. Rare words' counts come by a join: a block of texts asks once for each distinct rare word, and keeps their places beside the scores.
 
 Cases. Null or empty text, or no words: 0 words, log-probability 0, mean null. An empty corpus: the model as it begins. Repeated rows: each gets its row. Null doc_id: scored too.
@@ -19,7 +20,6 @@ Other columns are ignored. Very long texts: a text's words are held at once, at
 
 from __future__ import annotations
 
-import math
 import pickle
 
 import numpy as np
@@ -251,20 +251,22 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"task": pa.array([table.column("task")[0].as_py()], pa.int32()), "weight": pa.array([float(weights.sum())]), "model": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, classes: int = 64, width: int = 16, rounds: int = 2, rate: float = 0.1, batch_words: int = 8192, fan: int = 8) -> tuple[WindowNet, Vocabulary]:
+def fit(docs: DataFrame, classes: int = 64, width: int = 16, rounds: int = 2, rate: float = 0.1, batch_words: int = 8192, fan: int = 8, learner_words: int = 2_000_000) -> tuple[WindowNet, Vocabulary]:
     """A network and its vocabulary, from all texts of docs(text)."""
     vocab, counts = vocabulary(docs, classes)
+    learners = max(1, int(counts.sum() // (rounds * learner_words)))
     net = WindowNet(classes, width)
     net.start_from(counts)
     schema = "task int, weight double, model binary"
     for r in range(rounds):
         state = pickle.dumps(net)
-        part = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
+        part = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).coalesce(learners)
         models = part.mapInArrow(lambda it, state=state: _train(it, state, vocab, rate, batch_words), schema)
-        groups = max(fan, math.isqrt(part.rdd.getNumPartitions()))
-        models = models.groupBy((F.col("task") % groups).alias("g")).applyInArrow(_average, schema)
-        if groups > fan:
-            models = models.groupBy((F.col("task") % fan).alias("g")).applyInArrow(_average, schema)
+        n = learners  # tasks are numbered below that
+        while n > fan:
+            n = -(-n // fan)
+            models = models.groupBy((F.col("task") % n).alias("g")).applyInArrow(_average, schema)
+            models = models.withColumn("task", F.col("task") % n)
         got = models.collect()  # at most fan
         if got:
             weight = sum(x["weight"] for x in got)
