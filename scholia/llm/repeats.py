@@ -14,7 +14,10 @@ a text falls into runs, one an anchor. Texts are dealt to blocks of about ``bloc
 3. In a part, runs are told apart by what follows and precedes the anchor, and what is left goes through bucket-pointer
    refinement: the first buckets are 8-grams; the suffixes of a bucket are split by the bucket numbers of later offsets,
    and the numbers that this gives are the keys of the next refinement (8, 16, 32, 64, ``length`` bytes). Suffixes alone in
-   their bucket drop out. Nothing is hashed in that step, so matches are exact.
+   their bucket drop out. Nothing is hashed in that step, so its matches are exact.
+   A hot anchor, one with more runs than a bound that follows from the corpus (``hot_least`` at least), would put all its runs, which differ at the edges of what they share, into one part. Its buckets are refined where the texts are:
+   the identifiers of q-grams are refined by those of later offsets, and the identifiers that this gives are reused in the next step (24, 48, 96, 100 bytes). A block keeps the earliest of each bucket, and buckets
+   are dealt by their identifiers; a bucket has one string a block at most. These identifiers have 128 bits; strings that share one are taken to be equal. The list of hot anchors is broadcast; it has less than 2^25 by the choice of the bound.
 4. Spans go back to the blocks of their texts.
 
 Cases. Null or empty text: no bytes, nothing removed. Texts shorter than ``length``: kept whole. Rows that are repeated
@@ -35,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, lean, lean_call, merge_spans, mix, nullable, packed, pieces, ragged, shuffle_parts, unpacked, utf8
+from .common import U64, lean, lean_call, materialize, merge_spans, mix, nullable, packed, pieces, ragged, shuffle_parts, unpacked, utf8
 
 _ROWS = "part int, kind int, data binary"  # kind 0: for the part to work on; 1: passed on to the block "part"
 _BLOCK = "block int, data binary"
@@ -79,7 +82,9 @@ def _runs(buf: np.ndarray, offsets: np.ndarray, length: int, q: int):
         return none, none, none, none, np.zeros(0, U64)
     x, n = _eights(buf), len(buf) - q + 1
     h = _gram_hash(lambda k: x[k : n + k], n, q)
-    bits = int(len(h)).bit_length()
+    bits = 32  # of the hash, as many whatever the block's size: equal strings have equal anchors
+    if len(h) >> bits:
+        raise ValueError("a text of 4 GB or more")
     key = (h >> U64(bits) << U64(bits)) | np.arange(len(h), dtype=U64)  # the leftmost of equal hashes
     width, step, m = length - q + 1, 1, key
     while step * 2 <= width:
@@ -164,8 +169,36 @@ def _numbered(b: np.ndarray, o: np.ndarray, owners: np.ndarray, length: int, q:
     return text, at, count, anchor, key, owners[text].astype(np.int64), np.arange(len(text)) - first
 
 
+_BITS = U64((1 << 40) - 1)
+
+
+def _identifiers(buf: np.ndarray, at: np.ndarray, length: int, q: int) -> np.ndarray:
+    """Bucket identifiers (two columns) of the ``length``-byte strings from each place: those of q-grams, refined by the identifiers of later offsets (q, 2q, ... further) that the last step gave."""
+    x, n = _eights(buf), len(buf) - q + 1
+    gram = _gram_hash(lambda k: x[k : n + k], n, q)
+    out = np.empty((len(at), 2), U64)
+    for c, factor in enumerate((0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)):
+        ids, width = gram, q
+        while width < length:
+            step = min(width, length - width)
+            ids = mix(ids[:-step] * U64(factor) + (ids[step:] >> U64(23) ^ ids[step:] << U64(41)) + U64(width))
+            width += step
+        out[:, c] = ids[at]
+    return out
+
+
+def _firsts(owner: np.ndarray, start: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings by identifiers: places of one of the earliest in each bucket, and of those that are later than these."""
+    order = np.lexsort((start, owner, ids[:, 1], ids[:, 0]))
+    i, o, s = ids[order], owner[order], start[order]
+    new = np.r_[True, (i[1:] != i[:-1]).any(1)] if len(i) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    group = np.repeat(first, np.diff(np.r_[first, len(i)])) if len(i) else first
+    return order[first], order[(o != o[group]) | (s != s[group])]
+
+
 def _anchors(batches, length: int, q: int, parts: int, block: int):
-    """Step 1, where texts are: 40 bits of each anchor's hash to its part; runs whose anchor is met twice here are known."""
+    """Step 1, where texts are: 40 bits of each anchor's hash to its part, and how often it is met here; runs whose anchor is met twice here are known."""
     for batch in batches:
         owners = batch.column(0).to_numpy(zero_copy_only=False)
         buf, offsets = utf8(batch.column(1))
@@ -180,22 +213,26 @@ def _anchors(batches, length: int, q: int, parts: int, block: int):
                 out.append(p), kinds.append(1), data.append(_pack(owner[w], number[w].astype(np.uint32)))
             for p, w in _dealt(((key >> U64(44)) % U64(parts)).astype(np.int64), at):
                 w = np.sort(w)
-                out.append(p), kinds.append(0), data.append(_pack(owner[w], number[w].astype(np.uint32), key[w].astype(np.uint32), (key[w] >> U64(32)).astype(np.uint8)))
+                out.append(p), kinds.append(0), data.append(_pack(owner[w], number[w].astype(np.uint32), key[w].astype(np.uint32), (key[w] >> U64(32)).astype(np.uint8), times[inverse[w]].astype(np.uint32)))
             yield _rows(out, kinds, data)
 
 
-def _met_twice(table: pa.Table, parts: int) -> pa.Table:
-    """Step 1, in a part: runs whose anchor another block has too, by the block of their owner; what is known is passed on."""
+def _met_twice(table: pa.Table, parts: int, most: int) -> pa.Table:
+    """Step 1, in a part: runs whose anchor another block has too, by the block of their owner; what is known is passed on. Block -1: anchors that are met more than ``most`` times."""
     out, data, own = [], [], []
     for p, kind, d in zip(*(table.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
         if kind:
             out.append(p), data.append(d)
         else:
-            own.append(_unpack(d, (np.int64, np.uint32, np.uint32, np.uint8)))
+            own.append(_unpack(d, (np.int64, np.uint32, np.uint32, np.uint8, np.uint32)))
     if own:
-        owner, number, low, high = (np.concatenate([x[k] for x in own]) for k in range(4))
+        owner, number, low, high, times = (np.concatenate([x[k] for x in own]) for k in range(5))
         key = low.astype(np.int64) | high.astype(np.int64) << 32
         order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        hot = key[order][first][np.add.reduceat(times[order].astype(np.int64), first) > most]
+        if len(hot):
+            out.append(-1), data.append(_pack(hot))
         same = key[order][1:] == key[order][:-1]
         at = order[np.r_[False, same] | np.r_[same, False]]
         for p, w in _dealt(_block_of(owner, parts), at):
@@ -203,8 +240,20 @@ def _met_twice(table: pa.Table, parts: int) -> pa.Table:
     return pa.table([pa.array(out, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
 
-def _emit(docs: pa.Table, flags: pa.Table, length: int, q: int, parts: int, block: int) -> pa.Table:
-    """Step 2: of one block's texts, the runs whose anchor is met twice; all but the earliest of equal ones are repeats already."""
+def _emit(docs: pa.Table, flags: pa.Table, length: int, q: int, parts: int, block: int, hot: np.ndarray, most_strings: int = 1 << 22) -> pa.Table:
+    """Step 2: of one block's texts, the runs whose anchor is met twice; all but the earliest of equal ones are repeats already. Runs of hot anchors go string by string, by refined identifiers."""
+    strings, waiting = [], 0
+
+    def deal_strings() -> None:
+        owner, start, ids = (np.concatenate([x[k] for x in strings]) for k in range(3))
+        strings.clear()
+        first, later = _firsts(owner, start, ids)
+        span = merge_spans(owner[later], start[later], start[later] + length)
+        for p, w in _dealt(_block_of(span[0], parts), np.arange(len(span[0]))):
+            out.append(p), kinds.append(1), data.append(_pack(*(x[w] for x in span)))
+        for p, w in _dealt((ids[:, 0] % U64(RUN_PARTS * parts)).astype(np.int64), first):
+            out.append(p), kinds.append(2), data.append(_pack(owner[w], start[w].astype(np.int32), ids[w, 0], ids[w, 1]))
+
     found = [_unpack(x, (np.int64, np.uint32)) for x in flags.column("data").to_pylist()]
     out, kinds, data = [], [], []
     if docs.num_rows and found:
@@ -235,8 +284,18 @@ def _emit(docs: pa.Table, flags: pa.Table, length: int, q: int, parts: int, bloc
                 span = merge_spans(owner[late], start[late], start[late] + count[late] + length - 1)
                 for p, w in _dealt(_block_of(span[0], parts), np.arange(len(span[0]))):
                     out.append(p), kinds.append(1), data.append(_pack(*(x[w] for x in span)))
-            for p, w in _dealt(((key >> U64(20)) % U64(RUN_PARTS * parts)).astype(np.int64), np.flatnonzero(~late)):
+            is_hot = np.isin((key & _BITS).astype(np.int64), hot) & ~late
+            if is_hot.any():
+                at_all = ragged(at[is_hot], count[is_hot])
+                strings.append((np.repeat(owner[is_hot], count[is_hot]), ragged(start[is_hot], count[is_hot]), _identifiers(b, at_all, length, q)))
+                waiting += len(at_all)
+                if waiting > most_strings:
+                    deal_strings()
+                    waiting = 0
+            for p, w in _dealt(((key >> U64(20)) % U64(RUN_PARTS * parts)).astype(np.int64), np.flatnonzero(~late & ~is_hot)):
                 out.append(p), kinds.append(0), data.append(_pack(owner[w], start[w].astype(np.int32), count[w].astype(np.uint16), (anchor[w] - at[w]).astype(np.uint16), b[ragged(at[w], count[w] + length - 1)], level=3))
+    if strings:
+        deal_strings()
     return pa.table([pa.array(out, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
 
@@ -276,12 +335,19 @@ def refine(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 def _settle(table: pa.Table, length: int, q: int, parts: int) -> pa.Table:
     """Step 3: the spans that the runs of one part show to be repeats, and those that are passed on, by block."""
     owners, starts, ends = [], [], []
-    blobs, out, data = [], [], []
+    blobs, strings, out, data = [], [], [], []
     for p, kind, d in zip(*(table.column(c).to_pylist() for c in ("part", "kind", "data")), strict=True):
-        if kind:
+        if kind == 1:
             out.append(p), data.append(d)
+        elif kind == 2:
+            strings.append(_unpack(d, (np.int64, np.int32, U64, U64)))
         else:
             blobs.append(_unpack(d, _KINDS))
+    if strings:
+        owner, start, low, high = (np.concatenate([x[k] for x in strings]) for k in range(4))
+        del strings
+        later = _firsts(owner, start, np.stack([low, high], 1))[1]
+        owners.append(owner[later]), starts.append(start[later].astype(np.int64)), ends.append(start[later].astype(np.int64) + length)
     if blobs:
         owner, start, count, rel, buf = (np.concatenate([x[k] for x in blobs]) for k in range(5))
         del blobs
@@ -366,7 +432,7 @@ def _apply(docs: pa.Table, spans: pa.Table, digests: bool) -> pa.Table:
     return out
 
 
-def _joined(docs: DataFrame, digests: bool, length: int = 100, q: int = 24, block: int = 1 << 20, block_bytes: int = 64 << 20) -> DataFrame:
+def _joined(docs: DataFrame, digests: bool, length: int = 100, q: int = 24, block: int = 1 << 20, block_bytes: int = 64 << 20, hot_least: int = 256) -> DataFrame:
     """docs(row, owner, text) as row, n_bytes, n_removed, n_spans, kept. row: a struct of whatever is to be carried."""
     if length < q + 16 or q % 8 or q < 8:
         raise ValueError("q must be a multiple of 8, and length at least q + 16")
@@ -375,8 +441,12 @@ def _joined(docs: DataFrame, digests: bool, length: int = 100, q: int = 24, bloc
     dealt = docs.withColumn("block", _block_column(F.col("owner"), parts)).groupBy("block")
     rows = docs.select("owner", "text").filter(f"owner is not null and octet_length(text) >= {length}")
     anchors = rows.mapInArrow(lambda it: lean(_anchors(it, length, q, parts, block)), _ROWS)
-    flags = anchors.groupBy("part").applyInArrow(lambda t: lean_call(_met_twice, t, parts), _BLOCK)
-    runs = dealt.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: lean_call(_emit, d, f, length, q, parts, block), _ROWS)
+    most = max(hot_least, total >> 25)  # so that less than 2^25 anchors are hot: there are fewer runs than bytes
+    flags = materialize(anchors.groupBy("part").applyInArrow(lambda t: lean_call(_met_twice, t, parts, most), _BLOCK), "anchors")
+    found = [_unpack(r["data"], (np.int64,))[0] for r in flags.filter("block = -1").select("data").collect()]
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *found])))
+    flags = flags.filter("block >= 0")
+    runs = dealt.cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: lean_call(_emit, d, f, length, q, parts, block, hot.value), _ROWS)
     spans = runs.groupBy("part").applyInArrow(lambda t: lean_call(_settle, t, length, q, parts), _BLOCK)
     schema = f"row {dict(docs.dtypes)['row']}, n_bytes long, n_removed long, n_spans long, kept string"
     return dealt.cogroup(spans.groupBy("block")).applyInArrow(lambda d, f: lean_call(_apply, d, f, digests), schema)
