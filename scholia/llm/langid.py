@@ -1,9 +1,9 @@
 """Language ID (operator 1): error-correcting output codes over byte n-grams.
 
 Each language has a codeword; each bit is predicted by a binary classifier on hashed byte n-grams (3 and 4 bytes, spaces
-kept as word edges), and the codeword of least loss over all bits wins, each bit's loss weighted by how well its classifier did
-on training rows (loss-weighted decoding). For n languages the code is exhaustive up to 5 (2^(n-1) - 1 columns), else random
-columns chosen for the largest least distance between codewords.
+kept as word edges), and the codeword of least loss over all bits wins, each bit's loss weighted by how sure and right its classifier is
+on rows that it wasn't fitted on, every fifth of the chosen ones (loss-weighted decoding). For n languages the code is exhaustive up to 5 (2^(n-1) - 1 columns), else random
+columns, more of them for more languages, chosen for the largest least distance between codewords.
 
 Training is bounded: at most ``per_language`` rows of each language, chosen by hash of the id, whole texts, gathered on the driver as
 feature counts. Prediction reads every whole text once, in place, and needs no shuffle; the model is some MB whatever the corpus.
@@ -16,6 +16,7 @@ Other columns, whatever their names, are carried by ``keep_identified``. Very lo
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -50,19 +51,29 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def codewords(n: int, columns: int = 24, seed: int = 7) -> np.ndarray:
-    """n rows of +1 and -1. Exhaustive for up to 5 languages; else the best of some random codes."""
+def codewords(n: int, least: int = 24, seed: int = 7) -> np.ndarray:
+    """n rows of +1 and -1, a row a language. Exhaustive for up to 5 languages; else the best of some random codes, of 12 columns for each doubling of n, ``least`` at least.
+
+    No column is constant, and none equals another or its complement, so that each bit asks something of its own; columns are as many as it takes for the least distance to stay far above 2.
+    """
     if n <= 1:
         return np.ones((n, 1))
     if n <= 5:
         cols = [c for c in itertools.product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
         return np.array(cols, float).T
+    columns = min(2 ** (n - 1) - 1, max(least, math.ceil(12 * math.log2(n))))  # there are no more
     rng, best, far = np.random.default_rng(seed), None, -1
-    for _ in range(200):
-        code = rng.choice((1.0, -1.0), (n, columns))
+    for _ in range(50):
+        found: dict[bytes, np.ndarray] = {}
+        while len(found) < columns:
+            c = rng.choice(np.array([1, -1], np.int8), n)
+            c *= c[0]  # of a column and its complement the one that begins with 1
+            if (c < 0).any():
+                found[c.tobytes()] = c
+        code = np.array(list(found.values()), float).T
         d = (columns - code @ code.T) / 2
-        if (least := d[~np.eye(n, dtype=bool)].min()) > far:
-            best, far = code, least
+        if (nearest := d[~np.eye(n, dtype=bool)].min()) > far:
+            best, far = code, nearest
     return best
 
 
@@ -116,6 +127,16 @@ def _counts(batches):
         yield pa.record_batch([pa.array(names, pa.string()), pa.array(slots_out, pa.binary()), pa.array(values, pa.binary())], ["lang", "slots", "shares"])
 
 
+def _places(names: list[str]) -> np.ndarray:
+    """Of each name, how many equal ones stand before it."""
+    met: dict[str, int] = {}
+    out = []
+    for x in names:
+        out.append(met.get(x, 0))
+        met[x] = out[-1] + 1
+    return np.array(out)
+
+
 def train(rows: DataFrame, per_language: int = 400, epochs: int = 12, seed: int = 3) -> Model:
     """A model of rows(doc_id, text, lang), from at most per_language rows of each language, least hash of the id first."""
     share = rows.filter("lang is not null and text is not null").groupBy("lang").count().collect()
@@ -143,17 +164,21 @@ def train(rows: DataFrame, per_language: int = 400, epochs: int = 12, seed: int
     per = (len(got) / len(langs) / size)[[langs.index(r["lang"]) for r in got]]
     w, bias, grad2 = np.zeros((2 << BITS, code.shape[1])), np.zeros(code.shape[1]), np.full((2 << BITS, code.shape[1]), 1e-8)
     rng = np.random.default_rng(seed)
+    unseen = _places([r["lang"] for r in got]) % 5 == 4
+    fitted = np.flatnonzero(~unseen)
     for _ in range(epochs):
-        for i in rng.permutation(len(got)):
+        for i in rng.permutation(fitted):
             m = x[i] @ w[slots[i]] + bias
             g = -y[i] / (1 + np.exp(np.clip(m * y[i], -30, 30))) * per[i]
             d = x[i][:, None] * g
             grad2[slots[i]] += d * d
             w[slots[i]] -= 0.5 * d / np.sqrt(grad2[slots[i]])
             bias -= 0.01 * g
-    m = np.array([a @ w[s] + bias for s, a in zip(slots, x, strict=True)])
-    right = ((m * y > 0) * per[:, None]).sum(0) / per.sum()
-    trust = np.clip(np.log(np.clip(right, 0.5, 0.999) / (1 - np.clip(right, 0.5, 0.999))), 0.05, None)
+    judged = np.flatnonzero(unseen) if unseen.any() else fitted  # too few rows to leave any out
+    m = np.array([x[i] @ w[slots[i]] + bias for i in judged])
+    sure = (per[judged, None] / (1 + np.exp(-np.clip(m * y[judged], -30, 30)))).sum(0) / per[judged].sum()  # mean probability of the right bit
+    sure = np.clip(sure, 0.51, 0.999)
+    trust = np.log(sure / (1 - sure))
     return Model(langs, code, w.astype(np.float32), bias, trust / trust.mean())
 
 
