@@ -295,11 +295,12 @@ def plan(hist: np.ndarray, size: int, rounds: int = 200) -> list[tuple[int, int,
     return rows
 
 
-def _place(batches, table: np.ndarray, offsets: np.ndarray, rank_name: str, salt_name: str):
+def _place(batches, table: np.ndarray, groups: np.ndarray, before: np.ndarray, rank_name: str, salt_name: str):
+    """groups: length << 32 | salt of each group, ascending; before: pieces of its length in the groups before it."""
     key = table[:, 0] * (1 << 44) + table[:, 1]
     for batch in batches:
         length = batch.column("length").to_numpy()
-        rank = batch.column(rank_name).to_numpy() + offsets[length, batch.column(salt_name).to_numpy()]
+        rank = batch.column(rank_name).to_numpy() + before[np.searchsorted(groups, length.astype(np.int64) << 32 | batch.column(salt_name).to_numpy())]
         row = table[np.searchsorted(key, length * (1 << 44) + rank, "right") - 1]
         k = rank - row[:, 1]
         names = [x for x in batch.schema.names if x not in (rank_name, salt_name)]
@@ -320,14 +321,14 @@ def pack(parts: DataFrame, size: int = 2048, rounds: int = 200, salt_rows: int =
     names, salt, rank = parts.columns, unused(parts, "salt"), unused(parts, "rank")
     many = F.element_at(F.array(*[F.lit(int(x)) for x in salts]), (F.col("length") + 1).cast("int")) if salts.max() > 1 else F.lit(1)
     salted = parts.withColumn(salt, F.pmod(F.xxhash64(*map(quoted, names)), many).cast("int"))
-    offsets = np.zeros((size + 1, int(salts.max())), np.int64)
-    for x, s, n in salted.groupBy("length", salt).count().collect():
-        offsets[x, s] = n
-    offsets = np.cumsum(offsets, 1) - offsets
+    counts = sorted((x << 32 | s, n) for x, s, n in salted.groupBy("length", salt).count().collect())
+    groups, sizes = np.array([g for g, _ in counts], np.int64), np.array([n for _, n in counts], np.int64)
+    before = np.cumsum(sizes) - sizes
+    before -= before[np.searchsorted(groups, groups >> 32 << 32)]  # from the first group of its length on
     table = np.array(sorted(plan(hist, size, rounds)) or [(0, 0, 0, 1, 0, 0)], np.int64)
     ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(*map(quoted, names))).cast("long") - 1)
     kind = ", ".join(f"{quoted_name(c)} {t}" for c, t in parts.dtypes)
-    return ranked.mapInArrow(lambda it: lean(_place(it, table, offsets, rank, salt)), f"{kind}, sequence_id long, offset long")
+    return ranked.mapInArrow(lambda it: lean(_place(it, table, groups, before, rank, salt)), f"{kind}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, end_id: int = 0, rounds: int = 200) -> DataFrame:
