@@ -94,16 +94,17 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, w.doc_id = c A
 
 def _op7_sql() -> str:
     places = lambda phrase: f"((length(j) - length(replace(j, '{p}', ''))) // {len(p)})" if (p := "".join(f" {w} " for w in phrase.split())) else ""
-    base, every = licenses.BASE, [*licenses.BASE, *licenses.OWN]
-    names = lambda some: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {places(p)} > 0 THEN '{x}' END" for p, x in some) + "], lambda x: x IS NOT NULL))), ',')"
+    base, own = licenses.BASE, [p for _, keys in licenses.TEMPLATES for p in keys]
+    names = lambda some: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {' AND '.join(f'{places(p)} > 0' for p in keys)} THEN '{x}' END" for x, keys in some) + "], lambda x: x IS NOT NULL))), ',')"
+    plain = [(label, (phrase,)) for phrase, label in base]
     starts = "list_concat(" + ", ".join(f"list_filter(range(len(w)), lambda i: list_slice(w, i + 1, i + {len(p.split())}) = [{', '.join(repr(x) for x in p.split())}])" for p, _ in base) + ")"
-    count = lambda some: " + ".join(places(p) for p, _ in some)
+    count = lambda some: " + ".join(places(p) for p in some)
     return f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 j AS (SELECT doc_id, w, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, '  ') || ' ' ELSE '' END AS j FROM d),
-p AS (SELECT *, CASE WHEN {count(base)} > 0 THEN {starts} END AS s FROM j)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({count(base)} AS BIGINT) AS n_base, CAST(list_min(s) AS BIGINT) AS first_word, CAST(list_max(s) AS BIGINT) AS last_word,
-{names(base)} AS base_labels, {names(every)} AS labels, 1 - pow(CAST(0.5 AS DOUBLE), {count(every)}) AS score FROM p
+p AS (SELECT *, CASE WHEN {count([p for p, _ in base])} > 0 THEN {starts} END AS s FROM j)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({count([p for p, _ in base])} AS BIGINT) AS n_base, CAST(list_min(s) AS BIGINT) AS first_word, CAST(list_max(s) AS BIGINT) AS last_word,
+{names(plain)} AS base_labels, {names([*plain, *licenses.TEMPLATES])} AS labels, 1 - pow(CAST(0.5 AS DOUBLE), {count([*(p for p, _ in base), *own])}) AS score FROM p
 """
 
 
@@ -152,12 +153,11 @@ def _op12_sql(shards: int = 24, bits: int = 5) -> str:
     n, top = len(hilbert.DIMS), 1 << bits
     level = lambda k: " + ".join(f"((((codes[{j + 1}] >> {k}) & 1)) << {j})" for j in range(n))
     walk = f"list_reduce([{', '.join(level(k) for k in range(bits - 1, -1, -1))}]::BIGINT[], lambda a, b: list_transform([({hilbert.moves(n)}::BIGINT[])[(((a >> 40) << {n}) + b) + 1]], lambda m: ((m >> {n}) << 40) | (((a & 1099511627775) << {n}) + (m & {(1 << n) - 1})))[1], 0::BIGINT) & 1099511627775"
-    nibble = lambda at: f"instr('0123456789ABCDEF', substr(h, {at}, 1)) - 1"
     linear = lambda c: f"coalesce((({c})::HUGEINT - min({c}) OVER ()) * {top} // (max({c}) OVER () - min({c}) OVER () + 1), 0)::BIGINT"
     rank = lambda c: f"((dense_rank() OVER (ORDER BY {c} NULLS FIRST) - 1) * {top} // (SELECT count(*) FROM (SELECT DISTINCT {c} FROM documents)))::BIGINT"
     return f"""
 WITH b AS (SELECT doc_id, lang, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
-s AS (SELECT doc_id, lang, source, size, length(bin(size * size)) AS octaves, {_crc32(f"list_transform(range(1, 2 * size - 15, 2), lambda i: 16 * ({nibble('i')}) + {nibble('i + 1')})::BIGINT[]")} AS crc FROM b),
+s AS (SELECT doc_id, lang, source, size, length(bin(size * size)) AS octaves, {_crc32("list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))")} AS crc FROM b),
 c AS (SELECT *, [{rank('lang')}, {rank('source')}, {linear('octaves')}, {linear('doc_id')}] AS codes FROM s),
 v AS (SELECT *, {walk} AS curve FROM c),
 r AS (SELECT *, row_number() OVER (ORDER BY curve, crc, doc_id) - 1 AS rank, count(*) OVER () AS total FROM v),
