@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 
 from ..functions.ontology import lines_of
 from ..functions.tables import written
+from ..functions.text import snippet
 from ..operators import entities, evaluate, graph, render, restructure, retrieve, sample
 from ..operators import references as cross
 from ..operators.index import Index, embedder_of
 from ..operators.knowledge import Graph, wiki_pages
 from ..sinks import wiki as wiki_files
 from ..sources import documents, readers
+from . import agent
 from . import project as projects
-from .tools import Agent, StdioServer, WikiTools, short, stdio_server
 
 
 @dataclass
@@ -51,8 +52,8 @@ class Wiki:
         there = lambda name: (self.folder / name).exists()
         self.index = Index.load(spark, str(self.folder / "index"), embedder) if there("index/chunks") else None
         self.graph = Graph.load(spark, str(self.folder / "graph")) if there("graph/edges") else None
-        self.tools = WikiTools(self.folder / "wiki", self.index, self.graph, self.index.embedder if self.index else None)
-        self.agent = Agent(chat, self.tools) if chat else None
+        self.librarian = agent.Librarian(spark, self.folder / "wiki", self.index, self.graph, self.index.embedder if self.index else None)
+        self.history = agent.opening()
         self.lock, self.job = threading.Lock(), {"state": "idle"}
 
     def retrieve(self, question: str, top_k: int | None = None, expand_k: int | None = None, with_graph: bool = True) -> list[dict]:
@@ -96,8 +97,7 @@ class Wiki:
         return {"question": question, "top_k": top_k, "expand_k": expand_k, "results": out}
 
     def eval_items(self, path: str):
-        lines = self.spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-        items = readers.eval_set(lines.select("value")).withColumn("qid", F.monotonically_increasing_id())
+        items = written(readers.eval_set(self.spark.read.text(path)).withColumn("qid", F.monotonically_increasing_id()), "questions")
         return written(self.index.questions(items), "items")
 
     def run_eval(self, path: str, top_k: int | None = None, expand_k: int | None = None) -> dict:
@@ -154,8 +154,14 @@ class Wiki:
         """Sets of questions below the folder, by name."""
         return {p.stem: str(p) for p in sorted(self.folder.glob("eval/*.jsonl"))}
 
-    def stdio(self) -> StdioServer:
-        return stdio_server(self.folder / "wiki", self.index, self.graph, (lambda q: self.ask(q).text()) if self.chat else None)
+    def say(self, message: str) -> dict:
+        """Goes on with the wiki's one conversation: the reply, and the calls made for it."""
+        self.history.append({"role": "user", "content": message})
+        *made, last = agent.converse(self.chat, self.librarian, self.history)
+        return {"reply": last["reply"], "calls": [{k: c[k] for k in ("tool", "arguments", "result")} for c in made]}
+
+    def rpc(self) -> dict:
+        return agent.rpc_methods(self.librarian, (lambda q: self.ask(q).text()) if self.chat else None)
 
     def get(self, path: str, query: dict) -> object:
         """What GET /api/... gives."""
@@ -165,8 +171,8 @@ class Wiki:
         if name == "project":
             return {"folder": str(self.folder), "index": self.index is not None, "graph": self.graph is not None, "chat": getattr(self.chat, "name", None)}
         if name == "pages":
-            text = self.tools.read_page(rest)
-            if text.startswith("ERROR"):
+            ok, text = self.librarian.serve([("read_page", {"slug": rest})])[0]
+            if not ok:
                 raise KeyError(rest)
             return {"slug": rest, "markdown": text}
         if name == "eval-sets":
@@ -186,12 +192,12 @@ class Wiki:
         """What POST /api/... gives."""
         name = path.removeprefix("/api/")
         if name == "search":
-            rows = self.index.search(str(body["query"]), retrieve.clamped(body.get("k"), 0)[0]).collect()
-            return [r.asDict() | {"text": short(r["text"], 240)} for r in rows]
+            found = self.index.search(str(body["query"]), retrieve.clamped(body.get("k"), 0)[0])
+            rows = found.withColumn("text", snippet(F.col("text"), 240)).collect()
+            return [r.asDict() for r in rows]
         if name == "chat":
             with self.lock:
-                turn = self.agent.send(str(body["message"]))
-            return {"reply": turn.reply, "calls": [{"name": n, "arguments": a, "result": r} for n, a, r in turn.calls]}
+                return self.say(str(body["message"]))
         if name == "compare":
             return self.compare(str(body["question"]), body.get("top_k"), body.get("expand_k"), bool(body.get("answers", True)))
         if name == "answer-eval":
@@ -305,9 +311,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, chat=
     a = p.parse_args(argv)
     registry, user = projects.Registry(home / "projects.toml"), projects.UserConfig(home / "config.toml")
     if a.command == "init":
-        made = projects.Project.create(a.root)
-        registry.add(made.name, made.root)
-        print(f"{made.root}: {made.name}")
+        made = projects.new_project(a.root)
+        registry.add(projects.title_of(made), made[projects.ROOT])
+        print(f"{made[projects.ROOT]}: {projects.title_of(made)}")
         return 0
     if a.command == "project" and a.action != "add-source":
         if a.action == "list":
@@ -315,52 +321,53 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, chat=
         else:
             getattr(registry, a.action)(*a.args)
         return 0
-    here = projects.Project.resolve(a.project, registry)
+    here = projects.current_project(a.project, registry)
     if here is None:
         print("no project here; name one with --project, or make one with init", file=sys.stderr)
         return 2
     if a.command == "project":
         for path in a.args:
-            here.add_source(path, "web" if documents.is_url(path) else "code" if (here.root / path).is_dir() else (Path(path).suffix or ".md")[1:])
+            here = projects.with_source(here, path, "web" if documents.is_url(path) else "code" if (here[projects.ROOT] / path).is_dir() else (Path(path).suffix or ".md")[1:])
         return 0
     of = lambda section, key, default=None, flag=None: projects.setting(section, key, default, flag, here, user)
     settings = {"split_level": of("wiki", "split_level", 2, getattr(a, "split_level", None)), "chunk_size": of("index", "chunk_size", 180), "overlap": of("index", "overlap", 30), "embed": of("models", "embed", "hash:256", getattr(a, "embed", None)), "similar_k": of("graph", "similar_k", 6)}
     todo, now = projects.stages_to_run(here, settings, force=bool(getattr(a, "force", False)))
     if a.command == "status":
-        state = here.state()
+        state = projects.state_of(here)
         for stage in projects.build.STAGES:
             print(f"{stage}: {'missing' if stage not in state.stages else 'stale' if stage in todo else 'up to date'}")
         return 0
     spark = spark or SparkSession.builder.getOrCreate()
-    folder = str(here.out)
+    out = projects.output_of(here)
+    folder = str(out)
     if a.command in ("build", "ingest", "build-wiki", "index", "graph-build"):
         steps = {"build": ("ingest", "wiki", "index", "graph"), "ingest": ("ingest",), "build-wiki": ("wiki",), "index": ("index",), "graph-build": ("graph",)}[a.command]
         run = [s for s in steps if s in todo or a.command != "build"]
         if run:
-            sources = documents.expand_sources(a.sources or here.sources())
-            got = build_wiki(spark, sources, folder, embedder_of(settings["embed"]), settings["split_level"], settings["chunk_size"], settings["overlap"], settings["similar_k"], here.name, steps=run)
-            state = here.state()
+            sources = documents.expand_sources(a.sources or projects.sources_of(here))
+            got = build_wiki(spark, sources, folder, embedder_of(settings["embed"]), settings["split_level"], settings["chunk_size"], settings["overlap"], settings["similar_k"], projects.title_of(here), steps=run)
+            state = projects.state_of(here)
             for s in run:
-                state.record(s, now[s], str(here.out if s == "ingest" else here.out / s))
+                state.record(s, now[s], str(out if s == "ingest" else out / s))
             print(json.dumps(got, default=str))
         return 0
     wiki = Wiki(spark, folder, chat, embedder_of(settings["embed"]))
     if a.command == "search":
-        print(wiki.tools.search_wiki(a.query, a.k))
+        print(wiki.librarian.serve([("search_wiki", {"query": a.query, "k": a.k})])[0][1])
     elif a.command == "ask":
         print(wiki.ask(a.question, a.k, a.expand).text())
     elif a.command == "chat":
-        print(wiki.agent.send(a.message).reply)
+        print(wiki.say(a.message)["reply"])
     elif a.command == "eval":
         print(json.dumps(wiki.run_eval(wiki.eval_sets().get(a.set, a.set), a.k, a.expand), default=str))
     elif a.command == "ontology":
-        texts = wiki_files.read_pages(spark, f"{folder}/wiki").select(F.lit(here.name).alias("source"), F.col("slug").alias("ord"), "text")
+        texts = wiki_files.read_pages(spark, f"{folder}/wiki").select(F.lit(projects.title_of(here)).alias("source"), F.col("slug").alias("ord"), "text")
         drawn = sample.sample_corpus(texts).first()
         print("\n".join(lines_of(entities.propose_types(chat, drawn["sample"] if drawn else "", a.n))))
     elif a.command == "serve":
         http_server(wiki, a.port or of("serve", "port", 8000)).serve_forever()
     elif a.command == "mcp":
-        wiki.stdio().serve()
+        agent.rpc_serve(wiki.rpc())
     return 0
 
 

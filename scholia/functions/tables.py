@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +28,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/scholia/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def version_of(df: DataFrame) -> str:
+    """What tells versions of a table's files apart: their names, lengths and times, hashed."""
+    sc = df.sparkSession.sparkContext
+    found = []
+    for name in sorted(df.inputFiles()):
+        at = sc._jvm.org.apache.hadoop.fs.Path(name)
+        status = at.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(at)
+        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/scholia/{tag}-{uuid.uuid4().hex}"
+
+
+def stream_rows(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """In a task: the rows of a table in the shared folder, some at a time, whatever its size."""
+    fs, top = file_system(path)
+    for f in sorted(fs.get_file_info(pafs.FileSelector(top)), key=lambda f: f.path):
+        if f.base_name.endswith(".parquet") and f.base_name[0] not in "._":
+            with fs.open_input_file(f.path) as opened:
+                yield from pq.ParquetFile(opened).iter_batches(rows)
+
+
 def read_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     """name, content of files below root. Spark's own listing leaves out names that begin with . or _, so the names are given."""
 

@@ -11,8 +11,8 @@ from ..functions.tables import written
 GROUPS = (("parent", None), ("child", None), ("prev", None), ("next", None), ("references", 8), ("referenced_by", 6), ("shared_entity", 6), ("similar", 6))
 
 
-def related(edges: DataFrame, mentions: DataFrame) -> DataFrame:
-    """src, node, rel, grp, ord: every page's neighbours by group, before limits. mentions(page, entity)."""
+def related(edges: DataFrame, mentions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """src, node, rel, grp, ord: every page's neighbours by group, before limits; of pages(page) alone, if given. mentions(page, entity)."""
     ways = []
     for rel, near, far in (("CHILD_OF", "parent", "child"), ("NEXT", "next", "prev"), ("REFERENCES", "references", "referenced_by"), ("SIMILAR_TO", "similar", None)):
         for name, src, dst in ((near, "src", "dst"), (far, "dst", "src")):
@@ -21,13 +21,15 @@ def related(edges: DataFrame, mentions: DataFrame) -> DataFrame:
                 order = -F.col("score") if name == "similar" else F.lit(0.0)
                 ways.append(F.when(F.col("rel") == rel, F.struct(F.col(src).alias("src"), F.col(dst).alias("node"), F.lit(name).alias("rel"), F.lit(g).alias("grp"), order.alias("ord"))))
     out = edges.select(F.explode(F.array_compact(F.array(*ways))).alias("w")).select("w.*")
-    shared = shared_entities(mentions).select(F.col("a").alias("src"), F.col("b").alias("node"), F.lit("shared_entity").alias("rel"), F.lit(6).alias("grp"), (-F.col("n")).cast("double").alias("ord"))
+    if pages is not None:
+        out = out.join(pages.select(F.col("page").alias("src")), "src", "left_semi")
+    shared = shared_entities(mentions, pages=pages).select(F.col("a").alias("src"), F.col("b").alias("node"), F.lit("shared_entity").alias("rel"), F.lit(6).alias("grp"), (-F.col("n")).cast("double").alias("ord"))
     return out.unionByName(shared)
 
 
-def neighborhood(edges: DataFrame, mentions: DataFrame) -> DataFrame:
-    """src, node, rel for every page: each group cut to its limit, each node in its first group."""
-    r = related(edges, mentions).withColumn("k", F.row_number().over(Window.partitionBy("src", "grp").orderBy("ord", "node")))
+def neighborhood(edges: DataFrame, mentions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """src, node, rel for every page, or for pages(page): each group cut to its limit, each node in its first group."""
+    r = related(edges, mentions, pages).withColumn("k", F.row_number().over(Window.partitionBy("src", "grp").orderBy("ord", "node")))
     limit = F.lit(1 << 30)
     for g, (_, n) in enumerate(GROUPS):
         if n:
@@ -36,12 +38,13 @@ def neighborhood(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     return r.groupBy("src", "node").agg(F.min_by("rel", "grp").alias("rel"))
 
 
-def shared_entities(mentions: DataFrame, block: int = 256) -> DataFrame:
-    """a, b, n: pages that mention the same entities, and how many. An entity of many pages is cut into blocks of about ``block`` pages, so that no task pairs all of them."""
+def shared_entities(mentions: DataFrame, block: int = 256, pages: DataFrame | None = None) -> DataFrame:
+    """a, b, n: pages that mention the same entities, and how many; a is one of pages(page), if given: then rows grow with these alone. An entity of many pages is cut into blocks of about ``block`` pages, so that no task pairs all of them."""
     m = mentions.select("page", "entity").distinct()
     many = m.groupBy("entity").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     m = m.join(many, "entity")
-    one = m.select(F.col("page").alias("a"), "entity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    asking = m if pages is None else m.join(pages.select("page"), "page", "left_semi")
+    one = asking.select(F.col("page").alias("a"), "entity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
     two = m.select(F.col("page").alias("b"), "entity", F.pmod(F.xxhash64("page"), F.col("blocks")).cast("int").alias("x"))
     return one.join(two, ["entity", "x"]).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -112,6 +115,56 @@ def find_path(edges: DataFrame, a, b, max_hops: int = 5) -> tuple[list, list] |
     return None
 
 
+def paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 5) -> DataFrame:
+    """a, b, hops, nodes, rels of each of pairs(a, b): a shortest undirected path, the first by its nodes; the relation of a step is the first by name. Null where none is short enough; none for a null end; 0 hops from a page to itself.
+
+    Two frontiers for each pair, from either end, grow by turns until they meet; a node keeps the first way to it, so a frontier has a row for each pair and node. A hop is one join, by node, and is written;
+    pairs that have met leave the frontiers.
+    """
+    both = written(_undirected(edges), "edges")
+    kind = dict(both.dtypes)["src"]
+    pairs = written(pairs.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "pairs")
+    begin = lambda end: pairs.select("a", "b", F.col(end).alias("node"), F.array(end).alias("path"), F.array().cast("array<string>").alias("rels"))
+    front, back = begin("a"), begin("b")
+    seen = {"front": front.select("a", "b", "node"), "back": back.select("a", "b", "node")}
+    found = []
+    for hop in range(max_hops + 1):
+        if hop:
+            forth = hop % 2 == 1
+            now, name = (front, "front") if forth else (back, "back")
+            grown = now.join(both, F.col("node") == F.col("src")).withColumn("more", F.array("dst")).withColumn("by", F.array("rel"))
+            path = [F.concat("path", "more").alias("path"), F.concat("rels", "by").alias("rels")] if forth else [F.concat("more", "path").alias("path"), F.concat("by", "rels").alias("rels")]
+            step = grown.select("a", "b", F.col("dst").alias("node"), *path).join(seen[name], ["a", "b", "node"], "left_anti")
+            step = written(step.groupBy("a", "b", "node").agg(F.min(F.struct("path", "rels")).alias("p")).select("a", "b", "node", "p.*"), "frontier")
+            seen[name] = written(seen[name].unionByName(step.select("a", "b", "node")), "seen")
+            front, back = (step, back) if forth else (front, step)
+        ends = back.select("a", "b", "node", F.col("path").alias("rest"), F.col("rels").alias("rest_rels"))
+        whole = F.struct(F.concat("path", F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0)))).alias("nodes"), F.concat("rels", "rest_rels").alias("rels"))
+        met = written(front.join(ends, ["a", "b", "node"]).groupBy("a", "b").agg(F.min(whole).alias("p")).select("a", "b", F.lit(hop).alias("hops"), "p.*"), "met")
+        found.append(met)
+        front, back = (written(x.join(met, ["a", "b"], "left_anti"), "frontier") for x in (front, back))
+        if not front.take(1) or not back.take(1):
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return pairs.join(out, ["a", "b"], "left").select("a", "b", "hops", F.col("nodes").cast(f"array<{kind}>").alias("nodes"), "rels")
+
+
+def ancestry(children: DataFrame, most: int = 100) -> DataFrame:
+    """node, ancestor, depth for all nodes of children(node, parent): the transitive closure of a forest, by a recursive query. Chains longer than ``most`` are an error. Read the other way round it gives all descendants."""
+    spark = children.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(most))
+    return spark.sql(
+        """WITH RECURSIVE up(node, ancestor, depth) AS (
+             SELECT node, parent, 1 FROM {children} WHERE parent IS NOT NULL AND node IS NOT NULL
+             UNION ALL SELECT up.node, c.parent, up.depth + 1 FROM up JOIN {children} c ON c.node = up.ancestor WHERE c.parent IS NOT NULL)
+           SELECT node, ancestor, depth FROM up""",
+        children=written(children.select("node", "parent").distinct(), "children"),
+    )
+
+
 def hops(edges: DataFrame, start, max_hops: int = 5) -> DataFrame:
     """node, hops of all that a start reaches undirected."""
     both = written(_undirected(edges).select("src", "dst"), "edges")
@@ -149,16 +202,8 @@ def merged(one: DataFrame, two: DataFrame) -> DataFrame:
 
 def descendants(edges: DataFrame, start, most: int = 100) -> DataFrame:
     """node: what hangs from a page in the tree, at any depth up to ``most``."""
-    child = written(edges.filter("rel = 'CHILD_OF'").select(F.col("dst").alias("up"), F.col("src").alias("down")), "tree")
-    kind = dict(child.dtypes)["up"]
-    front = edges.sparkSession.createDataFrame([(start,)], f"node {kind}")
-    out = front.limit(0)
-    for _ in range(most):
-        front = written(front.join(child, front.node == child.up).select(F.col("down").alias("node")).distinct().join(out, "node", "left_anti"), "front")
-        if not front.take(1):
-            break
-        out = out.unionByName(front)
-    return out
+    tree = edges.filter("rel = 'CHILD_OF'").select(F.col("src").alias("node"), F.col("dst").alias("parent"))
+    return ancestry(tree, most).filter(F.col("ancestor") == F.lit(start)).select("node").distinct()
 
 
 def collapsed(edges: DataFrame, start) -> DataFrame:

@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
 from typing import Protocol, runtime_checkable
 from urllib.request import Request, urlopen
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.text import windows
 from . import vector
@@ -96,19 +96,18 @@ def embedder_of(name: str, host: str | None = None) -> Embedder:
 
 
 def embedded(rows: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
-    """rows with emb: unit vectors of a text column, ``BATCH`` texts at a time, where the rows are."""
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts, out = f[text].fillna("").tolist(), []
-            for s in range(0, len(texts), BATCH):
-                m = np.asarray(embedder.embed_documents(texts[s : s + BATCH]), float)
-                norm = np.linalg.norm(m, axis=1, keepdims=True)
-                out += list((m / np.where(norm > 0, norm, 1)).astype(np.float32))
-            yield f.assign(emb=out)
-
-    return rows.mapInPandas(run, f"{kinds}, emb array<float>")
+    """rows with emb: unit vectors of a text column, ``BATCH`` texts at a time, where the rows are. A worker loads the embedder once; null is the empty text, and a plan that doesn't use emb asks for none."""
+
+    def load():
+        def predict(texts: np.ndarray) -> np.ndarray:
+            m = np.asarray(embedder.embed_documents([str(x) for x in texts.ravel()]), float)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            return (m / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+        return predict
+
+    vectors = predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=BATCH)
+    return rows.withColumn("emb", vectors(F.coalesce(text, F.lit(""))))
 
 
 def chunks_of(pages: DataFrame, size: int = 180, overlap: int = 30) -> DataFrame:

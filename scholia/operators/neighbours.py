@@ -18,13 +18,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.tables import file_system, shared_folder, written
+from ..functions.tables import new_path, stream_rows, written
 from ..sinks.versions import Store
 
 
@@ -285,27 +283,23 @@ class NeighbourIndex:
         """qid, id, score (cosine), rank: the k rows nearest to each of questions(qid, emb)."""
         s = self._settings()
         q = _usable(questions.select(F.col("qid").alias("id"), F.transform("emb", lambda x: x.cast("double")).alias("emb"))).withColumnRenamed("id", "qid")
-        folder = f"{shared_folder(self.spark)}/scholia/questions-{self.spark.sparkContext.applicationId}-{id(q)}-{np.random.default_rng().integers(1 << 60)}"
+        folder = new_path(self.spark, "questions")
         q.write.parquet(folder)
         qid = questions.schema["qid"].dataType
         types = {"qid": to_arrow_type(qid), "id": to_arrow_type(self.store.read("settings").sparkSession.createDataFrame([], f"x {s['id']}").schema["x"].dataType)}
         beam = None if exact else ef
 
         def run(batches):
-            fs, at = file_system(folder)
-            files = [f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.endswith(".parquet")]
             for batch in batches:
                 for data in batch.column("data"):
                     shard = Shard.load(data.as_py())
                     if not len(shard.ids):
                         continue
                     ids = np.array([*shard.ids, None], object)[:-1]
-                    for f in files:
-                        with fs.open_input_file(f) as opened:
-                            for some in pq.ParquetFile(opened).iter_batches(block):
-                                asked = _unit(np.stack(some.column("emb").to_numpy(zero_copy_only=False)))
-                                to, row, score = shard.nearest(asked, k, beam)
-                                yield pa.record_batch([some.column("qid").take(pa.array(to)).cast(types["qid"]), pa.array(ids[row].tolist(), types["id"]), pa.array(score)], ["qid", "id", "score"])
+                    for some in stream_rows(folder, block):
+                        asked = _unit(np.stack(some.column("emb").to_numpy(zero_copy_only=False)))
+                        to, row, score = shard.nearest(asked, k, beam)
+                        yield pa.record_batch([some.column("qid").take(pa.array(to)).cast(types["qid"]), pa.array(ids[row].tolist(), types["id"]), pa.array(score)], ["qid", "id", "score"])
 
         found = self.store.read("shards", version).select("data").mapInArrow(run, f"qid {qid.simpleString()}, id {s['id']}, score double")
         w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")

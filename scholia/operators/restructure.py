@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running_total
 from ..functions.text import slug, strip
 
 
@@ -67,8 +68,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
 
 def merge_offsets(sizes: DataFrame) -> DataFrame:
     """source, n_pages, offset: pages of the sources before, in order of source."""
-    w = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)  # one row a source: a manifest, not data
-    return sizes.withColumn("offset", F.coalesce(F.sum("n_pages").over(w), F.lit(0)).cast("long"))
+    return running_total(sizes, "n_pages", ["source"], "offset").withColumn("offset", F.col("offset").cast("long"))
 
 
 def merge(pages: DataFrame, outline: DataFrame) -> tuple[DataFrame, DataFrame]:

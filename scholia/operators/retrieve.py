@@ -53,7 +53,8 @@ def graph_rag(questions: DataFrame, chunks: DataFrame, edges: DataFrame, mention
     out = found.select("qid", "id", "page", "score", "marker", F.lit("seed").alias("kind"))
     if expand_k <= 0:
         return out
-    return out.unionByName(expand(questions, found, chunks, neighborhood(edges, mentions), expand_k).withColumn("kind", F.lit("related")))
+    near = neighborhood(edges, mentions, found.select("page").distinct())
+    return out.unionByName(expand(questions, found, chunks, near, expand_k).withColumn("kind", F.lit("related")))
 
 
 def semantic_pages(questions: DataFrame, chunks: DataFrame, n: int = 8) -> DataFrame:

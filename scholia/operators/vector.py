@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.tables import new_path, stream_rows
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -61,65 +63,75 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((sims >= cut[:, None]) & (sims > -2))
 
 
+def _top(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row, best first, smaller ids first where scores are equal."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, row))
+    row = row[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    return order[place < k]
+
+
 def similar(vectors: DataFrame, k: int = 6, block: int = 4096, structural: DataFrame | None = None) -> DataFrame:
     """a, b, score, rank: each row's k most similar others of vectors(id, emb), score above 0; pairs in structural(a, b) don't count.
 
-    All against all, as the definition has it, in blocks: rows fall into groups of about ``block`` by hash, a task holds two groups and serves both
-    directions, so a row is sent once for each group. Excluded pairs are few for a row, so k and their number are kept by each task before the final k.
+    All against all, as the definition has it, in blocks: the rows are written once to the shared folder, and a task streams them past each batch of its own rows, of which it keeps the best.
+    Nothing is shuffled but the excluded pairs; these are few for a row, so their number is kept beside the k.
     """
-    rows = vectors.select("id", F.transform("emb", lambda x: x.cast("double")).alias("emb"))
+    folder = new_path(vectors.sparkSession, "vectors")
+    vectors.filter("emb IS NOT NULL").select("id", F.transform("emb", lambda x: x.cast("double")).alias("emb")).write.parquet(folder)
+    rows = vectors.sparkSession.read.schema(f"id {dict(vectors.dtypes)['id']}, emb array<double>").parquet(folder)
     kind = rows.schema["id"].dataType
-    n = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    tiles = rows.select("id", "emb", "g", F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"))
     extra = (structural.groupBy("a").count().agg(F.max("count")).first()[0] or 0) if structural is not None else 0
     keep, of_id = k + int(extra), to_arrow_type(kind)
 
-    def tile(t: pa.Table) -> pa.Table:
-        ids, g, m = t.column("id").to_numpy(zero_copy_only=False), t.column("g").to_numpy(), _matrix(t.column("emb"))
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        left, right = np.flatnonzero(g == x), np.flatnonzero(g == y)
-        a, b, score = [], [], []
-        for one, two in ((left, right), (right, left)) if x != y else ((left, left),):
-            for s in range(0, len(one), 512):
-                some = one[s : s + 512]
-                sims = np.round(m[some] @ m[two].T, 12)
-                sims[ids[some][:, None] == ids[two][None]] = -2
-                at, col = _best(sims, keep)
-                ok = sims[at, col] > 0
-                a.append(ids[some][at[ok]]), b.append(ids[two][col[ok]]), score.append(sims[at[ok], col[ok]])
-        return pa.table({"a": pa.array(np.concatenate(a) if a else [], of_id), "b": pa.array(np.concatenate(b) if b else [], of_id), "score": pa.array(np.concatenate(score) if score else [], pa.float64())})
-
-    found = tiles.groupBy("x", "y").applyInArrow(tile, f"a {kind.simpleString()}, b {kind.simpleString()}, score double")
+    def run(batches):
+        for mine in batches:
+            ids, m = mine.column("id").to_numpy(zero_copy_only=False), _matrix(mine.column("emb"))
+            row, other, score = np.zeros(0, int), ids[:0], np.zeros(0)
+            for some in stream_rows(folder, block):
+                theirs, t = some.column("id").to_numpy(zero_copy_only=False), _matrix(some.column("emb"))
+                rows_, others, scores = [row], [other], [score]
+                for s in range(0, len(m), 512):
+                    sims = np.round(m[s : s + 512] @ t.T, 12)
+                    sims[ids[s : s + 512][:, None] == theirs[None]] = -2
+                    at, col = _best(sims, keep)
+                    ok = sims[at, col] > 0
+                    rows_.append(s + at[ok]), others.append(theirs[col[ok]]), scores.append(sims[at[ok], col[ok]])
+                row, other, score = np.concatenate(rows_), np.concatenate(others), np.concatenate(scores)
+                best = _top(row, score, other, keep)
+                row, other, score = row[best], other[best], score[best]
+            yield pa.record_batch([pa.array(ids[row], of_id), pa.array(other, of_id), pa.array(score, pa.float64())], ["a", "b", "score"])
+
+    spread = rows.repartition(max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows.count() // 256))))
+    found = spread.mapInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}, score double")
     if structural is not None:
         found = found.join(structural.select("a", "b"), ["a", "b"], "left_anti")
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, chunk_block: int = 16384, question_block: int = 2048) -> DataFrame:
-    """qid, id, page, score, marker: the k chunks(id, page, emb) of highest cosine for each of questions(qid, emb), a stated set, against all chunks in blocks."""
-    c, q = (df.select(*[F.col(n).alias(n) for n in names]) for df, names in ((chunks, ("id", "page", "emb")), (questions, ("qid", "emb"))))  # columns of their own, where both come from one table
-    nc, nq = max(1, -(-c.count() // chunk_block)), max(1, -(-q.count() // question_block))
-    part = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = c.withColumn("x", part("id", nc)).withColumn("y", every(nq))
-    q = q.withColumn("y", part("qid", nq)).withColumn("x", every(nc))
+def top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, question_block: int = 512) -> DataFrame:
+    """qid, id, page, score, marker: the k chunks(id, page, emb) of highest cosine for each of questions(qid, emb), a stated set, against all chunks in blocks.
+
+    Questions are written once to the shared folder and streamed past the chunks where these are read; of each batch of chunks k go on for a question.
+    """
+    folder = new_path(chunks.sparkSession, "questions")
+    questions.filter("emb IS NOT NULL").select("qid", F.transform("emb", lambda x: x.cast("double")).alias("emb")).write.parquet(folder)
     kinds = {"qid": questions.schema["qid"].dataType, "id": chunks.schema["id"].dataType, "page": chunks.schema["page"].dataType}
+    types = {n: to_arrow_type(t) for n, t in kinds.items()}
 
-    def tile(ask: pa.Table, have: pa.Table) -> pa.Table:
-        out = {n: [] for n in (*kinds, "score")}
-        if ask.num_rows and have.num_rows:
-            mq, mc = _matrix(ask.column("emb")), _matrix(have.column("emb"))
-            names = {n: (ask if n == "qid" else have).column(n).to_numpy(zero_copy_only=False) for n in kinds}
-            for s in range(0, len(mq), 256):
-                sims = np.round(mq[s : s + 256] @ mc.T, 12)
-                at, col = _best(sims, k)
-                out["qid"].append(names["qid"][s + at]), out["id"].append(names["id"][col]), out["page"].append(names["page"][col]), out["score"].append(sims[at, col])
-        return pa.table({n: pa.array(np.concatenate(v) if v else [], to_arrow_type(kinds[n]) if n in kinds else pa.float64()) for n, v in out.items()})
+    def run(batches):
+        for have in batches:
+            if have.num_rows:
+                mc, ids, pages = _matrix(have.column("emb")), have.column("id"), have.column("page")
+                for ask in stream_rows(folder, question_block):
+                    sims = np.round(_matrix(ask.column("emb")) @ mc.T, 12)
+                    at, col = (pa.array(x) for x in _best(sims, k))
+                    yield pa.record_batch([ask.column("qid").take(at).cast(types["qid"]), ids.take(col).cast(types["id"]), pages.take(col).cast(types["page"]), pa.array(sims[at.to_numpy(), col.to_numpy()])], ["qid", "id", "page", "score"])
 
     schema = ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
-    found = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInArrow(tile, schema)
+    found = chunks.filter("emb IS NOT NULL").select("id", "page", "emb").mapInArrow(run, schema)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return found.withColumn("marker", F.row_number().over(w)).filter(F.col("marker") <= k)
 

@@ -6,6 +6,7 @@ Pages are written by the tasks that hold them; the driver streams the index and
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -46,6 +47,23 @@ def write_wiki(tree: DataFrame, subs: DataFrame, folder: str, title: str = "", s
     return n
 
 
+def write_pages(pages: DataFrame, folder: str) -> int:
+    """Writes pages(slug, text) as files of a wiki's folder, in place of those of the same slugs; gives their number. A file is whole before it gets its name."""
+
+    def put(frames):
+        fs, top = file_system(folder)
+        fs.create_dir(f"{top}/pages", recursive=True)
+        for f in frames:
+            for slug, text in zip(f["slug"], f["text"], strict=True):
+                mine = f"{top}/pages/.{slug}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(mine, compression=None) as out:
+                    out.write(text.encode())
+                fs.move(mine, f"{top}/pages/{slug}.md")
+            yield pd.DataFrame({"n": [len(f)]})
+
+    return pages.select("slug", "text").mapInPandas(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """slug, title of a wiki's pages, in order: of wiki.json where there is one, else of the files, with the first heading as title."""
     fs, top = file_system(folder)

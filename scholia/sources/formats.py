@@ -8,8 +8,8 @@
 | scholia_questions | source, line, question, expected | .jsonl |
 
 How it scales. The driver lists the folder's own entries, no deeper, and reads no file: a subfolder is a partition of its own, which its task walks; files that lie in the folder itself are dealt to partitions in order of their names.
-``filesPerPartition`` (32) says how many. A task holds one file at a time and gives its rows out as they are parsed. Conditions on ``source`` (equal, in, begins, ends, contains) are pushed down, where the session has
-``spark.sql.python.filterPushdown.enabled``: files that they leave out aren't opened. ``maxSections`` caps the sections of a document.
+``filesPerPartition`` (32) says how many. A task holds one file at a time and gives its rows out as they are parsed. With ``pushdown=true`` conditions on ``source`` (equal, in, begins, ends, contains) reach the reader, and
+files that they leave out aren't opened. Such a table serves one query: Spark 4.1 keeps a loaded table's first conditions, also for a later query that has none, so load it anew for each. ``maxSections`` caps the sections of a document.
 
 Cases. Names that begin with a dot or an underscore are left out. An empty folder: no rows; a missing one: an error. Bytes that aren't UTF-8 are replaced. A file without sections has no rows. JSON that can't be read is an error that names the file;
 with ``mode=skip`` it is left out. Blank lines and lines that begin with # are no questions.
@@ -85,15 +85,6 @@ class FolderReader(DataSourceReader):
         self.skip_bad = source.options.get("mode") == "skip"
         self.rows, self.conditions = source.rows, []
 
-    def pushFilters(self, filters: list[Filter]):  # noqa: N802
-        for f in filters:
-            if getattr(f, "attribute", None) == ("source",) and type(f) in _PUSHED:
-                self.conditions.append(Condition(_PUSHED[type(f)], (f.value,)))
-            elif isinstance(f, In) and f.attribute == ("source",):
-                self.conditions.append(Condition("is", tuple(v for v in f.value if v is not None)))
-            else:
-                yield f
-
     def _taken(self, entry) -> bool:
         return entry.type == pafs.FileType.File and entry.base_name[0] not in "._" and entry.base_name.lower().endswith(self.suffixes)
 
@@ -136,6 +127,17 @@ class FolderReader(DataSourceReader):
                     raise ValueError(f"{source}: {e}") from e
 
 
+class PushedReader(FolderReader):
+    def pushFilters(self, filters: list[Filter]):  # noqa: N802
+        for f in filters:
+            if getattr(f, "attribute", None) == ("source",) and type(f) in _PUSHED:
+                self.conditions.append(Condition(_PUSHED[type(f)], (f.value,)))
+            elif isinstance(f, In) and f.attribute == ("source",):
+                self.conditions.append(Condition("is", tuple(v for v in f.value if v is not None)))
+            else:
+                yield f
+
+
 class FolderSource(DataSource):
     """One format; its subclasses say which files it takes and what rows a file's text gives."""
 
@@ -152,7 +154,7 @@ class FolderSource(DataSource):
     def reader(self, schema) -> FolderReader:
         if "path" not in self.options:
             raise ValueError(f"{self.name()} needs a folder to load")
-        return FolderReader(self)
+        return PushedReader(self) if self.options.get("pushdown") == "true" else FolderReader(self)
 
 
 class MarkdownSource(FolderSource):
@@ -197,7 +199,7 @@ class QuestionSource(FolderSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats known to a session, and lets conditions on files be pushed down to them."""
+    """Makes the formats known to a session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (MarkdownSource, HtmlSource, ParsedSource, QuestionSource):
         spark.dataSource.register(source)

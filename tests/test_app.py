@@ -8,10 +8,9 @@ import urllib.request
 
 import pytest
 
+from scholia.app import agent, service
 from scholia.app import project as projects
-from scholia.app import service
 from scholia.app.chat import ChatModel, HttpChat, Scripted, extraction_models
-from scholia.app.tools import Agent, StdioServer, WikiTools
 from scholia.operators.index import WordCounts
 
 WORDS = ["volume", "midi", "reverb"]
@@ -94,87 +93,104 @@ def test_http(wiki):
 
 
 def test_tools(wiki, folder):
-    t = wiki.tools
-    names = [s["function"]["name"] for s in t.schemas()]
-    assert names[:6] == ["search_wiki", "list_pages", "read_page", "edit_page", "append_section", "create_page"] and names[6:] == ["graph_neighbors", "find_path", "find_entity"]
-    slugs = [x.split(" — ")[0] for x in t.list_pages().split("\n")]
-    assert len(slugs) == 3 and t.dispatch("search_wiki", {"query": "midi", "k": 1}).startswith("[") and "is mentioned on" in t.dispatch("find_entity", {"name": "vol"})
-    assert t.dispatch("graph_neighbors", {"slug": slugs[0]}).startswith(f"Neighbors of {slugs[0]}") and "Path (" in t.dispatch("find_path", {"from_slug": slugs[0], "to_slug": slugs[2]})
-    assert "same page" in t.find_path(slugs[0], slugs[0]) and t.graph_neighbors("zz").startswith("ERROR") and t.find_path("zz", slugs[0]).startswith("ERROR") and t.find_entity("qq").startswith("No entity")
-    assert t.dispatch("none", {}).startswith("ERROR") and t.dispatch("read_page", {}).startswith("ERROR") and t.dispatch("read_page", {"slug": "../a"}).startswith("ERROR") and t.dispatch("read_page", {"slug": ".."}).startswith("ERROR")
-
-
-def test_edits(tmp_path):
-    t = WikiTools(tmp_path)
+    lib = wiki.librarian
+    assert [t["name"] for t in lib.listing()] == list(agent.PURPOSES)
+    (ok, listed), = lib.serve([("list_pages", {})])
+    slugs = [x["slug"] for x in json.loads(listed)]
+    assert ok and len(slugs) == 3 and slugs == sorted(slugs)
+    got = lib.serve([
+        ("search_wiki", {"query": "midi", "k": 1}), ("find_entity", {"name": "vol"}), ("graph_neighbors", {"slug": slugs[0]}), ("find_path", {"from_slug": slugs[0], "to_slug": slugs[2]}), ("find_path", {"from_slug": slugs[0], "to_slug": slugs[0]}),
+        ("graph_neighbors", {"slug": "zz"}), ("find_path", {"from_slug": "zz", "to_slug": slugs[0]}), ("find_entity", {"name": "qq"}), ("none", {}), ("read_page", {}), ("read_page", {"slug": "../a"}), ("list_pages", {"sheet": 9}), ("read_page", {"slug": slugs[1]}), ("search_wiki", {"query": "volume", "k": "x"}),
+    ])
+    assert [ok for ok, _ in got] == [True] * 5 + [False] * 7 + [True] * 2
+    hits = json.loads(got[0][1])
+    assert len(hits) == 1 and "midi" in hits[0]["excerpt"] and hits[0]["slug"] in slugs and len(json.loads(got[13][1])) == 3
+    assert {x["slug"] for x in json.loads(got[1][1])} <= set(slugs) and {x["name"] for x in json.loads(got[1][1])} == {"Volume"}
+    assert slugs[1] in {x["slug"] for x in json.loads(got[2][1])} and json.loads(got[3][1])["nodes"][0] == slugs[0] and json.loads(got[4][1]) == {"hops": 0, "nodes": [slugs[0]], "rels": []}
+    assert "no tool" in got[8][1] and got[9][1] == "read_page also takes: slug" and got[12][1].startswith("# ")
+
+
+def test_edits(spark, tmp_path):
+    lib = agent.Librarian(spark, tmp_path)
     (tmp_path / "pages").mkdir()
-    (tmp_path / "pages" / "a.md").write_text("# A\n\nx y x\n\n---\n\nnav\n")
-    assert t.edit_page("a", "y", "z").startswith("OK") and t.edit_page("a", "x", "q").startswith("ERROR") and t.edit_page("a", "no", "q").startswith("ERROR") and t.edit_page("b", "x", "q").startswith("ERROR")
-    assert t.append_section("a", "New", "body").startswith("OK") and t.read_page("a") == "# A\n\nx z x\n\n\n## New\n\nbody\n\n---\n\nnav\n"
-    assert t.create_page("b", "B", "text").startswith("OK") and t.read_page("b") == "# B\n\ntext\n" and t.create_page("b", "B", "x").startswith("ERROR") and t.dispatch("create_page", {"slug": "b/c", "title": "t", "body": "b"}).startswith("ERROR")
-    assert t.create_page("c", "C", "# Own\n\nx").startswith("OK") and t.read_page("c") == "# Own\n\nx\n" and len(t.edits) == 4
-    dry = WikiTools(tmp_path, dry_run=True)
-    assert dry.create_page("d", "D", "x").startswith("[dry-run]") and not (tmp_path / "pages" / "d.md").exists() and dry.edits == ["[dry-run] create_page(d)"]
-    assert [s["function"]["name"] for s in t.schemas()][-1] == "create_page" and t.search_wiki("x").startswith("Search needs") and t.graph_neighbors("a").startswith("This needs")
+    page = tmp_path / "pages" / "a.md"
+    page.write_text("# A\n\nx y x\n\n---\n\nnav\n")
+    change = lambda name, **args: lib.serve([(name, args)])[0][0]
+    assert change("edit_page", slug="a", old_text="y", new_text="z") and not change("edit_page", slug="a", old_text="x", new_text="q") and not change("edit_page", slug="a", old_text="no", new_text="q") and not change("edit_page", slug="b", old_text="x", new_text="q")
+    assert change("append_section", slug="a", heading="New", body="body") and page.read_text() == "# A\n\nx z x\n\n\n## New\n\nbody\n\n---\n\nnav\n"
+    assert change("create_page", slug="b", title="B", body="text") and (tmp_path / "pages" / "b.md").read_text() == "# B\n\ntext\n" and not change("create_page", slug="b", title="B", body="x") and not change("create_page", slug="b/c", title="t", body="b")
+    assert change("create_page", slug="c", title="C", body="# Own\n\nx") and lib.serve([("read_page", {"slug": "c"})])[0][1] == "# Own\n\nx\n" and lib.log == ["changed a", "changed a", "changed b", "changed c"]
+    both = lib.serve([("edit_page", {"slug": "c", "old_text": "x", "new_text": "y"}), ("append_section", {"slug": "c", "heading": "h", "body": "b"})])
+    assert [ok for ok, _ in both] == [True, False] and "another call" in both[1][1]
+    dry = agent.Librarian(spark, tmp_path, dry_run=True)
+    assert dry.serve([("create_page", {"slug": "d", "title": "D", "body": "x"})]) == [(True, "would have changed d")] and not (tmp_path / "pages" / "d.md").exists() and dry.log == ["would have changed d"]
+    assert [t["name"] for t in lib.listing()][-1] == "create_page" and not lib.serve([("search_wiki", {"query": "x"})])[0][0]
 
 
 def test_edits_reach_the_graph(spark, wiki, tmp_path):
     from scholia.operators.knowledge import Graph
 
     wiki.graph.save(str(tmp_path / "g"))
-    t = WikiTools(tmp_path, graph=Graph.load(spark, str(tmp_path / "g"), writable=True), embedder=WordCounts(WORDS))
-    t.create_page("new", "New", "reverb midi")
-    assert t.edits == ["create_page(new)", "graph: new"] and t.graph.neighborhood("new")["center"] == "new"
+    (tmp_path / "pages").mkdir()
+    lib = agent.Librarian(spark, tmp_path, graph=Graph.load(spark, str(tmp_path / "g"), writable=True), embedder=WordCounts(WORDS))
+    assert lib.serve([("create_page", {"slug": "new", "title": "New", "body": "reverb midi"})])[0][0]
+    assert lib.graph.neighborhood("new")["center"] == "new" and lib.graph.neighborhood("new")["nodes"][1]["rel"] == "similar"
 
 
-def test_agent(tmp_path):
-    t = WikiTools(tmp_path)
+def test_conversation(spark, tmp_path):
+    (tmp_path / "pages").mkdir()
+    lib = agent.Librarian(spark, tmp_path)
     chat = Scripted([{"tool_calls": [{"function": {"name": "create_page", "arguments": '{"slug": "p", "title": "P", "body": "x"}'}}, {"function": {"name": "read_page", "arguments": "not json"}}]}, {"content": "<think>a</think> done "}, {"content": "again"}])
-    agent = Agent(chat, t, "a manual")
-    turn = agent.send("make p")
-    assert turn.reply == "done" and [c[0] for c in turn.calls] == ["create_page", "read_page"] and turn.calls[1][2].startswith("ERROR") and (tmp_path / "pages" / "p.md").exists()
-    assert agent.send("more").reply == "again" and len(chat.asked[2]) == 7 and "a manual" in agent.messages[0]["content"]
-    loop = Agent(Scripted(lambda m: {"tool_calls": [{"function": {"name": "list_pages"}}]}), t, most_rounds=3)
-    assert loop.send("go").reply.startswith("(Stopped") and isinstance(chat, ChatModel)
+    history = [*agent.opening("a manual"), {"role": "user", "content": "make p"}]
+    *made, last = agent.converse(chat, lib, history)
+    assert last == {"reply": "done"} and [c["tool"] for c in made] == ["create_page", "read_page"] and [c["ok"] for c in made] == [True, False] and (tmp_path / "pages" / "p.md").exists()
+    history.append({"role": "user", "content": "more"})
+    assert list(agent.converse(chat, lib, history)) == [{"reply": "again"}] and len(chat.asked[2]) == 7 and "a manual" in history[0]["content"]
+    loop = Scripted(lambda m: {"tool_calls": [{"function": {"name": "list_pages"}}]})
+    assert list(agent.converse(loop, lib, [{"role": "user", "content": "go"}], 3))[-1] == {"reply": agent.GIVEN_UP.format(3)} and isinstance(chat, ChatModel)
     request = HttpChat("m", temperature=0.5, options={"seed": 1}).request([], [{}], {"temperature": 0})
     assert request["options"] == {"temperature": 0, "seed": 1} and request["tools"] == [{}] and extraction_models("m")[1].temperature == 0.6
 
 
-def test_stdio(wiki):
-    server = wiki.stdio()
-    ask = lambda method, number=1, **params: server.handle({"jsonrpc": "2.0", "id": number, "method": method, "params": params})
+def test_json_rpc(wiki):
+    methods = wiki.rpc()
+    ask = lambda method, **params: agent.rpc_reply(json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params}), methods)
     assert ask("initialize", protocolVersion="x")["result"]["protocolVersion"] == "x" and ask("ping")["result"] == {} and ask("nothing")["error"]["code"] == -32601
     assert [t["name"] for t in ask("tools/list")["result"]["tools"]] == ["wiki_ask", "wiki_search", "wiki_list_pages", "wiki_read_page", "wiki_graph_neighbors", "wiki_find_path", "wiki_find_entity"]
-    assert ask("tools/call", name="wiki_ask", arguments={"question": "midi"})["result"]["content"][0]["text"].startswith("Louder [1].")
-    assert ask("tools/call", name="zz")["result"]["isError"] and server.handle({"method": "notifications/initialized"}) is None and server.handle({"method": "zz"}) is None
+    assert ask("tools/call", name="wiki_ask", arguments={"question": "midi"})["result"]["content"][0]["text"].startswith("Louder [1].") and ask("tools/call", name="wiki_ask")["result"]["isError"]
+    assert ask("tools/call", name="zz")["result"]["isError"] and ask("tools/call", name="create_page")["result"]["isError"] and not ask("tools/call", name="wiki_list_pages")["result"]["isError"]
+    assert agent.rpc_reply('{"method": "notifications/initialized"}', methods) is None and agent.rpc_reply("[1]", methods) is None
     out = io.StringIO()
-    StdioServer("n", "1", [], lambda n, a: "").serve(io.StringIO('\nno json\n{"id": 1, "method": "ping"}\n'), out)
+    agent.rpc_serve({"ping": lambda p: {}}, io.StringIO('\nno json\n{"id": 1, "method": "ping"}\n'), out)
     assert json.loads(out.getvalue()) == {"jsonrpc": "2.0", "id": 1, "result": {}}
 
 
 def test_projects(tmp_path, monkeypatch):
-    p = projects.Project.create(tmp_path / "one", "One", models={"embed": "hash:64"}, sources=[{"type": "md", "path": "a.md"}, {"type": "web", "path": "http://x"}])
-    again = projects.Project.load(p.root)
-    assert again.name == "One" and again.sources() == [str(p.root / "a.md"), "http://x"] and again.out == p.root / "output"
-    again.add_source('q"uo.md', "md").set_entity_types(["Tool: a tool", "Part"])
-    assert projects.Project.load(p.root).section("graph")["entity_types"] == ["Tool: a tool", "Part"] and len(projects.Project.load(p.root).sources()) == 3
+    p = projects.new_project(tmp_path / "one", "One", models={"embed": "hash:64"}, sources=[{"type": "md", "path": "a.md"}, {"type": "web", "path": "http://x"}])
+    root = p[projects.ROOT]
+    again = projects.open_project(root)
+    assert projects.title_of(again) == "One" and projects.sources_of(again) == [str(root / "a.md"), "http://x"] and projects.output_of(again) == root / "output"
+    projects.with_entity_types(projects.with_source(again, 'q"uo.md', "md"), ["Tool: a tool", "Part"])
+    assert projects.open_project(root)["graph"]["entity_types"] == ["Tool: a tool", "Part"] and len(projects.sources_of(projects.open_project(root))) == 3
     with pytest.raises(FileExistsError):
-        projects.Project.create(p.root)
+        projects.new_project(root)
     with pytest.raises(FileNotFoundError):
-        projects.Project.load(tmp_path)
+        projects.open_project(tmp_path)
     (tmp_path / "one" / "deep").mkdir()
     monkeypatch.delenv(projects.VARIABLE, raising=False)
     monkeypatch.chdir(tmp_path / "one" / "deep")
-    assert projects.Project.resolve().name == "One"
-    two = projects.Project.create(tmp_path / "two")
-    monkeypatch.setenv(projects.VARIABLE, str(two.root))
-    assert projects.Project.resolve().name == "two" and projects.Project.resolve(p.root).name == "One"
+    name = lambda *a, **kw: projects.title_of(projects.current_project(*a, **kw))
+    assert name() == "One"
+    two = projects.new_project(tmp_path / "two")
+    monkeypatch.setenv(projects.VARIABLE, str(two[projects.ROOT]))
+    assert name() == "two" and name(root) == "One"
     monkeypatch.delenv(projects.VARIABLE)
     monkeypatch.chdir(tmp_path)
     registry = projects.Registry(tmp_path / "home" / "projects.toml")
-    assert projects.Project.resolve(registry=registry) is None
-    registry.add("my two", two.root).use("my two")
+    assert projects.current_project(registry=registry) is None
+    registry.add("my two", two[projects.ROOT]).use("my two")
     again = projects.Registry(registry.path)
-    assert again.active == "my two" and projects.Project.resolve(registry=again).name == "two"
+    assert again.active == "my two" and name(registry=again) == "two" and name("my two", registry=again) == "two"
     with pytest.raises(KeyError):
         again.use("none")
     assert again.remove("my two").active is None
@@ -184,7 +200,7 @@ def test_projects(tmp_path, monkeypatch):
     user = projects.UserConfig(tmp_path / "user.toml")
     of = lambda key, flag=None: projects.setting("models", key, "default", flag, p, user)
     assert (of("embed", "flag"), of("embed"), of("chat"), of("none")) == ("flag", "hash:64", "c", "default")
-    state = p.state().record("wiki", "f1", str(tmp_path), pages=3)
+    state = projects.state_of(p).record("wiki", "f1", str(tmp_path), pages=3)
     assert projects.BuildState(state.path).built == {"wiki": "f1"} and projects.signature([str(tmp_path / "none"), "http://x"]) == [None, "http://x"]
 
 

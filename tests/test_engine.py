@@ -7,7 +7,8 @@ from scholia.functions import ontology
 from scholia.functions import text as T
 from scholia.operators import edit, evaluate, graph, references, render, restructure, sample, vector
 from scholia.plans import build, catalog
-from scholia.sources import readers
+from scholia.sinks.versions import Store
+from scholia.sources import html, readers
 from scholia.streaming import upsert
 
 
@@ -71,8 +72,8 @@ def test_markdown_html(spark):
     docs = spark.createDataFrame([("a", "pre\n# Intro\nx\n```\n# no\n```\n## Sub\ny\n# Methods ##\n")], "source string, text string")
     got = [(r.level, r.title) for r in readers.markdown_sections(docs).orderBy("ord").collect()]
     assert got == [(1, None), (1, "Intro"), (2, "Sub"), (1, "Methods")]
-    html = "<head><title>t</title></head><nav>no</nav><p>pre</p><h1>A</h1><p>x</p><h2>B <i>c</i></h2>y<script>no</script><h1>D</h1>"
-    got = spark.createDataFrame([(html,)], "html string").select(F.inline(readers.html_sections()(F.col("html")))).collect()
+    page = "<head><title>t</title></head><nav>no</nav><p>pre</p><h1>A</h1><p>x</p><h2>B <i>c</i></h2>y<script>no</script><h1>D</h1>"
+    got = html.html_sections(spark.createDataFrame([(page,)], "html string")).orderBy("ord").collect()
     assert [(r.level, r.title) for r in got] == [(1, None), (1, "A"), (2, "B c"), (1, "D")] and "no" not in " ".join(r.text for r in got)
     assert [r.title for r in readers.markdown_sections(docs, max_pages=2).orderBy("ord").collect()] == [None, "Intro"]
 
@@ -89,13 +90,17 @@ HTML = {
     "<title>doc</title><h1>A</h1>": [(1, "A", "A")],
     "x &amp; y&nbsp;z": [(1, None, "x & y\xa0z")],
     "": [],
+    "<!-- <h1>no</h1> -->a<!DOCTYPE x><h1 class='a>b'>Q</h1>c<form>rest <h2>gone": [(1, None, "a"), (1, "Q", "Q\nc")],
+    "<script>var a = '<h1>x</h1>'; </scriptx> </script>z<script>never ends <h1>": [(1, None, "z")],
+    "a < b <h2>open <p>para": [(1, None, "a < b"), (2, "open para", "open\npara")],
+    "<H1>Big</H1 ><P/>t<style/>u": [(1, "Big", "Big\ntu")],
 }
 
 
 def test_html_rules(spark):
     df = spark.createDataFrame(list(enumerate(HTML)), "n int, html string")
     got = {n: [] for n in range(len(HTML))}
-    for r in df.select("n", F.inline(readers.html_sections()(F.col("html")))).orderBy("n", "ord").collect():
+    for r in html.html_sections(df).orderBy("n", "ord").collect():
         got[r.n].append((r.level, r.title, r.text))
     assert [got[n] for n in range(len(HTML))] == list(HTML.values())
 
@@ -158,11 +163,12 @@ def test_upsert_and_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "slug string, version int, text string")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    upsert.stream_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("slug", "version", "text").collect()) == [("a", 2, "y"), ("b", 1, "z")]
+    upsert.stream_latest(stream, f"file://{tmp_path}/out", str(tmp_path / "cp")).awaitTermination()
+    kept = lambda: sorted(tuple(r) for r in Store(spark, f"file://{tmp_path}/out").read("latest").select("slug", "version", "text").collect())
+    assert kept() == [("a", 2, "y"), ("b", 1, "z")]
     spark.createDataFrame([("a", 3, "w"), ("c", 1, "v"), ("b", 0, "old")], rows.schema).write.mode("append").parquet(str(tmp_path / "in"))
-    upsert.stream_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("slug", "version", "text").collect()) == [("a", 3, "w"), ("b", 1, "z"), ("c", 1, "v")]
+    upsert.stream_latest(stream, f"file://{tmp_path}/out", str(tmp_path / "cp")).awaitTermination()
+    assert kept() == [("a", 3, "w"), ("b", 1, "z"), ("c", 1, "v")]
     assert sorted((r.slug, r.version, r.revision) for r in upsert.running_versions(rows, "slug", "version").collect()) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 1)]
 
 

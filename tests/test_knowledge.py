@@ -1,6 +1,7 @@
 """From pages to index and graph, and what is asked of them; upserts; entities; evaluation."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -53,7 +54,7 @@ def test_top_k_and_its_approximation(spark):
     q = df.filter("id like '%00' or id like '%55'").select(F.col("id").alias("qid"), "emb")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     got = {}
-    for r in vector.top_k(q, df, 5, chunk_block=100, question_block=3).collect():
+    for r in vector.top_k(q, df.repartition(6), 5, question_block=3).collect():
         got.setdefault(r.qid, []).append((r.marker, r.id))
     for name, rows in got.items():
         score = np.round(u @ u[int(name[1:])], 12)
@@ -174,13 +175,23 @@ def test_merge_and_assembly(spark):
     assert (got.text, got.n_pages, [t.page_number for t in got.tables], got.images) == ("a1", 1, [1, 2], [])
 
 
+def named(reply, types):
+    """(name, type) pairs of a reply, in plain Python."""
+    span = re.search(r"\[.*\]", re.sub(r"(?s)<think>.*?</think>", "", reply or ""), re.DOTALL)
+    try:
+        items = json.loads(span[0]) if span else []
+    except ValueError:
+        items = []
+    return [(x["name"].strip(), x["type"]) for x in items if isinstance(x, dict) and isinstance(x.get("name"), str) and isinstance(x.get("type"), str) and x["type"] in types]
+
+
 def test_entities(spark, wiki):
     types = {"Part": "a piece", "Tool": ""}
     said = 'I found: [{"name": " Hüllkurve ", "type": "Part"}, {"name": "Die Hüllkurven", "type": "Part"}, {"name": 5, "type": "Part"}, {"name": "x", "type": "Part"}, 7, "t", {"name": "Axe", "type": "Weapon"}, {"name": "1234", "type": "Tool"}, {"type": "Tool"}] done'
     column = lambda t: spark.createDataFrame([(t,)], "t string").select(entities.reply_entities(F.col("t"), list(types)).alias("e")).first().e
     for text in (said, "none", "[1, 2", "<think>[1]</think> []", None, '[{"name": "A b", "type": "Tool"}]', "[] and ]"):
-        assert [(x.name, x.type) for x in column(text)] == entities.named(text, types), text
-    assert entities.named(said, types)[0] == ("Hüllkurve", "Part")
+        assert [(x.name, x.type) for x in column(text)] == named(text, types), text
+    assert named(said, types)[0] == ("Hüllkurve", "Part") and named('[{"name": "a", "type": ["Tool"]}, {"name": "b", "type": "Tool"}]', types) == [("b", "Tool")]
 
     class Model:
         def __init__(self, replies):
