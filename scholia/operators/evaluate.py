@@ -28,6 +28,18 @@ def report(results: DataFrame, k: int = 8) -> DataFrame:
     return r.agg(F.count("*").alias("n"), mean("rr").alias("mrr"), mean("hit").alias("hit_rate"), mean("rec").alias("recall"), F.coalesce(F.sum((F.col("hit") == 0).cast("long")), F.lit(0)).alias("misses"))
 
 
+def report_rows(items: DataFrame, expected: DataFrame, found: DataFrame, k: int = 8) -> DataFrame:
+    """As ``report``, where neither ranked nor expected pages of an item need fit into a list: items(qid), expected(qid, page), found(qid, page, rank from 1)."""
+    wanted = expected.select("qid", "page").distinct()
+    first = found.groupBy("qid", "page").agg(F.min("rank").alias("rank"))
+    met = wanted.join(first, ["qid", "page"], "left").groupBy("qid").agg(F.min("rank").alias("best"), F.count_if(F.col("rank") <= k).alias("hits"), F.count(F.lit(1)).alias("n"))
+    each = items.select("qid").distinct().join(met, "qid", "left").select(
+        F.coalesce(1.0 / F.col("best"), F.lit(0.0)).alias("rr"), (F.coalesce("hits", F.lit(0)) > 0).cast("double").alias("hit"), F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)).alias("rec")
+    )
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return each.agg(F.count(F.lit(1)).alias("n"), mean("rr").alias("mrr"), mean("hit").alias("hit_rate"), mean("rec").alias("recall"), F.coalesce(F.sum((F.col("hit") == 0).cast("long")), F.lit(0)).alias("misses"))
+
+
 def grounding(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """qid, cite_hit, expected_recall of answers(qid, text, expected) whose [n] marks name sources(qid, marker, page)."""
     from ..functions.text import citations

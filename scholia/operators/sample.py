@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import numbered
 from ..functions.text import strip
 
 
 def sample_corpus(texts: DataFrame, n: int = 40, budget: int = 6000, least: int = 120) -> DataFrame:
     """source, sample from texts(source, ord, text): about n texts of each source, evenly spread, cut to budget characters in all.
 
-    Places are told from keys alone; only the chosen texts are joined back. A source without text has no row.
+    Places are told from keys alone, in ranges; only the chosen texts are joined back. A source without text has no row.
     """
     usable = texts.filter(strip(F.col("text")) != "")
-    w = Window.partitionBy("source")
-    ranked = usable.select("source", "ord").withColumn("_k", F.row_number().over(w.orderBy("ord")) - 1).withColumn("_n", F.count("*").over(w))
+    w = Window.partitionBy("source")  # of chosen rows alone: n a source at most
+    keys = numbered(usable.select("source", "ord"), ["source"], ["ord"], "_r").withColumn("_k", F.col("_r") - 1)
+    sizes = keys.groupBy(F.col("source").alias("_source")).agg(F.max("_r").alias("_n"))
+    ranked = keys.join(sizes, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_r")
     step = F.greatest(F.lit(1), F.expr(f"_n div {n}"))
     chosen = ranked.filter((F.col("_k") % step == 0) & (F.col("_k") < step * n)).withColumn("_of", F.count("*").over(w))
     cut = chosen.join(usable, ["source", "ord"]).withColumn("t", F.left(strip(F.col("text")), F.greatest(F.lit(least), F.expr(f"{budget} div _of")).cast("int")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities, evaluate, graph, render, restructure, retrieve, vector
 from ..streaming import upsert
-from .catalog import _CENTROIDS, _CUTS, _DP, _EDGES, _NUM, _OL, _STRIP, _TREE, _UNIT, chunk_rows, cuts, edge_rows, numbered, outline, page_tree, pages, table
+from .catalog import _CENTROIDS, _DP, _EDGES, _NUM, _OL, _STRIP, _TREE, _UNIT, chunk_rows, cuts, edge_rows, numbered, outline, page_tree, pages, table
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import file_system
 from ..operators import restructure
 from . import html, readers
 
@@ -102,7 +103,7 @@ def code_documents(spark: SparkSession, root: str, max_pages: int | None = None,
 
 
 def pdf_documents(spark: SparkSession, path: str, max_pages: int | None = None, tables: bool = True, image_dir: str | None = None) -> Documents:
-    """Documents of PDF files, by PyMuPDF where it is installed; a table that can't be read is left out; an image is written once a document, at its first page."""
+    """Documents of PDF files, by PyMuPDF where it is installed; a table that can't be read is left out; an image is written once a document, at its first page, below image_dir: a folder that all executors see."""
     import importlib
 
     importlib.import_module("fitz")  # say here, not in a task, that it is missing
@@ -128,8 +129,9 @@ def pdf_documents(spark: SparkSession, path: str, max_pages: int | None = None,
                             seen.add(x[0])
                             image = doc.extract_image(x[0])
                             name = f"{image_dir}/{os.path.splitext(os.path.basename(source))[0]}-p{k + 1}-{x[0]}.{image['ext']}"
-                            os.makedirs(image_dir, exist_ok=True)
-                            with open(name, "wb") as out:
+                            fs, at = file_system(name)
+                            fs.create_dir(os.path.dirname(at), recursive=True)
+                            with fs.open_output_stream(at, compression=None) as out:
                                 out.write(image["image"])
                             images.append({"page_number": k + 1, "xref": x[0], "path": name, "width": image["width"], "height": image["height"], "ext": image["ext"]})
                     rows.append({"number": k + 1, "text": page.get_text(), "tables": found, "images": images})

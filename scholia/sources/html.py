@@ -121,5 +121,5 @@ class HtmlSections:
 def html_sections(pages: DataFrame, html_column: str = "html", max_pages: int | None = None) -> DataFrame:
     """pages' other columns with ord, level, title, text of each section; pages without sections, null ones among them, have no rows."""
     split = F.udtf(HtmlSections)
-    args = [F.col(html_column).outer(), *([F.lit(max_pages)] if max_pages is not None else [])]
-    return pages.lateralJoin(split(*args)).drop(html_column)
+    args = [F.col("_page").outer(), *([F.lit(max_pages)] if max_pages is not None else [])]
+    return pages.withColumnRenamed(html_column, "_page").lateralJoin(split(*args)).drop("_page")

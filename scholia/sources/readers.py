@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prefix
 from ..functions.tables import file_system, read_files
 from ..functions.text import strip
 
@@ -93,8 +94,7 @@ def code_files(spark: SparkSession, root: str, max_bytes: int = 500_000) -> Data
 
 def code_sections(files: DataFrame, name: str, max_pages: int | None = None) -> DataFrame:
     """source, ord, level, title, text of code_files: an overview that lists the files, then a page a file, code in a fence of four backticks. max_pages: with the overview."""
-    w = Window.orderBy("path")
-    numbered = files.select("path").withColumn("ord", F.row_number().over(w))  # paths alone: a listing, not the texts
+    numbered = prefix.numbered(files.select("path"), [], ["path"], "ord").withColumn("ord", F.col("ord").cast("int"))  # paths alone: a listing, not the texts
     if max_pages is not None:
         numbered = numbered.filter(F.col("ord") <= max(0, max_pages - 1))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: F.concat(F.lit("- `"), x["path"], F.lit("`"))), "\n")

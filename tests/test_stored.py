@@ -318,3 +318,17 @@ def test_ancestry(spark):
     assert {r.node for r in graph.descendants(edges, 5).collect()} == {i for i in range(200) if (i, 5) in want}
     start = time.time()
     assert graph.ancestry(tree.limit(0)).count() == 0 and time.time() - start < 60
+
+
+def test_reports_with_and_without_lists(spark):
+    from scholia.operators import evaluate
+
+    rng = random.Random(9)
+    items = [(q, rng.sample(range(30), rng.randrange(0, 25)), rng.choices(range(30), k=rng.randrange(0, 4))) for q in range(40)]
+    lists = spark.createDataFrame(items, "qid int, ranked array<int>, expected array<int>")
+    found = spark.createDataFrame([(q, p, i + 1) for q, ranked, _ in items for i, p in enumerate(ranked)], "qid int, page int, rank int")
+    expected = spark.createDataFrame([(q, p) for q, _, some in items for p in some], "qid int, page int")
+    one, two = evaluate.report(lists, 5).first(), evaluate.report_rows(lists.select("qid"), expected, found, 5).first()
+    assert (one.n, one.misses) == (two.n, two.misses) == (40, two.misses) and all(abs(one[c] - two[c]) < 1e-9 for c in ("mrr", "hit_rate", "recall"))
+    none = evaluate.report_rows(lists.select("qid").limit(0), expected, found, 5).first()
+    assert (none.n, none.mrr, none.misses) == (0, 0.0, 0)
