@@ -88,7 +88,9 @@ class Graph:
     def save(self, path: str) -> Graph:
         for name in ("pages", "chunks", "entities"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        self.edges.repartition("rel", F.pmod(F.xxhash64("src"), F.lit(16))).write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
+        # sorted by src in each file, with Bloom filters of both ends, so that a look-up of one page's edges opens few row groups
+        edges = self.edges.repartition("rel", F.pmod(F.xxhash64("src"), F.lit(16))).sortWithinPartitions("rel", "src").write.mode("overwrite").partitionBy("rel")
+        edges.option("parquet.bloom.filter.enabled#src", "true").option("parquet.bloom.filter.enabled#dst", "true").parquet(f"{path}/edges")
         return self.load(self.spark, path)
 
     @classmethod

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import markdown_table, strip
+from .graph import ancestry
 
 #: What rendered pages say.
 HOME, TRAIL, NAV = "[🏠 Home](../index.md)", " › ", " · "
@@ -19,15 +20,16 @@ def link(title: Column, slug: Column, folder: str = "") -> Column:
     return F.concat(F.lit("["), title, F.lit(f"]({folder}"), slug, F.lit(".md)"))
 
 
-def ancestors(pages: DataFrame, deepest: int = 6) -> DataFrame:
-    """pages with trail: (i, title, slug) of the pages above, root first. Levels are at most ``deepest``, so the joins are bounded."""
-    up = pages.select("source", F.col("i").alias("_up"), F.struct("i", "title", "slug").alias("_page"), F.col("parent").alias("_next"))
-    out = pages.withColumn("_up", F.col("parent")).withColumn("trail", F.lit(None).cast("array<struct<i:int,title:string,slug:string>>"))
-    for _ in range(deepest - 1):
-        one = F.when(F.col("_page").isNotNull(), F.array("_page"))
-        out = out.join(up, ["source", "_up"], "left").withColumn("trail", F.when(F.col("trail").isNull(), one).when(F.col("_page").isNull(), F.col("trail")).otherwise(F.concat(one, F.col("trail"))))
-        out = out.withColumn("_up", F.col("_next")).drop("_page", "_next")
-    return out.drop("_up").withColumn("trail", F.coalesce("trail", F.array().cast("array<struct<i:int,title:string,slug:string>>")))
+def ancestors(pages: DataFrame) -> DataFrame:
+    """pages with trail: (i, title, slug) of the pages above, root first: the tree's closure by a recursive query, then one join for their names."""
+    place = lambda i: F.struct(F.col("source").alias("source"), F.col(i).alias("i"))
+    up = ancestry(pages.filter("parent is not null").select(place("i").alias("node"), place("parent").alias("parent")))
+    above = pages.select(place("i").alias("ancestor"), "title", "slug")
+    named = up.join(above, "ancestor").select("node", F.struct((-F.col("depth")).alias("up"), F.col("ancestor.i").alias("i"), "title", "slug").alias("a"))
+    trails = named.groupBy("node").agg(F.array_sort(F.collect_list("a")).alias("_trail"))  # a page has few above it
+    trail = F.transform("_trail", lambda x: F.struct(x["i"].alias("i"), x["title"].alias("title"), x["slug"].alias("slug")))
+    out = pages.join(trails.select("node.source", "node.i", trail.alias("trail")), ["source", "i"], "left")
+    return out.select(*pages.columns, F.coalesce("trail", F.array().cast(f"array<struct<i:{dict(pages.dtypes)['i']},title:string,slug:string>>")).alias("trail"))
 
 
 def _some(when: Column, *parts) -> Column:
