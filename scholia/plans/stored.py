@@ -104,7 +104,7 @@ def _html_sql(key: str) -> str:
     for pattern, to in ((r"(?i)<h([1-6])(\s[^>]*)?>", "chr(1) || '\\1'"), (r"(?i)</h[1-6]\s*>", "chr(2) || chr(10)"), (rf"(?i)<({'|'.join(sorted(html.BLOCKS))})(\s[^>]*[^/>])?>", "chr(10)"), (r"(?i)<(br|hr)\s*/>", "chr(10)"), (r"<[/!?]?[A-Za-z][^>]*>", "''")):
         out = f"regexp_replace({out}, '{pattern}', {to}, 'g')"
     for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        out = f"replace({out}, '&{name};', '{char}')"
+        out = f"regexp_replace({out}, '&{name};?', '{char}', 'g')"
     tidy = lambda x: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[ \t\r\f\v]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
     return f"""WITH p AS (SELECT {key} AS page_id, string_split({out}, chr(1)) AS parts FROM pages), e AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p),
 s AS (SELECT page_id, i, CASE WHEN i = 1 THEN 1 ELSE CAST(left(part, 1) AS INT) END AS level, CASE WHEN i > 1 THEN nullif(trim(string_split(substr(part, 2), chr(2))[1], ' ' || chr(10)), '') END AS title, {tidy("replace(CASE WHEN i = 1 THEN part ELSE substr(part, 2) END, chr(2), '')")} AS text FROM e)
