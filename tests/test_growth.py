@@ -1,7 +1,9 @@
 """What grows faster than its input in a plain form: similar pages, shared entities, best chunks. Against brute force, on small blocks."""
 
+import collections
+
 import numpy as np
-from scholia.operators import vector
+from scholia.operators import graph, vector
 
 
 def test_similar_pages_of_a_root_with_many_children(spark):
@@ -24,3 +26,22 @@ def test_only_the_best_are_kept_whatever_is_equal():
     for s in range(0, 4000, 1000):
         vector._kept(best, other, np.ones((2, 1000)), np.arange(s, s + 1000))
     assert other.tolist() == [[0, 1, 2]] * 2 and best.tolist() == [[1, 1, 1]] * 2
+
+
+def test_most_shared_entities_of_hubs_in_runs_and_blocks(spark):
+    rng = np.random.default_rng(5)
+    said = {(f"s{p}", int(e)) for p in range(60) for e in rng.integers(0, 25, 6)} | {(f"s{p}", 99) for p in range(0, 60, 2)}
+    m = spark.createDataFrame([*said, *said, (None, 1), ("s1", None)], "page string, entity int")
+    have = collections.defaultdict(set)
+    for p, e in said:
+        have[p].add(e)
+    want = {}
+    for a in have:
+        n = sorted((-len(have[a] & have[b]), b) for b in have if b != a and have[a] & have[b])[:4]
+        want[a] = {(b, -x) for x, b in n}
+    got = collections.defaultdict(set)
+    for r in graph.top_shared(m, 4, weight=200, run=8).collect():
+        got[r.a].add((r.b, r.n))
+    assert got == want
+    some = graph.top_shared(m, 4, m.filter("page IN ('s3', 's4')").select("page"), weight=50, run=16).collect()
+    assert {(r.a, r.b, r.n) for r in some} == {(a, *x) for a in ("s3", "s4") for x in want[a]}
