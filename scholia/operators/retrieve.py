@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.tables import new_path, stream_rows, written
 from ..functions.text import strip_think
 from .graph import neighborhood
-from .vector import dot, top_k, unit
+from .vector import matrix, top_k
 
 #: Relations that lead from a seed to pages worth adding.
 EXPANDS = ("references", "referenced_by", "similar", "shared_entity")
@@ -31,10 +36,44 @@ def related_pages(found: DataFrame, near: DataFrame) -> DataFrame:
     return pages.join(leads, "page").select("qid", F.col("to").alias("page")).distinct().join(pages, ["qid", "page"], "left_anti")
 
 
-def best_of(questions: DataFrame, candidates: DataFrame, chunks: DataFrame) -> DataFrame:
-    """qid, page, id, score: the best chunk of each candidate page. Only chunks of candidates are scored."""
-    rows = candidates.join(chunks.select("page", "id", unit(F.col("emb")).alias("c")), "page").join(questions.select("qid", unit(F.col("emb")).alias("q")), "qid")
-    scored = rows.select("qid", "page", "id", F.round(dot(F.col("c"), F.col("q")), 12).alias("score"))
+def best_of(questions: DataFrame, candidates: DataFrame, chunks: DataFrame, question_block: int = 512) -> DataFrame:
+    """qid, page, id, score: the best chunk of each candidate page. Only chunks of candidates are scored.
+
+    Questions are written once to the shared folder, with their pages, and streamed past the chunks where these are read; a batch of chunks gives a row for a question and page, so neither a page of many chunks nor one of many questions is a task of its own.
+    """
+    folder = new_path(chunks.sparkSession, "candidates")
+    wide = lambda c: F.transform(c, lambda x: x.cast("double"))
+    candidates.groupBy("qid").agg(F.collect_set("page").alias("pages")).join(questions.filter("emb IS NOT NULL").select("qid", wide("emb").alias("emb")), "qid").write.parquet(folder)
+    pages = chunks.sparkSession.read.schema(f"pages array<{dict(chunks.dtypes)['page']}>").parquet(folder).select(F.explode("pages").alias("page")).distinct()
+    kinds = {"qid": questions.schema["qid"].dataType, "page": chunks.schema["page"].dataType, "id": chunks.schema["id"].dataType}
+    types = {n: to_arrow_type(t) for n, t in kinds.items()}
+
+    def run(batches):
+        for have in batches:
+            if not have.num_rows:
+                continue
+            have = have.sort_by([("page", "ascending"), ("id", "ascending")])
+            known = have.column("page").dictionary_encode()
+            code = known.indices.to_numpy()
+            start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            ends, m, ids = np.r_[start[1:], len(code)], matrix(have.column("emb")), have.column("id")
+            for ask in stream_rows(folder, question_block):
+                lists = ask.column("pages")
+                at = pc.index_in(lists.flatten().cast(types["page"]), value_set=known.dictionary).fill_null(-1).to_numpy()
+                who = np.repeat(np.arange(len(ask)), lists.value_lengths().to_numpy())[at >= 0]
+                at = at[at >= 0]
+                order = np.argsort(at, kind="stable")
+                who, at = who[order], at[order]
+                q, col, score = matrix(ask.column("emb")), np.zeros(len(at), np.int64), np.zeros(len(at))
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+                for s, e in zip(first, np.r_[first[1:], len(at)], strict=True):
+                    sims = np.round(q[who[s:e]] @ m[start[at[s]] : ends[at[s]]].T, 12)
+                    best = sims.argmax(1)  # the first of equal ones: the smallest id
+                    col[s:e], score[s:e] = start[at[s]] + best, sims[np.arange(e - s), best]
+                yield pa.record_batch([ask.column("qid").take(pa.array(who)).cast(types["qid"]), known.dictionary.take(pa.array(at)).cast(types["page"]), ids.take(pa.array(col)).cast(types["id"]), pa.array(score)], ["qid", "page", "id", "score"])
+
+    rows = chunks.filter("emb IS NOT NULL").select("page", "id", "emb").join(pages, "page", "left_semi")
+    scored = rows.mapInArrow(run, ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double")
     best = scored.groupBy("qid", "page").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id").alias("o"))).alias("b"))
     return best.select("qid", "page", F.col("b.o").alias("id"), (-F.col("b.s")).alias("score"))
 
@@ -49,7 +88,7 @@ def expand(questions: DataFrame, found: DataFrame, chunks: DataFrame, near: Data
 
 def graph_rag(questions: DataFrame, chunks: DataFrame, edges: DataFrame, mentions: DataFrame, top_k: int = 5, expand_k: int = 3) -> DataFrame:
     """qid, id, page, score, marker, kind: seeds, then related pages' chunks."""
-    found = seeds(questions, chunks, top_k)
+    found = written(seeds(questions, chunks, top_k), "seeds")  # read by all that follows
     out = found.select("qid", "id", "page", "score", "marker", F.lit("seed").alias("kind"))
     if expand_k <= 0:
         return out

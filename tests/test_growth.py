@@ -3,7 +3,9 @@
 import collections
 
 import numpy as np
-from scholia.operators import graph, vector
+from pyspark.sql import functions as F
+
+from scholia.operators import graph, retrieve, vector
 
 
 def test_similar_pages_of_a_root_with_many_children(spark):
@@ -45,3 +47,19 @@ def test_most_shared_entities_of_hubs_in_runs_and_blocks(spark):
     assert got == want
     some = graph.top_shared(m, 4, m.filter("page IN ('s3', 's4')").select("page"), weight=50, run=16).collect()
     assert {(r.a, r.b, r.n) for r in some} == {(a, *x) for a in ("s3", "s4") for x in want[a]}
+
+
+def test_best_chunks_of_pages_with_many_chunks(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((300, 5)).round(1)
+    chunks = spark.createDataFrame([(f"p{i % 3}", i, x.tolist()) for i, x in enumerate(v)], "page string, id long, emb array<float>").repartition(3)
+    asked = chunks.filter("id < 40").select(F.col("id").alias("qid"), "emb")
+    wanted = asked.select("qid", F.concat(F.lit("p"), (F.col("qid") % 3).cast("string")).alias("page")).unionByName(asked.filter("qid % 2 = 0").select("qid", F.lit("p1").alias("page"))).distinct()
+    got = {(r.qid, r.page): (r.id, r.score) for r in retrieve.best_of(asked, wanted, chunks, 7).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert len(got) == wanted.count()
+    for (q, p), (i, score) in got.items():
+        s = np.round(u[q] @ u.T, 6)
+        assert (s[i], p) == (max(s[j] for j in range(300) if f"p{j % 3}" == p), f"p{i % 3}") and abs(score - s[i]) < 1e-5
+    plan = retrieve.best_of(asked, wanted, chunks)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan  # blocks of chunks, not a row for each question and chunk
