@@ -42,10 +42,12 @@ def page_markdown(pages: DataFrame, subs: DataFrame) -> DataFrame:
     """source, i, slug, markdown of each page; subs(source, i, sub_ord, sub_title, sub_level). Columns tables and images are rendered where there are such."""
     w = Window.partitionBy("source").orderBy("i")
     near = F.struct("title", "slug")
-    out = ancestors(pages).withColumn("_before", F.lag(near).over(w)).withColumn("_after", F.lead(near).over(w))
-    below = pages.filter("parent is not null").select("source", F.col("parent").alias("_of"), F.struct("i", "title", "slug").alias("_c")).groupBy("source", "_of").agg(F.array_sort(F.collect_list("_c")).alias("_children"))
+    heavy = [c for c in ("text", "tables", "images") if c in pages.columns]  # these meet the rest in the last join alone
+    slim = pages.drop(*heavy)
+    out = ancestors(slim).withColumn("_before", F.lag(near).over(w)).withColumn("_after", F.lead(near).over(w))
+    below = slim.filter("parent is not null").select("source", F.col("parent").alias("_of"), F.struct("i", "title", "slug").alias("_c")).groupBy("source", "_of").agg(F.array_sort(F.collect_list("_c")).alias("_children"))
     listed = subs.select("source", "i", F.struct("sub_ord", "sub_title", "sub_level").alias("_s")).groupBy("source", "i").agg(F.array_sort(F.collect_list("_s")).alias("_subs"))
-    out = out.join(below.withColumnRenamed("_of", "i"), ["source", "i"], "left").join(listed, ["source", "i"], "left")
+    out = out.join(below.withColumnRenamed("_of", "i"), ["source", "i"], "left").join(listed, ["source", "i"], "left").join(pages.select("source", "i", *heavy), ["source", "i"])
     trail = F.array_join(F.concat(F.array(F.lit(HOME)), F.transform("trail", lambda x: link(x["title"], x["slug"])), F.array("title")), TRAIL)
     sub = lambda s: F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), s["sub_level"] - F.col("level") - 1)), F.lit("- "), s["sub_title"])
     before = F.when(F.col("_before").isNotNull(), F.concat(F.lit("← "), link(F.col("_before.title"), F.col("_before.slug"))))

@@ -63,3 +63,13 @@ def test_best_chunks_of_pages_with_many_chunks(spark):
         assert (s[i], p) == (max(s[j] for j in range(300) if f"p{j % 3}" == p), f"p{i % 3}") and abs(score - s[i]) < 1e-5
     plan = retrieve.best_of(asked, wanted, chunks)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan  # blocks of chunks, not a row for each question and chunk
+
+
+def test_no_text_is_shuffled_for_titles(spark, tmp_path):
+    from scholia.plans import catalog
+
+    spark.createDataFrame([(i, f"Title {i}\nbody", "s") for i in range(6)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.outline(spark, str(tmp_path))
+    assert [r.title for r in out.orderBy("ord").collect()] == ["Title 0", "Title 1", "Title 3", "Title 4"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("split_part(") if "split_part(" in plan else plan.index("Join") < plan.index("element_at(")
