@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,19 +119,23 @@ def html_sections(spark, sf_dir):
 
 @query(_html_sql("page_id"))
 def html_folder(spark, sf_dir):
-    """The same from files: all pages are written to a folder, a subfolder a hash, and read as a data source."""
+    """The same from files: all pages are written to a folder, a subfolder a hash, and read as a data source. A subfolder has some 2,000 pages at most; where pages are written one is a Python string at a time."""
     folder = new_folder(spark, "pages")
     formats.register(spark)
+    some = table(spark, sf_dir, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("html"))
+    folders = max(16, -(-some.count() // 2000))
 
-    def put(frames):
-        for f in frames:
+    def put(batches):
+        for batch in batches:
             fs, top = file_system(folder)
-            for page, content in zip(f["page_id"], f["html"], strict=True):
-                fs.create_dir(f"{top}/{page % 16}", recursive=True)
-                with fs.open_output_stream(f"{top}/{page % 16}/{page}.html", compression=None) as out:
-                    out.write((content or "").encode())
-            yield pd.DataFrame({"n": [len(f)]})
-
-    written(table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(put, "n long"), "files")
+            pages = batch.column("page_id").to_pylist()
+            for to in {page % folders for page in pages}:
+                fs.create_dir(f"{top}/{to}", recursive=True)
+            for page, content in zip(pages, batch.column("html"), strict=True):
+                with fs.open_output_stream(f"{top}/{page % folders}/{page}.html", compression=None) as out:
+                    out.write(content.as_buffer())
+            yield pa.record_batch([pa.array([len(pages)], pa.int64())], ["n"])
+
+    written(some.mapInArrow(put, "n long"), "files")
     rows = spark.read.format("scholia_html").load(folder)
     return rows.select(F.regexp_extract("source", r"(\d+)\.html$", 1).cast("long").alias("page_id"), "ord", "level", "title", "text")
