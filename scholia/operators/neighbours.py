@@ -88,8 +88,10 @@ class Layers:
 
     # Inserts
 
-    def _diverse(self, base: np.ndarray, rows: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
-        """Of candidates, best first, those that are nearer to the base than to any taken before; then the best of the others."""
+    def _diverse(self, rows: np.ndarray, score: np.ndarray, most: int, some: int = 512) -> np.ndarray:
+        """Of candidates, best first, those that are nearer to the base than to any taken before; then the best of the others. ``some`` bases at a time, as their candidates' products with each other take the memory."""
+        if len(rows) > some:
+            return np.concatenate([self._diverse(rows[s : s + some], score[s : s + some], most) for s in range(0, len(rows), some)])
         there = score > -np.inf
         v = self.vectors[np.where(there, rows, 0)]
         between = np.einsum("bid,bjd->bij", v, v)
@@ -113,7 +115,7 @@ class Layers:
         score = np.concatenate([np.where(found >= 0, score, -np.inf), own], 1)
         keep = np.argsort(-score, axis=1, kind="stable")[:, : max(self.ef, most)]
         line = np.arange(len(new))[:, None]
-        self.links[layer][new] = self._diverse(self.vectors[new], rows[line, keep], score[line, keep], most)
+        self.links[layer][new] = self._diverse(rows[line, keep], score[line, keep], most)
         to, source = self.links[layer][new].ravel(), np.repeat(new, most)
         to, source = to[to >= 0].astype(np.int64), source[to >= 0]
         if not len(to):
@@ -133,7 +135,7 @@ class Layers:
         score = np.where(both >= 0, np.einsum("bd,bjd->bj", self.vectors[base], self.vectors[np.maximum(both, 0)]), -np.inf)
         keep = np.argsort(-score, axis=1, kind="stable")
         line = np.arange(len(base))[:, None]
-        self.links[layer][base] = self._diverse(self.vectors[base], both[line, keep], score[line, keep], most)
+        self.links[layer][base] = self._diverse(both[line, keep], score[line, keep], most)
 
     def insert(self, vectors: np.ndarray, levels: np.ndarray, batch: int = 512) -> None:
         """Adds unit vectors as the next rows."""
@@ -301,6 +303,7 @@ class NeighbourIndex:
                         to, row, score = shard.nearest(asked, k, beam)
                         yield pa.record_batch([some.column("qid").take(pa.array(to)).cast(types["qid"]), pa.array(ids[row].tolist(), types["id"]), pa.array(score)], ["qid", "id", "score"])
 
-        found = self.store.read("shards", version).select("data").mapInArrow(run, f"qid {qid.simpleString()}, id {s['id']}, score double")
+        # a partition has few shards, however many there are: an Arrow batch holds all rows of its partition
+        found = self.store.read("shards", version).repartition(s["shards"], "shard").select("data").mapInArrow(run, f"qid {qid.simpleString()}, id {s['id']}, score double")
         w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

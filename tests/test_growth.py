@@ -73,3 +73,20 @@ def test_no_text_is_shuffled_for_titles(spark, tmp_path):
     assert [r.title for r in out.orderBy("ord").collect()] == ["Title 0", "Title 1", "Title 3", "Title 4"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("split_part(") if "split_part(" in plan else plan.index("Join") < plan.index("element_at(")
+
+
+def test_links_are_chosen_in_parts_as_in_one():
+    import tracemalloc
+
+    from scholia.operators.neighbours import Layers
+
+    rng = np.random.default_rng(1)
+    g = Layers(8)
+    g.vectors = rng.standard_normal((500, 8)).astype(np.float32)
+    rows = rng.integers(0, 500, (4000, 24))
+    score = -np.sort(-rng.random((4000, 24)).astype(np.float32), axis=1)
+    assert (g._diverse(rows, score, 12, 64) == g._diverse(rows, score, 12, 5000)).all()
+    tracemalloc.start()
+    g._diverse(rows, score, 12)
+    assert tracemalloc.get_traced_memory()[1] < 12 << 20
+    tracemalloc.stop()
