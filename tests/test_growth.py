@@ -90,3 +90,44 @@ def test_links_are_chosen_in_parts_as_in_one():
     g._diverse(rows, score, 12)
     assert tracemalloc.get_traced_memory()[1] < 12 << 20
     tracemalloc.stop()
+
+
+def test_texts_do_not_go_to_their_parents(spark, tmp_path):
+    from scholia.plans import catalog
+
+    rows = [(i, f"Title {i}\nbody Kernel {i} " + "x" * 50, "s" if i % 2 else "t") for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalog.Build(spark, str(tmp_path))
+    assert made.entities.select("name").collect() == [("Kernel",)]
+    assert set(vars(made)) == {"spark", "sf_dir", "numbered", "tree", "wiki", "found", "entities"}  # no chunks, vectors or references for entities
+    assert "text" not in made.tree.columns and [r.slug[:5] for r in made.tree.filter("i = 0").orderBy("slug").collect()] == ["s/000", "t/000"]
+    whole = restructure_plainly(spark, str(tmp_path))
+    assert sorted(made.wiki.collect()) == sorted(whole.collect())
+
+
+def restructure_plainly(spark, folder):
+    from scholia.operators import knowledge
+    from scholia.plans import catalog
+
+    return knowledge.wiki_pages(catalog.page_tree(spark, folder), many=True)
+
+
+def test_ends_of_every_white_space_are_cut(spark):
+    from scholia.functions import text as T
+
+    odd = [chr(c) for c in range(1, 0x3100)]
+    df = spark.createDataFrame([(f"{c}{c} a{c}b {c}", c) for c in odd] + [(c * 3, c) for c in odd] + [("", ""), (None, "")], "t string, c string")
+    got = df.select("t", T.strip(F.col("t")).alias("s"), F.regexp_replace("t", rf"\A{T.SPACE}|{T.SPACE}\z", "").alias("r")).collect()
+    assert [r.t for r in got if r.s != r.r] == []
+
+
+def test_a_reply_is_read_once_and_texts_stay_where_they_are(spark):
+    from scholia.operators import entities
+    from scholia.plans.catalog import Capitalised
+
+    pages = spark.createDataFrame([("a", 0, "T", "Kernel Driver"), ("b", 1, "U", "Kernel"), ("c", 2, "V", " ")], "slug string, i int, title string, text string")
+    assert entities.replies(entities.page_prompts(pages), Capitalised(), {"Feature": ""}).columns == ["slug", "ord", "reply"]
+    kept = []
+    things, mentions = entities.extract(pages, Capitalised(), ["Feature"], keep=lambda df: kept.append(df.columns) or df)
+    assert kept == [["slug", "ord", "at", "key", "name", "type"]]
+    assert sorted(r.name for r in things.collect()) == ["Driver", "Kernel"] and mentions.count() == 3
