@@ -92,6 +92,25 @@ def test_links_are_chosen_in_parts_as_in_one():
     tracemalloc.stop()
 
 
+def test_similar_pages_in_few_files_of_rows(spark):
+    import pyarrow.dataset as ds
+
+    from scholia.functions.tables import file_system
+
+    rng = np.random.default_rng(4)
+    v = rng.random((300, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, emb array<double>").repartition(16)
+    read, stream = [], vector.new_path
+    vector.new_path = lambda *a: read.append(stream(*a)) or read[-1]
+    try:
+        one = vector.similar(df, 3, block=64).collect()
+        many = vector.similar(df, 3, block=64, a_file=20).collect()
+    finally:
+        vector.new_path = stream
+    files = [len(ds.dataset(file_system(p)[1], format="parquet").files) for p in read]
+    assert files[0] == 1 and files[1] > 8 and sorted(one) == sorted(many) and len(one) == 900
+
+
 def test_texts_do_not_go_to_their_parents(spark, tmp_path):
     from scholia.plans import catalog
 
