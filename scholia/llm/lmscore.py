@@ -59,24 +59,32 @@ class WindowNet:
         self.word_bias[:] = np.log(p / p.sum(1, keepdims=True))
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.bias + self.near[0][around[0]]
+        h = self.near[0].take(around[0], 0)
+        h += self.bias
         for k in range(1, len(OFFSETS)):
-            h += self.near[k][around[k]]
+            h += self.near[k].take(around[k], 0)
         return np.tanh(h, out=h)
 
+    def logits(self, h: np.ndarray, cuts: list[int], out: np.ndarray) -> None:
+        """Of words within their classes, a column for each position; h: hidden values with a 1 behind, in order of their classes."""
+        both = np.concatenate([self.by_word, self.word_bias[:, :, None]], 2)
+        for k in range(self.classes):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                np.matmul(both[k], h[a:b].T, out=out[:, a:b])
+
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target | around) of each position; around: (positions, words). Ids may hold counts, as Vocabulary.ids gives them."""
         n = self.classes * self.classes
         count, target = (target - 1) // n, (target - 1) % n + 1
-        h = self.hidden(np.where(around > n, (around - 1) % n + 1, around))
+        h = self.hidden(np.where(around > n, (around - 1) % n + 1, around) if around.max(initial=0) > n else around)
         c, w = np.divmod(target - 1, self.classes)
         order = np.argsort(c.astype(np.uint16), kind="stable")
-        h, w_in, cuts = h[order], w[order], np.searchsorted(c[order], np.arange(self.classes + 1)).tolist()
-        p = _picked(self.by_class @ h.T + self.class_bias[:, None], c[order])
-        for k in range(self.classes):
-            a, b = cuts[k], cuts[k + 1]
-            if a < b:
-                p[a:b] += _picked(self.by_word[k] @ h[a:b].T + self.word_bias[k][:, None], w_in[a:b])
+        h, c, w = _with_one(h, order), c[order], w[order]
+        z = np.c_[self.by_class, self.class_bias] @ h.T
+        p = _picked(z, c)
+        self.logits(h, np.searchsorted(c, np.arange(self.classes + 1)).tolist(), z)
+        p += _picked(z, w)
         out = np.empty(len(p), p.dtype)
         out[order] = p
         held = count > 0
@@ -93,32 +101,37 @@ class WindowNet:
         n = len(target)
         c, w = np.divmod(target - 1, self.classes)
         order = np.argsort(c.astype(np.uint16), kind="stable")
-        around, c, w = around[:, order], c[order], w[order]
+        around, c, w, at = around.take(order, 1), c[order], w[order], np.arange(n)
         cuts = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
-        h = self.hidden(around)
-        g = _softmax(self.by_class @ h.T + self.class_bias[:, None])
-        g[c, np.arange(n)] -= 1
-        dh = g.T @ self.by_class
-        _step(self.by_class, memory[2], g @ h, rate)
-        _step(self.class_bias, memory[3], g.sum(1), rate)
+        h = _with_one(self.hidden(around))
+        z = np.c_[self.by_class, self.class_bias] @ h.T
+        g = _softmax(z)
+        g[c, at] -= 1
+        dh, upper = g.T @ self.by_class, g @ h
+        self.logits(h, cuts, z)
+        g = _softmax(z)
+        g[w, at] -= 1
+        lower = np.zeros((self.classes, self.classes, h.shape[1]), h.dtype)
         for k in range(self.classes):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
-                mine = h[a:b]
-                g = _softmax(self.by_word[k] @ mine.T + self.word_bias[k][:, None])
-                g[w[a:b], np.arange(b - a)] -= 1
-                dh[a:b] += g.T @ self.by_word[k]
-                _step(self.by_word[k], memory[4][k], g @ mine, rate)
-                _step(self.word_bias[k], memory[5][k], g.sum(1), rate)
+                mine = g[:, a:b]
+                dh[a:b] += mine.T @ self.by_word[k]
+                np.matmul(mine, h[a:b], out=lower[k])
+        for value, kept, grad in ((self.by_class, memory[2], upper[:, :-1]), (self.class_bias, memory[3], upper[:, -1]), (self.by_word, memory[4], lower[:, :, :-1]), (self.word_bias, memory[5], lower[:, :, -1])):
+            _step(value, kept, grad, rate)
+        h = h[:, :-1]
         dh *= 1 - h * h
         _step(self.bias, memory[1], dh.sum(0), rate)
         for k in range(len(OFFSETS)):
             at = np.argsort(around[k].astype(np.uint16), kind="stable")  # ids are at most classes squared
             ids = around[k][at]
             first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            grad, rows = np.add.reduceat(dh[at], first, axis=0), ids[first]
-            memory[0][k][rows] += grad * grad
-            self.near[k][rows] -= rate * grad / np.sqrt(memory[0][k][rows])
+            grad, rows = np.add.reduceat(dh.take(at, 0), first, axis=0), ids[first]
+            squares = memory[0][k].take(rows, 0)
+            squares += grad * grad
+            memory[0][k][rows] = squares
+            self.near[k][rows] -= rate * grad / np.sqrt(squares)
 
 
 def _step(value: np.ndarray, memory: np.ndarray, grad: np.ndarray, rate: float) -> None:
@@ -126,20 +139,37 @@ def _step(value: np.ndarray, memory: np.ndarray, grad: np.ndarray, rate: float)
     value -= rate * grad / np.sqrt(memory)
 
 
+def _with_one(h: np.ndarray, order: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Rows of h in order, with a 1 behind each: biases are weights then."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h[order]
+    return out
+
+
+#: Columns of a softmax taken at a time, so that they stay in a core's cache.
+COLUMNS = 1024
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of each column: reductions over rows go along the memory."""
-    z -= z.max(0)
-    np.exp(z, out=z)
-    z /= z.sum(0)
+    """Of each column, in place: reductions over rows go along the memory."""
+    for s in range(0, z.shape[1], COLUMNS):
+        x = z[:, s : s + COLUMNS]
+        x -= x.max(0)
+        np.exp(x, out=x)
+        x *= 1 / x.sum(0)
     return z
 
 
 def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax at one row of each column."""
-    z -= z.max(0)
-    mine = z[at, np.arange(z.shape[1])]
-    np.exp(z, out=z)
-    return mine - np.log(z.sum(0))
+    """log softmax at one row of each column; z is lost."""
+    out = np.empty(z.shape[1], z.dtype)
+    for s in range(0, len(out), COLUMNS):
+        x = z[:, s : s + COLUMNS]
+        x -= x.max(0)
+        mine = x[at[s : s + COLUMNS], np.arange(x.shape[1])]
+        np.exp(x, out=x)
+        out[s : s + COLUMNS] = mine - np.log(x.sum(0))
+    return out
 
 
 class Vocabulary:
@@ -173,7 +203,7 @@ class Vocabulary:
 def _windows(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Neighbours (positions, words) of each word within its text, 0 outside."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = np.zeros((len(OFFSETS), len(ids)), np.int64)
+    out = np.zeros((len(OFFSETS), len(ids)), ids.dtype)
     for k, o in enumerate(OFFSETS):
         if abs(o) < len(ids):
             a, b = (slice(0, -o), slice(o, None)) if o > 0 else (slice(-o, None), slice(0, o))
@@ -217,7 +247,7 @@ def _train(batches, net: bytes, vocab: Vocabulary, rate: float, batch_words: int
             _, _, h, first = words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if not len(h):
                 continue
-            ids = vocab.plain(h)
+            ids = vocab.plain(h).astype(np.int32)
             held.append((_windows(ids, first), ids))
             kept += len(ids)
             if kept >= batch_words * 8:
@@ -234,7 +264,7 @@ def _descend(model, memory, held, rng, rate, batch_words) -> int:
     order = rng.permutation(len(target))
     for s in range(0, len(order), batch_words):
         at = order[s : s + batch_words]
-        model.train(around[:, at], target[at], memory, rate)
+        model.train(around.take(at, 1), target.take(at), memory, rate)
     return len(target)
 
 

@@ -79,3 +79,28 @@ def test_null_ids_and_long_texts(spark):
     assert len(same) == 1
     whole = next(r.log_probability for r in rows if r.doc_id == 3)
     assert -200_000 * np.log(51) < whole < 0
+
+
+def test_a_step_takes_each_softmax_at_once():
+    import numpy as np
+
+    from scholia.llm import lmscore
+
+    rng = np.random.default_rng(2)
+    net = lmscore.WindowNet(classes=8, width=4)
+    net.by_word += rng.standard_normal(net.by_word.shape).astype(np.float32)
+    net.word_bias += rng.standard_normal(net.word_bias.shape).astype(np.float32)
+    around, target = rng.integers(0, 65, (4, 3000)).astype(np.int32), rng.integers(1, 65, 3000).astype(np.int32)
+    target[target > 56] = 3  # a class without words, and more positions than a softmax takes at a time
+    c, w = np.divmod(target - 1, 8)
+    h = np.tanh(net.bias + sum(net.near[k][around[k]] for k in range(4))).astype(float)
+    log = lambda z: z - np.log(np.exp(z).sum(1, keepdims=True))
+    want = log(h @ net.by_class.T + net.class_bias)[np.arange(3000), c] + log(np.einsum("nd,nwd->nw", h, net.by_word[c]) + net.word_bias[c])[np.arange(3000), w]
+    assert np.abs(net.log_probabilities(around, target) - want).max() < 1e-4
+    calls, plain = [], lmscore._softmax
+    lmscore._softmax = lambda z: calls.append(z.shape) or plain(z)
+    try:
+        net.train(around, target, [np.full(x.shape, 1.0, np.float32) for x in net.parts()], 0.1)
+    finally:
+        lmscore._softmax = plain
+    assert calls == [(8, 3000)] * 2  # not one for each class
