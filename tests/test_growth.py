@@ -150,3 +150,28 @@ def test_a_reply_is_read_once_and_texts_stay_where_they_are(spark):
     things, mentions = entities.extract(pages, Capitalised(), ["Feature"], keep=lambda df: kept.append(df.columns) or df)
     assert kept == [["slug", "ord", "at", "key", "name", "type"]]
     assert sorted(r.name for r in things.collect()) == ["Driver", "Kernel"] and mentions.count() == 3
+
+
+def test_lists_of_pages_are_written_once_whatever_the_blocks(spark):
+    rng = np.random.default_rng(8)
+    said = {(f"p{p:03d}", int(e)) for p in range(300) for e in rng.integers(0, 400, 5)} | {(f"p{p:03d}", 999) for p in range(40, 300, 3)}
+    m = spark.createDataFrame(sorted(said), "page string, entity int")
+    have, of = collections.defaultdict(set), collections.defaultdict(set)
+    for p, e in said:
+        have[p].add(e)
+        of[e].add(p)
+    want = {(a, b, -x) for a in have for x, b in sorted((-len(have[a] & have[b]), b) for b in have if b != a and have[a] & have[b])[:3]}
+    folders, path = [], graph.new_path
+    graph.new_path = lambda *a: folders.append(path(*a)) or folders[-1]
+    try:
+        few, many = graph.top_shared(m, 3, run=64), graph.top_shared(m, 3, weight=300, run=64)
+        some = graph.top_shared(m, 3, m.filter("entity = 999 AND page < 'p100'").select("page"), weight=100, run=16)
+        assert {tuple(r) for r in few.collect()} == want == {tuple(r) for r in many.collect()}
+        assert {tuple(r) for r in some.collect()} == {r for r in want if r[0] < "p100" and 999 in have[r[0]]}
+    finally:
+        graph.new_path = path
+    one, two = (spark.read.parquet(f) for f in folders[:2])
+    shared = {e: ps for e, ps in of.items() if len(ps) > 1}
+    assert one.count() == two.count() == len(shared) - 1 + 5  # an entity of few pages is a row, however far apart these are; that of 87 pages is five runs
+    assert two.select(F.sum(F.size("posts"))).first()[0] == sum(map(len, shared.values()))
+    assert "InArrow" in many._jdf.queryExecution().toString() and "FlatMapGroupsInArrow" not in many._jdf.queryExecution().toString()  # no list is shuffled to blocks
